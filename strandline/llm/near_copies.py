@@ -5,12 +5,19 @@ with a chance below 1e-9). Its sketch has 512 registers: a shingle's hash picks
 the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits after the first one.
 
 1. Documents with equal sets form a class; one row a class goes on, so exact copies are never paired.
-2. 64 bands of 8 registers are hashed. Two sets with similarity 0.8 share no band with a chance of 8e-6.
+2. Bands of registers are hashed. Sets of 512 shingles and more have 64 bands of 8 registers. Smaller sets fill
+   few registers, so their bands are cut by size: sets of like size (levels a quarter apart; a set joins its
+   own level and that of a set four fifths as large) spread the registers over as many bands as sets with
+   similarity 0.8 can have different elements, plus one, again and again until there are 64. Bands with fewer
+   than four filled registers are left out (not below 32 shingles), as common word pairs alone would fill
+   them. Two sets with similarity 0.8 share no band with a chance of about 1e-5 or less; below 32 shingles
+   they always share one, by the pigeonhole principle.
 3. Every class is compared with the smallest member of one of its bands, then with the smallest of all its
-   bands where that still joins different components. What such stars leave open (bands whose members are in
-   several components) is settled leader by leader: in each round the next unsettled class of each band meets
-   all members outside its component. A round is linear in the band; rounds end when no pair is left. No
-   band is capped and no group is paired with itself.
+   bands where that still joins different components. Bands whose members are then still in several
+   components are settled in blocks: their members' sets (as 32-bit hashes) meet in groups of at most 1024 by
+   1024, where products of incidence matrices find similar pairs across components; only links that join
+   something leave a block. A larger band is dealt to every pair of its blocks, so no band is capped and no
+   task holds more than two blocks.
 4. Before a pair's texts meet, the similarity estimated from the registers, corrected for the chance
    agreement of compressed registers, must come within six standard errors of the limit. Then the full sets
    decide: 100 * intersection >= 80 * union.
@@ -27,6 +34,7 @@ they repeat in the result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +45,14 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import text_of, written
 
 REGISTERS, BANDS = 512, 64
-ROWS = REGISTERS // BANDS
+#: From SMALL shingles on a band needs LEAST filled registers; from LONG on there is one level for all.
+SMALL, LONG, LEAST = 32, 512, 4
 MANTISSA_BITS, ZERO_BITS = 10, 6
 U64 = np.uint64
 #: Odd constants of a 64-bit mixer.
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Pairs that may be met at once instead of leader by leader, per class.
-OPEN_PAIRS_PER_CLASS = 2
+#: Members of a band that meet in one block.
+BLOCK = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -113,13 +122,53 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sketch: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band that is not wholly empty."""
-    rows = sketch.reshape(BANDS, ROWS).astype(U64)
-    key = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-    for i in range(ROWS):
-        key = mixed(key * U64(31) + rows[:, i])
-    return key[rows.any(axis=1)].view(np.int64).tolist()
+def _boundaries() -> list[int]:
+    """First sizes of the levels: sets with similarity 0.8 are in one level or in neighbours."""
+    out = [1]
+    while out[-1] < LONG:
+        size = out[-1] + 1
+        while -(-4 * size // 5) < out[-1]:
+            size += 1
+        out.append(size)
+    return [x for x in out if x < LONG] + [LONG]
+
+
+LEVELS = _boundaries()
+
+
+def _plan(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Registers in the order of their bands, where each band starts, a salt for each band, filled registers it needs."""
+    if level == len(LEVELS) - 1:
+        order, starts, least = np.arange(REGISTERS), np.arange(0, REGISTERS, REGISTERS // BANDS), LEAST
+    else:
+        largest = LEVELS[level + 1] - 1
+        n = largest // 4 + 1
+        times = 1 if largest < SMALL else -(-BANDS // n)
+        shuffled = [np.argsort(mixed(np.arange(REGISTERS, dtype=U64) + U64(1009 * (t + 1) * (level + 1))), kind="stable") for t in range(times)]
+        first = np.arange(n) * REGISTERS // n
+        order = np.concatenate(shuffled)
+        starts = np.concatenate([first + t * REGISTERS for t in range(times)])
+        least = 1 if largest < SMALL else LEAST
+    salt = mixed(np.arange(len(starts), dtype=U64) + U64((level + 1) << 20))
+    return order, starts, salt, least
+
+
+_PLANS: list = []
+
+
+def bands(sketch: np.ndarray, n: int) -> list[int]:
+    """Signed 64-bit keys of the bands of a set of n shingles."""
+    if not _PLANS:
+        _PLANS.extend(_plan(level) for level in range(len(LEVELS)))
+    filled = sketch != 0
+    part = np.where(filled, mixed(sketch.astype(U64) + (np.arange(1, REGISTERS + 1, dtype=U64) << U64(20))), U64(0))
+    out: list[int] = []
+    for level in {bisect_right(LEVELS, n) - 1, bisect_right(LEVELS, -(-4 * n // 5)) - 1}:
+        order, starts, salt, least = _PLANS[level]
+        sums = np.add.reduceat(part[order], starts)
+        held = np.add.reduceat(filled[order].astype(np.int64), starts)
+        out += mixed(sums + salt)[held >= least].view(np.int64).tolist()
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float, int]:
@@ -162,11 +211,11 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for held in batches:
-            yield pd.Series([bands(np.frombuffer(s, dtype=np.uint16)) for s in held])
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for held, sizes in batches:
+            yield pd.Series([bands(np.frombuffer(s, dtype=np.uint16), n) for s, n in zip(held, sizes, strict=True)])
 
-    return classes.select("node", F.explode(F.pandas_udf(keys, "array<long>")("sketch")).alias("band"))
+    return classes.select("node", F.explode(F.pandas_udf(keys, "array<long>")("sketch", "n_shingles")).alias("band"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -249,39 +298,81 @@ def linked_components(classes: DataFrame, documents: DataFrame, percent: int) ->
     tried = written(first.select("a", "b"), "tried")
     links, parts = _more(_open(pair.join(tried, ["a", "b"], "left_anti"), parts), links, parts, classes, documents, percent)
 
-    # bands whose members are still in several components: next leaders
-    open_bands = members.where("n > 2").select("band", "node", F.lit(0).alias("rank"))
-    settled = members.where("n > 2").select("band", F.col("hub").alias("leader")).distinct()
-    settled = written(settled, "settled")
-    bound = OPEN_PAIRS_PER_CLASS * classes.count()
-    while True:
-        rows = written(_labelled(open_bands.select("band", "node"), parts), "open")
-        several = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        rows = written(rows.join(several.select("band"), "band", "left_semi"), "open")
-        left = written(rows.join(settled.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"), "left")
-        sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-        most = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-        if not most:
-            break
-        if most <= bound:  # few are left: all their pairs at once
-            x = left.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-            y = left.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-            links, parts = _more(pairs, links, parts, classes, documents, percent)
-            break
-        # the next leader of each band: of its smallest unsettled part, the smallest member
-        leaders = left.groupBy("band").agg(F.min(F.struct("component", "node")).alias("l"))
-        leaders = written(leaders.select("band", F.col("l.node").alias("leader"), F.col("l.component").alias("cl")), "leaders")
-        pairs = (
-            left.join(leaders, "band").where("component <> cl")
-            .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        )
-        links, parts = _more(pairs, links, parts, classes, documents, percent)
-        settled = written(settled.unionByName(leaders.select("band", "leader")), "settled")
-        open_bands = left
+    # bands whose members are still in several components
+    several = _labelled(members.where("n > 2").select("band", "node"), parts)
+    several = written(several, "several")
+    open_bands = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    rows = written(several.join(open_bands.select("band", "n"), "band"), "open")
+    if not rows.isEmpty():
+        links, parts = _more(_settled(rows, documents, percent), links, parts, classes, documents, percent)
     return parts
 
 
+def _settled(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join components of the (band, node, component, n) rows, by blocks of each band."""
+    wanted = rows.select(F.col("node").alias("doc_id")).distinct()
+
+    def short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            held = [np.unique((shingles(t) >> U64(32)).astype(np.uint32)).tobytes() for t in texts["text"]]
+            yield pd.DataFrame({"node": texts["doc_id"], "held": held})
+
+    texts = text_of(documents).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(texts.mapInPandas(short_sets, "node long, held binary"), "sets")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = (
+        rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+        .join(sets, "node")
+    )
+
+    def joins(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(joining_pairs(group["node"].to_numpy(), group["component"].to_numpy(), list(group["held"]), percent), columns=["a", "b"])
+
+    found = dealt.groupBy("band", "i", "j").applyInPandas(joins, "a long, b long")
+    return found.distinct()
+
+
+def joining_pairs(nodes: np.ndarray, parts: np.ndarray, held: list[bytes], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Similar pairs of different parts, as many as it takes to join the parts that similar pairs join."""
+    sets = [np.frombuffer(h, dtype=np.uint32) for h in held]
+    size = np.array([len(x) for x in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place, often = column[1], column[2]
+    row = np.repeat(np.arange(len(sets)), size)
+    common = often[place] > 1  # what one set alone holds is in no intersection
+    label = np.cumsum(often > 1) - 1
+    row, at = row[common], label[place[common]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for left in range(0, int((often > 1).sum()), columns):  # bounded memory, whatever the sets hold
+        part_of = slice(*np.searchsorted(at, [left, left + columns]))
+        grid = np.zeros((len(sets), columns), dtype=np.float32)
+        grid[row[part_of], at[part_of] - left] = 1
+        shared += grid @ grid.T
+    names = {p: i for i, p in enumerate(dict.fromkeys(parts.tolist()))}
+    part = np.array([names[p] for p in parts.tolist()])
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    union = size[:, None] + size[None, :] - shared
+    near = (100 * shared >= percent * union) & (part[:, None] < part[None, :])
+    for i, j in zip(*np.nonzero(near), strict=True):
+        x, y = find(part[i]), find(part[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+    return out
+
+
 def _open(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs whose two sides are in different components so far."""
     for side in ("a", "b"):

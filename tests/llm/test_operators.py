@@ -91,9 +91,10 @@ def test_near_copies_of_a_chain_and_a_group(spark):
     assert rows(near_copies.near_components(df), "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
 
 
-def test_leaders_settle_what_stars_leave_open(spark, monkeypatch):
+@pytest.mark.parametrize("block", [2, 1024])
+def test_blocks_settle_what_stars_leave_open(spark, monkeypatch, block):
     """A bucket whose smallest member is near none of the rest, while the rest are near each other."""
-    monkeypatch.setattr(near_copies, "OPEN_PAIRS_PER_CLASS", 0)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(near_copies, "_band_rows", lambda classes: classes.selectExpr("node", "7L AS band"))
     texts = ["lonely text of its own"] + [" ".join([f"a{i}" for i in range(40)] + [f"x{k}"]) for k in range(4)]
     texts += [" ".join([f"b{i}" for i in range(40)] + [f"y{k}"]) for k in range(4)]
