@@ -8,14 +8,14 @@ the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits aft
 2. Bands of registers are hashed. Sets of 512 shingles and more have 64 bands of 8 registers. Smaller sets fill
    few registers, so their bands are cut by size: sets of like size (levels a quarter apart; a set joins its
    own level and that of a set four fifths as large) spread the registers over as many bands as sets with
-   similarity 0.8 can have different elements, plus one, again and again until there are 64. Bands with fewer
+   similarity 0.8 can have different elements, plus one, again and again until there are 48. Bands with fewer
    than four filled registers are left out (not below 32 shingles), as common word pairs alone would fill
-   them. Two sets with similarity 0.8 share no band with a chance of about 1e-5 or less; below 32 shingles
+   them. Two sets with similarity 0.8 share no band with a chance of about 2e-5 or less; below 32 shingles
    they always share one, by the pigeonhole principle.
 3. Every class is compared with the smallest member of one of its bands, then with the smallest of all its
    bands where that still joins different components. Bands whose members are then still in several
-   components are settled in blocks: their members' sets (as 32-bit hashes) meet in groups of at most 1024 by
-   1024, where products of incidence matrices find similar pairs across components; only links that join
+   components are settled in blocks: their members' sets (as 32-bit hashes) meet in groups of at most 2048 by
+   2048, where products of incidence matrices find similar pairs across components; only links that join
    something leave a block. A larger band is dealt to every pair of its blocks, so no band is capped and no
    task holds more than two blocks.
 4. Before a pair's texts meet, the similarity estimated from the registers, corrected for the chance
@@ -23,7 +23,8 @@ the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits aft
    decide: 100 * intersection >= 80 * union.
 5. Links become components by large-star and small-star rounds over written tables.
 
-Texts move only for the pairs that reach step 4. Joins on hot keys have plain exchanges on both sides, so
+Every text moves once, into a table bucketed by document id; later steps take from it the columns and rows that
+they need without moving the rest. Joins on hot keys have plain exchanges on both sides, so
 adaptive execution splits them. Nothing of the corpus is collected: the driver only counts.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a single word is a set
@@ -34,6 +35,7 @@ they repeat in the result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -42,17 +44,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import text_of, written
+from strandline.llm.shared import shuffle_partitions, text_of, written
 
 REGISTERS, BANDS = 512, 64
 #: From SMALL shingles on a band needs LEAST filled registers; from LONG on there is one level for all.
 SMALL, LONG, LEAST = 32, 512, 4
+SMALLER_BANDS = 48
 MANTISSA_BITS, ZERO_BITS = 10, 6
 U64 = np.uint64
 #: Odd constants of a 64-bit mixer.
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Members of a band that meet in one block.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def _plan(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     else:
         largest = LEVELS[level + 1] - 1
         n = largest // 4 + 1
-        times = 1 if largest < SMALL else -(-BANDS // n)
+        times = 1 if largest < SMALL else -(-SMALLER_BANDS // n)
         shuffled = [np.argsort(mixed(np.arange(REGISTERS, dtype=U64) + U64(1009 * (t + 1) * (level + 1))), kind="stable") for t in range(times)]
         first = np.arange(n) * REGISTERS // n
         order = np.concatenate(shuffled)
@@ -194,7 +197,7 @@ def _chance(n_a: int, n_b: int) -> float:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the set), sketch, in one narrow pass."""
+    """doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, in one narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -205,9 +208,33 @@ def sketches(documents: DataFrame) -> DataFrame:
                 key = f"{int(first.sum(dtype=U64)):016x}{int(second.sum(dtype=U64)):016x}" if len(h) else None
                 out.append((len(h), key, registers(h).tobytes() if len(h) else None))
             n, keys, held = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_shingles": n, "set_key": keys, "sketch": held})
+            yield rows.assign(n_shingles=n, set_key=keys, sketch=held)
 
-    return text_of(documents).mapInPandas(run, "doc_id long, n_shingles long, set_key string, sketch binary")
+    return text_of(documents).mapInPandas(run, "doc_id long, text string, n_shingles long, set_key string, sketch binary")
+
+
+class Store:
+    """Texts and sketches in a table bucketed by doc_id: rows are picked by id without moving the others."""
+
+    def __init__(self, documents: DataFrame):
+        self.spark = documents.sparkSession
+        self.name = f"strandline_sketches_{uuid.uuid4().hex}"
+        n = shuffle_partitions(self.spark)
+        (
+            sketches(documents).repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd")
+            .format("parquet").saveAsTable(self.name)
+        )
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def pick(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """(node, columns) of the documents whose id is in `ids` (doc_id)."""
+        found = self.read().select("doc_id", *columns).join(ids.hint("merge"), "doc_id", "left_semi")
+        return written(found.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "picked")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
@@ -218,10 +245,15 @@ def _band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode(F.pandas_udf(keys, "array<long>")("sketch", "n_shingles")).alias("band"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; sketches rule most others out first."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    sketched = pairs.join(side("a"), "a").join(side("b"), "b")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def confirmed(pairs: DataFrame, store: Store, percent: int) -> DataFrame:
+    """The (written) pairs (a, b) whose full shingle sets are similar enough; sketches rule most others out first."""
+    known = store.pick(_ids(pairs), "n_shingles", "sketch")
+    side = lambda x: known.toDF(x, f"n_{x}", f"sketch_{x}")
+    sketched = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -236,9 +268,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percen
             yield rows.loc[keep, ["a", "b"]]
 
     candidates = written(sketched.mapInPandas(likely, "a long, b long"), "likely")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = text_of(documents).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "texts")
+    texts = store.pick(_ids(candidates), "text")
     both = candidates.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,21 +312,21 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked_components(classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame:
     """(node, component) over classes with a link; see the steps in the module's description."""
-    keyed = written(_band_rows(classes), "bands")
+    classes = store.read().select("doc_id", "n_shingles", "sketch").join(heads.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    keyed = written(_band_rows(classes.withColumnRenamed("doc_id", "node")), "bands")
     shared = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(shared, "shared")
     members = written(keyed.join(shared.select("band", "hub", "n"), "band"), "members")
     stars = members.where("hub < node")
-    first = stars.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
-    links = confirmed(first, classes, documents, percent)
+    first = written(stars.groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")), "first")
+    links = confirmed(first, store, percent)
     parts = written(components(links), "parts")
 
     # the other stars, where they would still join something
     pair = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(first.select("a", "b"), "tried")
-    links, parts = _more(_open(pair.join(tried, ["a", "b"], "left_anti"), parts), links, parts, classes, documents, percent)
+    links, parts = _more(_open(pair.join(first.select("a", "b"), ["a", "b"], "left_anti"), parts), links, parts, store, percent)
 
     # bands whose members are still in several components
     several = _labelled(members.where("n > 2").select("band", "node"), parts)
@@ -304,26 +334,26 @@ def linked_components(classes: DataFrame, documents: DataFrame, percent: int) ->
     open_bands = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
     rows = written(several.join(open_bands.select("band", "n"), "band"), "open")
     if not rows.isEmpty():
-        links, parts = _more(_settled(rows, documents, percent), links, parts, classes, documents, percent)
+        _, parts = _more(_settled(rows, store, percent), links, parts, store, percent)
     return parts
 
 
-def _settled(rows: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _settled(rows: DataFrame, store: Store, percent: int) -> DataFrame:
     """Pairs (a, b) that join components of the (band, node, component, n) rows, by blocks of each band."""
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
 
     def short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             held = [np.unique((shingles(t) >> U64(32)).astype(np.uint32)).tobytes() for t in texts["text"]]
-            yield pd.DataFrame({"node": texts["doc_id"], "held": held})
+            yield pd.DataFrame({"node": texts["node"], "held": held})
 
-    texts = text_of(documents).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInPandas(short_sets, "node long, held binary"), "sets")
+    sets = written(store.pick(wanted, "text").mapInPandas(short_sets, "node long, held binary"), "sets")
     blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    large = rows.where(F.col("n") > BLOCK).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     dealt = (
-        rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+        large.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+        .unionByName(rows.where(F.col("n") <= BLOCK).select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "component"))
         .join(sets, "node")
     )
 
@@ -380,12 +410,12 @@ def _open(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def _more(pairs: DataFrame, links: DataFrame, parts: DataFrame, classes: DataFrame, documents: DataFrame, percent: int):
+def _more(pairs: DataFrame, links: DataFrame, parts: DataFrame, store: Store, percent: int):
     """Links and components after further pairs were tried."""
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
         return links, parts
-    new = confirmed(pairs, classes, documents, percent)
+    new = confirmed(pairs, store, percent)
     if new.isEmpty():
         return links, parts
     links = links.unionByName(new)
@@ -394,21 +424,17 @@ def _more(pairs: DataFrame, links: DataFrame, parts: DataFrame, classes: DataFra
 
 def near_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    rows = written(sketches(documents), "sketches")
-    sets = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    # sets of one size and key are equal: only the smallest id of each goes on
-    heads = sets.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    store = Store(documents)
+    thin = written(store.read().select("doc_id", "n_shingles", "set_key"), "thin")
+    # sets of one key are equal: only the smallest id of each goes on
+    heads = thin.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"))
     heads = written(heads, "heads")
-    classes = written(
-        sets.join(heads, [sets["set_key"] == heads["set_key"], sets["doc_id"] == heads["node"]], "left_semi")
-        .select(F.col("doc_id").alias("node"), "n_shingles", "sketch").dropDuplicates(["node"]), "classes",
-    )
-    parts = linked_components(classes, documents, percent)
+    parts = linked_components(store, heads, percent)
+    store.drop()
     named = written(
         heads.join(parts, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "named"
     )
-    thin = rows.select("doc_id", "n_shingles", "set_key")
-    joined = thin.where("set_key IS NOT NULL").join(named, "set_key").unionByName(
+    joined = thin.where("set_key IS NOT NULL").join(named, "set_key", "left").unionByName(
         thin.where("set_key IS NULL").withColumn("component_id", F.lit(None).cast("long"))
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

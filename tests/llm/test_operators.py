@@ -91,7 +91,7 @@ def test_near_copies_of_a_chain_and_a_group(spark):
     assert rows(near_copies.near_components(df), "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
 
 
-@pytest.mark.parametrize("block", [2, 1024])
+@pytest.mark.parametrize("block", [2, 2048])
 def test_blocks_settle_what_stars_leave_open(spark, monkeypatch, block):
     """A bucket whose smallest member is near none of the rest, while the rest are near each other."""
     monkeypatch.setattr(near_copies, "BLOCK", block)
