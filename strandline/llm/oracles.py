@@ -1,5 +1,24 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP1 = """
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+), pairs AS (
+  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words
+), one AS (SELECT w, count(*) AS n FROM words GROUP BY w
+), two AS (SELECT before, w, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL
+), total AS (SELECT count(*) AS n FROM words
+), scored AS (
+  SELECT p.doc_id, count(*) AS n_tokens,
+         sum(ln(CASE WHEN p.before IS NULL THEN one.n / total.n ELSE two.n / context.n END)) / count(*) AS score
+  FROM pairs p JOIN one ON one.w = p.w CROSS JOIN total
+  LEFT JOIN two ON two.before = p.before AND two.w = p.w LEFT JOIN one context ON context.w = p.before
+  GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, round(score, 6) AS score FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id
+"""
+
 OP5 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -43,4 +62,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_digest_index": OP5, "op6_source_mix": OP6}
+    return {"op1_backoff_scores": OP1, "op5_digest_index": OP5, "op6_source_mix": OP6}

@@ -1,14 +1,17 @@
 """Each operator against a plain Python version, on the smallest table and on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import types as T
 
-from strandline.llm import byte_pieces, digest_index, near_copies, personal_data, secret_links, source_mix, toxicity
+from strandline.llm import (
+    backoff_scores, byte_pieces, digest_index, mixed_coder, near_copies, personal_data, secret_links, source_mix, toxicity, vantage_trees,
+)
 from strandline.llm.queries import _pattern, _tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -327,3 +330,126 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.classify(odd, labels).count() == odd.count()
     assert toxicity.classify(none, labels).count() == 0
     assert {r["score"] for r in toxicity.classify(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def backoff_brute(docs, corpus, alpha=0.4):
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    one, two = Counter(), Counter()
+    for _, t in corpus:
+        w = split(t)
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    n, out = sum(one.values()), defaultdict(lambda: [0.0, 0])
+    for i, t in docs:
+        w = split(t)
+        for a, b in zip([None, *w], w):
+            seen = one.get(b, 1)
+            s = seen / max(n, 1) if a is None else two[a, b] / one[a] if two[a, b] else alpha * seen / max(n, 1)
+            out[i][0] += math.log(s)
+            out[i][1] += 1
+    return sorted(((i, 0 if i is None else out[i][1], None if i is None or not out[i][1] else round(out[i][0] / out[i][1], 7)) for i, _ in docs), key=str)
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "real"])
+def test_backoff_scores(which, request, real):
+    df = request.getfixturevalue(which)
+    docs = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
+    shown = lambda got: sorted(((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["score"], 7)) for r in got.collect()), key=str)
+    assert shown(backoff_scores.scores(df)) == backoff_brute(docs, docs)
+    half = real.where("doc_id % 2 = 0")
+    corpus = [(r[0], r[1]) for r in half.select("doc_id", "text").collect()]
+    for a, b in zip(shown(backoff_scores.scores(df, half)), backoff_brute(docs, corpus), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-5)
+
+
+def nearest_brute(rows, k=20):
+    np = vantage_trees.np
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    out = []
+    for i, q in good:
+        if i % 20 == 0:
+            found = sorted(((-float(q @ v), j) for j, v in good if j != i and len(v) == len(q)))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    return out
+
+
+def test_nearest_is_exact_at_factor_one_and_close_beyond(spark, monkeypatch):
+    monkeypatch.setattr(vantage_trees, "SHARD_ROWS", 150)
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    want = nearest_brute([(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()])
+    rows_ = vantage_trees.written(vantage_trees.usable(df), "vectors")
+    index = vantage_trees.build(rows_, 150)
+    queries_ = rows_.where("vec_id % 20 = 0")
+    exact = sorted(tuple(r) for r in vantage_trees.search(index, queries_, 20, 1.0, 10).collect())
+    assert [x[:3] for x in exact] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(exact, want))
+    got = {(r["query_id"], r["vec_id"]) for r in vantage_trees.nearest(df).collect()}
+    assert len(got & {(x[0], x[2]) for x in want}) >= 0.9 * len(want)
+
+
+def test_nearest_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (None, [1.0, 1.0]),
+            (7, [3.0]), (8, [2.0, 1.0]), (9, [2.0, 1.0]), (9, [2.0, 1.0]), (40, [5.0])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in data], "vec_id long, embedding array<float>, shard string, rank int")
+    got = sorted(tuple(r) for r in vantage_trees.nearest(df, factor=1.0).collect())
+    assert got == nearest_brute(data)
+    assert vantage_trees.nearest(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ids", [[], [0], [2**31 - 1, 0, 1, 2**30] * 500, [7] * 5000, list(range(3000)), [1, 2, 3] * 3000])
+def test_coder_round_trip(ids):
+    np = mixed_coder.np
+    held = mixed_coder.encode_ids(np.array(ids, dtype=np.int64))
+    assert mixed_coder.decode_ids(held).tolist() == ids
+
+
+def test_coder_finds_damage():
+    np = mixed_coder.np
+    held = bytearray(mixed_coder.encode_ids(np.arange(4000)))
+    for at in (0, 6, 30, len(held) - 1):
+        bad = bytearray(held)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            mixed_coder.decode_ids(bytes(bad))
+    assert len(mixed_coder.encode_ids(np.array([5, 9, 11] * 20000))) < 60000 * 4 / 8  # raw ids take four bytes
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "real"])
+def test_token_files(which, request, spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(mixed_coder, "SEGMENT_IDS", 5000)
+    df = request.getfixturevalue(which)
+    plain = Tokenizer.from_file(_tokenizer("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    docs = [(r[0], plain.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in df.select("doc_id", "text").collect()]
+    crc = lambda ids: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    path = mixed_coder.write_ids(df, _tokenizer("byte_bpe_50k.json"), _pattern())
+    got = mixed_coder.read_digests(spark, path).orderBy("start").collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(i), len(x), crc(x)) for i, x in docs)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    known = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert known == sorted(known)
+    assert sorted(tuple(r["ids"]) for r in mixed_coder.read_ids(spark, path).collect()) == sorted(tuple(x) for _, x in docs)
+
+
+def test_pipeline_stages(spark, real):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.written(real, "in")
+    n = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, docs, SF), "out")
+        if name != "byte_bpe":
+            assert out.columns == real.columns and out.join(docs, real.columns, "left_semi").count() == out.count()
+        if name == "exact_dedup":
+            assert out.select("text").distinct().count() == out.count() == docs.select("text").distinct().count()
+        if name == "near_dedup":
+            brute = near_brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()])
+            assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(x[0] for x in brute if x[3])
+        docs = out
+        n.append(docs.count())
+    assert n[0] >= n[1] >= n[2] >= n[3] >= n[4] == n[5] > 0
