@@ -40,7 +40,7 @@ from strandline.llm.shared import shared_folder, shuffle_partitions, text_of
 
 MAGIC = b"CMX1"
 #: Blocks are shorter where a segment is small, so that about a thousand of them run in step.
-LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 4_000_000
+LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 1_500_000
 SLOTS = 1 << 10
 EVENTS, TOTAL_BITS = 4, 12
 U = np.uint64
@@ -285,7 +285,7 @@ class _Tokenizer:
             split = [self.split(t) for t in texts[top : top + 256]]
             every = set(chain.from_iterable(split))
             fresh = [t for t in every if t not in known]
-            if len(known) + len(fresh) > 400_000:
+            if len(known) + len(fresh) > 200_000:
                 known.clear()
                 fresh = list(every)
             for name, found in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
