@@ -6,10 +6,12 @@ the sum falls apart into one term for each n-gram and document: a pair's occurre
 its count, less those of its contexts. Count tables and exploded n-grams are partitioned by the n-gram's
 64-bit hash and joined there; terms are summed per document.
 
-Scale: n-grams are gathered in each Arrow batch first, as one row (hash, count, posting list of document and
-weight). A very common n-gram is one row a batch, whatever it occurs in, so no key is hot. Where a corpus
-scores itself, counts and n-grams come from one shuffle, and no pair can be missing. Orders above two are
-left out: their postings would be several times the corpus.
+Scale: n-grams are gathered in each Arrow batch first, as one entry (hash, count, posting list of document and
+weight). A very common n-gram is one entry a batch, whatever it occurs in, so no key is hot. Where a corpus
+scores itself, no pair can be missing; entries then travel as compressed blocks, one for each batch and
+bucket of hashes, and a bucket's count table is built and joined to its entries in one place: a single
+shuffle of less than twice the Parquet input. Orders above two are left out: their postings would be several
+times the corpus.
 
 Defined results: null, empty and blank texts have 0 tokens and a null score; a null doc_id counts in the corpus
 and has a null score; rows of one doc_id are scored together; a word that the corpus lacks scores as if
@@ -19,14 +21,17 @@ it occurred once; extra columns are ignored. Words are case-sensitive.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import text_of
+from strandline.llm.shared import shuffle_partitions, text_of
 
 ALPHA = 0.4
 EMPTY, WORD, PAIR = 0, 1, 2
@@ -44,18 +49,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: Characters that are hashed at once: eight bytes of working memory each, several times over.
+CHUNK = 1 << 21
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), U64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(1 << max(12, (n - 1).bit_length()), U64(base))
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the text that each is in."""
-    raw = np.frombuffer("\n".join(texts).encode("utf-8", "replace"), dtype=np.uint8)
+    words, of, first, size = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size > CHUNK or i == len(texts) - 1:
+            some, place = _hashes([t.encode("utf-8", "replace") for t in texts[first : i + 1]])
+            words.append(some)
+            of.append(place + first)
+            first, size = i + 1, 0
+    return np.concatenate(words), np.concatenate(of)
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
-    lengths = np.array([len(t.encode("utf-8", "replace")) + 1 for t in texts])
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
     inside[1:-1] = ~_SPACE[raw]
     edges = np.diff(inside)
@@ -64,25 +87,77 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_CHARACTER[raw] * _powers(_BASE, len(raw)), out=total[1:])
     back = _powers(pow(_BASE, -1, 1 << 64), len(raw))
     words = _mixed((total[end] - total[start]) * back[start] + (end - start).astype(U64))
-    return words, np.searchsorted(np.cumsum(lengths), start, side="right")
-
-
-def _postings(kind: int, grams: np.ndarray, text: np.ndarray, weight: np.ndarray, count: np.ndarray, ids: np.ndarray, known: np.ndarray):
-    """One row for each n-gram of a batch; a text's occurrences of it are one posting."""
-    order = np.lexsort((text, grams))
-    grams, text, weight, count = grams[order], text[order], weight[order], count[order]
-    new_pair = np.r_[True, (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])]
-    at = np.flatnonzero(new_pair)
-    weight, text, pair_gram = np.add.reduceat(weight, at), text[at], grams[at]
-    new_gram = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    counts = np.add.reduceat(count, new_gram)
-    held = known[text] & (weight != 0)
-    entries = np.empty(int(held.sum()), dtype=_POSTING)
-    entries["doc"], entries["weight"] = ids[text[held]], weight[held]
-    gram_of = np.searchsorted(grams[new_gram], pair_gram[held])
-    offsets = np.r_[0, np.cumsum(np.bincount(gram_of, minlength=len(new_gram)))] * _POSTING.itemsize
-    lists = pa.Array.from_buffers(pa.binary(), len(new_gram), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(entries)])
-    return [np.full(len(new_gram), kind, dtype=np.int8), grams[new_gram].view(np.int64), counts.astype(np.int64), lists]
+    return words, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+
+
+class Entries:
+    """The n-grams of one kind in a batch, sorted: their counts, and postings of `each` length, one after another."""
+
+    def __init__(self, kind: int, grams: np.ndarray, counts: np.ndarray, each: np.ndarray, docs: np.ndarray, weights: np.ndarray):
+        self.kind, self.grams, self.counts, self.each, self.docs, self.weights = kind, grams, counts, each, docs, weights
+
+    @classmethod
+    def gather(cls, kind: int, grams: np.ndarray, text: np.ndarray, weight: np.ndarray, ids: np.ndarray, known: np.ndarray) -> Entries:
+        """From single occurrences; a text's occurrences of an n-gram are one posting."""
+        order = np.argsort(grams, kind="stable")  # texts come in order and stay so
+        grams, text, weight = grams[order], text[order], weight[order]
+        new_gram = np.r_[True, grams[1:] != grams[:-1]]
+        at = np.flatnonzero(new_gram | np.r_[True, text[1:] != text[:-1]])
+        weight, text = np.add.reduceat(weight, at), text[at]
+        starts = np.flatnonzero(new_gram)
+        held = known[text] & (weight != 0)
+        of = np.cumsum(new_gram)[at][held] - 1
+        each = np.bincount(of, minlength=len(starts))
+        return cls(kind, grams[starts], np.diff(np.r_[starts, len(grams)]), each, ids[text[held]], weight[held].astype(np.int32))
+
+    def postings(self) -> pa.Array:
+        entries = np.empty(len(self.docs), dtype=_POSTING)
+        entries["doc"], entries["weight"] = self.docs, self.weights
+        offsets = np.r_[0, np.cumsum(self.each)] * _POSTING.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(self.grams), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(entries)])
+
+    def blocks(self, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        """(bucket, kind, block) for each bucket of hashes that has any."""
+        bucket = (self.grams >> U64(33)).astype(np.int64) * buckets >> 31
+        edges, ends = np.searchsorted(bucket, np.arange(buckets + 1)), np.r_[0, np.cumsum(self.each)]
+        for b in np.flatnonzero(np.diff(edges)):
+            i, j = edges[b], edges[b + 1]
+            x, y = ends[i], ends[j]
+            base = int(self.docs[x:y].min()) if y > x else 0
+            parts = (np.diff(self.grams[i:j], prepend=U64(0)), self.counts[i:j].astype(np.int32), self.each[i:j].astype(np.int32),
+                     (self.docs[x:y] - base).astype(np.int64), self.weights[x:y])
+            planes = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(-1, p.itemsize).T).tobytes() for p in parts)
+            yield int(b), self.kind, struct.pack("<qqq", j - i, y - x, base) + zstandard.compress(planes, 1)
+
+    @classmethod
+    def unpacked(cls, kind: int, block: bytes) -> Entries:
+        n, m, base = struct.unpack_from("<qqq", block)
+        planes, at, parts = zstandard.decompress(block[24:]), 0, []
+        for kind_of, size in ((U64, n), (np.int32, n), (np.int32, n), (np.int64, m), (np.int32, m)):
+            wide = np.dtype(kind_of).itemsize
+            held = np.frombuffer(planes, dtype=np.uint8, count=wide * size, offset=at).reshape(wide, size)
+            parts.append(np.ascontiguousarray(held.T).reshape(-1).view(kind_of))
+            at += wide * size
+        return cls(kind, np.cumsum(parts[0], dtype=U64), *parts[1:3], parts[3] + base, parts[4])
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[list[Entries], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All kinds of a batch, and what words its pairs consist of."""
+    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+    words, text = word_hashes(batch.column("text").to_pylist())
+    if not len(words):
+        return [], (words, words, words)
+    first, last = np.r_[True, text[1:] != text[:-1]], np.r_[text[1:] != text[:-1], True]
+    out = [
+        Entries.gather(EMPTY, np.zeros(len(words), dtype=U64), text, -1 * first, ids, known),
+        Entries.gather(WORD, words, text, 1 * first - 1 * ~last, ids, known),
+    ]
+    pair = np.flatnonzero(~first)
+    both = _mixed(words[pair - 1] * U64(3) + _mixed(words[pair] + U64(11)))
+    if len(pair):
+        out.append(Entries.gather(PAIR, both, text[pair], np.ones(len(pair), dtype=np.int64), ids, known))
+    return out, (both, words[pair - 1], words[pair])
 
 
 _GRAMS = "kind byte, gram long, n long, postings binary"
@@ -93,31 +168,16 @@ def grams(documents: DataFrame, parts: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            known = np.array([v.is_valid for v in batch.column("doc_id")], dtype=bool)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            words, text = word_hashes(texts)
-            if not len(words):
-                continue
-            first = np.r_[True, text[1:] != text[:-1]]
-            last = np.r_[text[1:] != text[:-1], True]
-            one = np.ones(len(words), dtype=np.int64)
-            rows = [
-                _postings(EMPTY, np.zeros(len(words), dtype=U64), text, -1 * first, one, ids, known),
-                _postings(WORD, words, text, 1 * first - 1 * ~last, one, ids, known),
-            ]
-            pair = np.flatnonzero(~first)
-            if len(pair):
-                both = _mixed(words[pair - 1] * U64(3) + _mixed(words[pair] + U64(11)))
-                rows.append(_postings(PAIR, both, text[pair], one[pair], one[pair], ids, known))
-            columns = [pa.concat_arrays([r[i] if isinstance(r[i], pa.Array) else pa.array(r[i]) for r in rows]) for i in range(4)]
-            names = ["kind", "gram", "n", "postings"]
-            if parts:
-                sides = {int(g): (int(a), int(b)) for g, a, b in zip(both.view(np.int64), words[pair - 1].view(np.int64), words[pair].view(np.int64), strict=True)} if len(pair) else {}
-                of = [sides.get(g, (None, None)) if k == PAIR else (None, None) for k, g in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)]
-                columns += [pa.array([x[i] for x in of], pa.int64()) for i in (0, 1)]
-                names += ["left", "right"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            found, (both, left, right) = _entries(batch)
+            for e in found:
+                columns = [pa.array(np.full(len(e.grams), e.kind, dtype=np.int8)), pa.array(e.grams.view(np.int64)), pa.array(e.counts.astype(np.int64)), e.postings()]
+                names = ["kind", "gram", "n", "postings"]
+                if parts and e.kind == PAIR:
+                    at = np.unique(both, return_index=True)[1]
+                    columns += [pa.array(side[at].view(np.int64)) for side in (left, right)]
+                elif parts:
+                    columns += [pa.nulls(len(e.grams), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays(columns, names + (["left", "right"] if parts else []))
 
     return text_of(documents).mapInArrow(run, _GRAMS + (", left long, right long" if parts else ""))
 
@@ -167,8 +227,7 @@ def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float =
     Counts come from `corpus`, or from the documents themselves if there is none.
     """
     if corpus is None:
-        rows = grams(documents).repartition("kind", "gram")  # counting and joining read this one shuffle
-        terms = _term_sums(rows.join(count_tables(rows).hint("merge"), ["kind", "gram"]))
+        terms = _own_terms(documents)
     else:
         terms = _with_backoff(grams(documents, parts=True), count_tables(grams(corpus)), alpha)
     sums = terms.groupBy("doc_id").agg(F.sum("terms").alias("terms"), F.sum("tokens").alias("tokens"))
@@ -177,6 +236,39 @@ def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float =
     )
 
 
+def _own_terms(documents: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
+    """Term sums of a corpus that scores itself, bucket by bucket of n-gram hashes."""
+    buckets = buckets_a_partition * shuffle_partitions(documents.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for e in _entries(batch)[0] for row in e.blocks(buckets)]
+            if rows:
+                bucket, kind, block = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary())], ["bucket", "kind", "block"])
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        docs, terms, tokens = [], [], []
+        for kind in (EMPTY, WORD, PAIR):
+            held = [Entries.unpacked(kind, b) for b in group["block"][group["kind"] == kind]]
+            if not held:
+                continue
+            grams = np.concatenate([e.grams for e in held])
+            _, place = np.unique(grams, return_inverse=True)
+            table = np.bincount(place, np.concatenate([e.counts for e in held]))  # exact: counts are below 2^53
+            log = np.repeat(np.log(table)[place], np.concatenate([e.each for e in held]))
+            weight = np.concatenate([e.weights for e in held]).astype(np.float64)
+            docs.append(np.concatenate([e.docs for e in held]))
+            terms.append(weight * log)
+            tokens.append(weight if kind == PAIR else np.full(len(weight), float(kind == EMPTY)))
+        ids, place = np.unique(np.concatenate(docs), return_inverse=True)
+        sums = (np.bincount(place, np.concatenate(x), len(ids)) for x in (terms, tokens))
+        return pd.DataFrame(dict(zip(("doc_id", "terms", "tokens"), (ids, *sums), strict=True))).astype({"tokens": "int64"})
+
+    blocks = text_of(documents).mapInArrow(pack, "bucket int, kind byte, block binary")
+    return blocks.groupBy("bucket").applyInPandas(join, "doc_id long, terms double, tokens long")
+
+
 def _with_backoff(rows: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
     """Term sums where pairs may be missing: such a pair's words are looked up on their own."""
     known = rows.join(counts, ["kind", "gram"], "left")
