@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 #: Characters that are hashed at once: eight bytes of working memory each, several times over.
 CHUNK = 1 << 21
+#: Bytes of text whose n-grams are gathered together.
+PIECE = 12 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -141,6 +144,15 @@ class Entries:
         return cls(kind, np.cumsum(parts[0], dtype=U64), *parts[1:3], parts[3] + base, parts[4])
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about PIECE bytes of text, so that working memory stays bounded."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.flatnonzero(np.diff(size // PIECE, prepend=0)) if len(size) else []
+    for a, b in zip([0, *edges], [*edges, len(size)], strict=True):
+        if b > a:
+            yield batch.slice(int(a), int(b - a))
+
+
 def _entries(batch: pa.RecordBatch) -> tuple[list[Entries], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All kinds of a batch, and what words its pairs consist of."""
     known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -167,7 +179,7 @@ def grams(documents: DataFrame, parts: bool = False) -> DataFrame:
     """(kind, gram, n, postings) rows of each batch; with `parts` also the hashes of a pair's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             found, (both, left, right) = _entries(batch)
             for e in found:
                 columns = [pa.array(np.full(len(e.grams), e.kind, dtype=np.int8)), pa.array(e.grams.view(np.int64)), pa.array(e.counts.astype(np.int64)), e.postings()]
@@ -241,7 +253,7 @@ def _own_terms(documents: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
     buckets = buckets_a_partition * shuffle_partitions(documents.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             rows = [row for e in _entries(batch)[0] for row in e.blocks(buckets)]
             if rows:
                 bucket, kind, block = zip(*rows, strict=True)

@@ -156,7 +156,7 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> list[tuple[str, int]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1200, ordinary_rows: int = 2000) -> list[tuple[str, int]]:
     """At most `toxic_rows` and `ordinary_rows` labelled training texts, drawn by a hash of doc_id.
 
     Only ids of the drawn rows are broadcast: the two parameters bound them.
