@@ -248,9 +248,10 @@ def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float =
     )
 
 
-def _own_terms(documents: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
+def _own_terms(documents: DataFrame, buckets_a_partition: int = 2) -> DataFrame:
     """Term sums of a corpus that scores itself, bucket by bucket of n-gram hashes."""
-    buckets = buckets_a_partition * shuffle_partitions(documents.sparkSession)
+    groups = shuffle_partitions(documents.sparkSession)
+    buckets = buckets_a_partition * groups
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in _pieces(whole)):
@@ -274,11 +275,25 @@ def _own_terms(documents: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
             terms.append(weight * log)
             tokens.append(weight if kind == PAIR else np.full(len(weight), float(kind == EMPTY)))
         ids, place = np.unique(np.concatenate(docs), return_inverse=True)
-        sums = (np.bincount(place, np.concatenate(x), len(ids)) for x in (terms, tokens))
-        return pd.DataFrame(dict(zip(("doc_id", "terms", "tokens"), (ids, *sums), strict=True))).astype({"tokens": "int64"})
+        sums = [np.bincount(place, np.concatenate(x), len(ids)) for x in (terms, tokens)]
+        to = (_mixed(ids.view(U64)) % U64(groups)).astype(np.int64)  # all buckets' sums of a document meet in one group
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(groups + 1))
+        out = []
+        for g in np.flatnonzero(np.diff(edges)):
+            at = order[edges[g] : edges[g + 1]]
+            out.append((int(g), zstandard.compress(ids[at].tobytes() + sums[0][at].tobytes() + sums[1][at].tobytes(), 1)))
+        return pd.DataFrame(out, columns=["part", "sums"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(zstandard.decompress(x), dtype=np.int64).reshape(3, -1) for x in group["sums"]]
+        ids, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([h[i].view(np.float64) for h in held]), len(ids)) for i in (1, 2)]
+        return pd.DataFrame({"doc_id": ids, "terms": sums[0], "tokens": sums[1].astype(np.int64)})
 
     blocks = text_of(documents).mapInArrow(pack, "bucket int, kind byte, block binary")
-    return blocks.groupBy("bucket").applyInPandas(join, "doc_id long, terms double, tokens long")
+    sums = blocks.groupBy("bucket").applyInPandas(join, "part int, sums binary")
+    return sums.groupBy("part").applyInPandas(add, "doc_id long, terms double, tokens long")
 
 
 def _with_backoff(rows: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
