@@ -40,7 +40,7 @@ from strandline.llm.shared import shared_folder, shuffle_partitions, text_of
 
 MAGIC = b"CMX1"
 #: Blocks are shorter where a segment is small, so that about a thousand of them run in step.
-LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 1_500_000
+LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 800_000
 SLOTS = 1 << 10
 EVENTS, TOTAL_BITS = 4, 12
 U = np.uint64
@@ -281,8 +281,8 @@ class _Tokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         known = self.cache
-        for top in range(0, len(texts), 256):
-            split = [self.split(t) for t in texts[top : top + 256]]
+        for top in range(0, len(texts), 64):
+            split = [self.split(t) for t in texts[top : top + 64]]
             every = set(chain.from_iterable(split))
             fresh = [t for t in every if t not in known]
             if len(known) + len(fresh) > 200_000:
