@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import importable_on_workers
 from strandline.functions.scalars import base40_decode, base40_encode
 from strandline.schema import EVENT_SCHEMA, EVENTS_A_CHUNK
 from strandline.sources import split_binary
@@ -137,6 +138,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
             for p, data in zip(rows["path"], rows["content"], strict=True):
                 yield pd.DataFrame([(p, n, s, r) for n, (s, r) in Container(bytes(data)).members.items()], columns=["path", "name", "size", "map_block"])
 
+    importable_on_workers(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, size long, map_block long")
 
 
@@ -153,6 +155,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([(p, g, n, s, stream[at : at + s]) for g, n, at, s in chunk_headers(stream)],
                                    columns=["path", "first_geid", "event_count", "compressed_size", "body"])
 
+    importable_on_workers(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(
         run, "path string, first_geid long, event_count long, compressed_size long, body binary"
     )
