@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline import importable_on_workers
+
 #: ASCII white space, the word separator of every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,13 +46,16 @@ def release(spark: SparkSession, tag: str = "") -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(df: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns the input has; a null text counts as empty."""
+    importable_on_workers(df.sparkSession)
     return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
+    importable_on_workers(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
