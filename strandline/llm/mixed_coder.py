@@ -22,6 +22,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +42,9 @@ from pyspark.sql.window import Window
 from strandline.llm.shared import shared_folder, shuffle_partitions, text_of
 
 MAGIC = b"CMX1"
+_FILE = pa.schema([
+    ("file", pa.int64()), ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("coded", pa.binary()),
+])
 #: Blocks are shorter where a segment is small, so that about a thousand of them run in step.
 LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 800_000
 SLOTS = 1 << 10
@@ -169,6 +175,12 @@ class _Model:
 
 
 ALL = slice(None)
+_UNIT = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
+#: White space besides ASCII's six characters, as any of the libraries may see it.
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
+_OTHER = r"\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_OTHER_SPACE = re.compile(f"[{_OTHER}]")
+_PLAIN = re.compile(rf" ?[^\x00-\x20{_OTHER}]+")
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -269,29 +281,81 @@ def decode_ids(held: bytes) -> np.ndarray:
 
 
 class _Tokenizer:
-    """The tokenizers library behind a cache of pre-tokens, each of which it encodes on its own."""
+    """The tokenizers library behind a cache of units: a run of ASCII white space and what follows up to the next one.
+
+    A pre-token holds no white space after any other character, so units can be encoded on their own. Texts with
+    other white space are cut into pre-tokens instead.
+    """
+
+    MOST_UNITS, LONGEST_UNIT, TOGETHER = 200_000, 1 << 12, 1 << 18
 
     def __init__(self, definition: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(definition)
         self.whole.encode_special_tokens = True
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = [np.empty(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+
+    def units(self, text: str) -> list[str]:
+        odd = _SEPARATOR.search(text) or not text.isascii() and _OTHER_SPACE.search(text)
+        return self.split(text) if odd else _UNIT.findall(text)
+
+    def learn(self, units: list[str]) -> None:
+        """Encode new units; plain words in one call, a line each, as a line feed is a pre-token and a token of its own."""
+        for top in range(0, len(units), 4096):
+            plain, others = [], []
+            for unit in units[top : top + 4096]:
+                (plain if _PLAIN.fullmatch(unit) else others).append(unit)
+            parts, each = [], []
+            if plain:
+                line, *_ = self.whole.encode("\n", add_special_tokens=False).ids
+                found = np.array(self.whole.encode_batch_fast(["\n".join(plain) + "\n"], add_special_tokens=False)[0].ids, dtype=np.int32)
+                stops = np.flatnonzero(found == line)
+                if len(stops) != len(plain):
+                    raise ValueError("the tokenizer does not keep line feeds apart")
+                parts.append(np.delete(found, stops))
+                each.append(np.diff(stops, prepend=-1) - 1)
+            if others:
+                lists = [found.ids for found in self.whole.encode_batch_fast(others, add_special_tokens=False)]
+                parts.append(np.array(list(chain.from_iterable(lists)), dtype=np.int32))
+                each.append(np.array(list(map(len, lists)), dtype=np.int64))
+            first = len(self.place)
+            self.place.update(zip(plain + others, range(first, first + len(plain) + len(others)), strict=True))
+            self.ids += parts
+            self.ends.append(self.ends[-1][-1] + np.cumsum(np.concatenate(each)))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known = self.cache
-        for top in range(0, len(texts), 64):
-            split = [self.split(t) for t in texts[top : top + 64]]
-            every = set(chain.from_iterable(split))
-            fresh = [t for t in every if t not in known]
-            if len(known) + len(fresh) > 200_000:
-                known.clear()
-                fresh = list(every)
-            for name, found in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[name] = found.ids
-            for tokens in split:
-                yield np.fromiter(chain.from_iterable(map(known.__getitem__, tokens)), dtype=np.int64)
+        """The ids of each text; a few texts at a time are looked up together."""
+        held: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append(self.units(text))
+            size += len(text)
+            if size > self.TOGETHER or i == len(texts) - 1:
+                yield from self._look_up(held)
+                held, size = [], 0
+
+    def _look_up(self, texts: list[list[str]]) -> list[np.ndarray]:
+        every = list(chain.from_iterable(texts))
+        fresh = [u for u in dict.fromkeys(every) if u not in self.place]
+        if len(self.place) + len(fresh) > self.MOST_UNITS:
+            self.forget()
+            fresh = list(dict.fromkeys(every))
+        self.learn(fresh)
+        self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        at = np.fromiter(map(self.place.__getitem__, every), dtype=np.int64, count=len(every))
+        first, last = self.ends[0][at], self.ends[0][at + 1]
+        upto = np.cumsum(last - first)
+        ids = self.ids[0][np.repeat(last - upto, last - first) + np.arange(int(upto[-1]) if len(upto) else 0)].astype(np.int64)
+        if any(len(u) > self.LONGEST_UNIT for u in fresh):
+            self.forget()
+        return np.split(ids, np.r_[0, upto][np.cumsum([len(t) for t in texts])[:-1]])
 
 
 def write_ids(documents: DataFrame, definition: str, pattern: str, end_id: int = 0, path: str | None = None) -> str:
@@ -301,33 +365,33 @@ def write_ids(documents: DataFrame, definition: str, pattern: str, end_id: int =
     with open(definition) as held:
         shared = spark.sparkContext.broadcast(held.read())
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _Tokenizer(shared.value, pattern)
         file, number = TaskContext.get().partitionId(), 0
         docs: list = []
         ids: list[np.ndarray] = []
         held = 0
 
-        def segment() -> pd.DataFrame:
-            return pd.DataFrame({
-                "file": [file], "segment": [number], "doc_ids": [list(docs)], "lengths": [[len(x) for x in ids]],
-                "n_ids": [held], "coded": [encode_ids(np.concatenate(ids))],
-            })
-
-        for rows in batches:
-            for doc_id, found in zip(rows["doc_id"].astype("object"), tokenizer.encode(rows["text"].tolist()), strict=True):
-                new = np.append(found, end_id)
-                if held and held + len(new) > SEGMENT_IDS:
-                    yield segment()
-                    docs, ids, held, number = [], [], 0, number + 1
-                docs.append(None if pd.isna(doc_id) else int(doc_id))
-                ids.append(new)
-                held += len(new)
+        def segment() -> pa.RecordBatch:
+            row = {"file": file, "segment": number, "doc_ids": docs, "lengths": [len(x) for x in ids], "n_ids": held, "coded": encode_ids(np.concatenate(ids))}
+            return pa.RecordBatch.from_pylist([row], schema=_FILE)
+
+        for batch in batches:
+            for top in range(0, batch.num_rows, 256):
+                rows = batch.slice(top, 256)
+                for doc_id, found in zip(rows.column("doc_id").to_pylist(), tokenizer.encode(rows.column("text").to_pylist()), strict=True):
+                    new = np.append(found, end_id)
+                    if held and held + len(new) > SEGMENT_IDS:
+                        yield segment()
+                        docs, ids, held, number = [], [], 0, number + 1
+                    docs.append(doc_id)
+                    ids.append(new)
+                    held += len(new)
         if held:
             yield segment()
 
     ordered = text_of(documents).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInPandas(segments, "file long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, coded binary")
+    rows = ordered.mapInArrow(segments, "file long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, coded binary")
     rows.write.option("compression", "none").parquet(path)
     return path
 
