@@ -9,9 +9,11 @@ the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits aft
    few registers, so their bands are cut by size: sets of like size (levels a quarter apart; a set joins its
    own level and that of a set four fifths as large) spread the registers over as many bands as sets with
    similarity 0.8 can have different elements, plus one, again and again until there are 48. Bands with fewer
-   than four filled registers are left out (not below 32 shingles), as common word pairs alone would fill
-   them. Two sets with similarity 0.8 share no band with a chance of about 2e-5 or less; below 32 shingles
-   they always share one, by the pigeonhole principle.
+   than four filled registers are left out, as common word pairs alone would fill them. Two sets of 32 and
+   more shingles with similarity 0.8 share no band with a chance of about 2e-5 or less. Registers of smaller
+   sets are mostly empty, so those have the n - ceil(0.8 n) + 1 smallest of their n hashes as bands, and so
+   has a set that is up to a quarter larger than 31: two sets with similarity 0.8 always share one of these
+   (both would else lack more than a fifth of the other's hashes), at the level of the smaller set.
 3. Every class is compared with the smallest member of one of its bands, then with the smallest of all its
    bands where that still joins different components. Bands whose members are then still in several
    components are settled in blocks: their members' sets (as 32-bit hashes) meet in groups of at most 2048 by
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import shuffle_partitions, text_of, written
 
 REGISTERS, BANDS = 512, 64
-#: From SMALL shingles on a band needs LEAST filled registers; from LONG on there is one level for all.
+#: Below SMALL shingles the smallest hashes are the bands; a band of registers needs LEAST filled ones; from LONG on there is one level for all.
 SMALL, LONG, LEAST = 32, 512, 4
 SMALLER_BANDS = 48
 MANTISSA_BITS, ZERO_BITS = 10, 6
@@ -139,38 +141,49 @@ def _boundaries() -> list[int]:
 LEVELS = _boundaries()
 
 
-def _plan(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Registers in the order of their bands, where each band starts, a salt for each band, filled registers it needs."""
+def _plan(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Registers in the order of their bands, where each band starts, a salt for each band."""
     if level == len(LEVELS) - 1:
-        order, starts, least = np.arange(REGISTERS), np.arange(0, REGISTERS, REGISTERS // BANDS), LEAST
+        order, starts = np.arange(REGISTERS), np.arange(0, REGISTERS, REGISTERS // BANDS)
     else:
         largest = LEVELS[level + 1] - 1
         n = largest // 4 + 1
-        times = 1 if largest < SMALL else -(-SMALLER_BANDS // n)
+        times = -(-SMALLER_BANDS // n)
         shuffled = [np.argsort(mixed(np.arange(REGISTERS, dtype=U64) + U64(1009 * (t + 1) * (level + 1))), kind="stable") for t in range(times)]
         first = np.arange(n) * REGISTERS // n
         order = np.concatenate(shuffled)
         starts = np.concatenate([first + t * REGISTERS for t in range(times)])
-        least = 1 if largest < SMALL else LEAST
     salt = mixed(np.arange(len(starts), dtype=U64) + U64((level + 1) << 20))
-    return order, starts, salt, least
+    return order, starts, salt
 
 
 _PLANS: list = []
 
 
-def bands(sketch: np.ndarray, n: int) -> list[int]:
-    """Signed 64-bit keys of the bands of a set of n shingles."""
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of a set's sorted hashes, of which similar sets share one; none if no similar set is below SMALL."""
+    n = len(hashes)
+    least = -(-4 * n // 5)
+    return hashes[: n - least + 1] if least < SMALL else hashes[:0]
+
+
+def bands(sketch: np.ndarray, n: int, first: np.ndarray) -> list[int]:
+    """Signed 64-bit keys of the bands of a set of n shingles whose prefix is `first`."""
     if not _PLANS:
         _PLANS.extend(_plan(level) for level in range(len(LEVELS)))
+    levels = {bisect_right(LEVELS, n) - 1, bisect_right(LEVELS, -(-4 * n // 5)) - 1}
+    out: list[int] = []
+    for level in levels if len(first) else ():
+        out += mixed(first + mixed(U64([(level + 1) << 40]))).view(np.int64).tolist()
+    if n < SMALL:
+        return out
     filled = sketch != 0
     part = np.where(filled, mixed(sketch.astype(U64) + (np.arange(1, REGISTERS + 1, dtype=U64) << U64(20))), U64(0))
-    out: list[int] = []
-    for level in {bisect_right(LEVELS, n) - 1, bisect_right(LEVELS, -(-4 * n // 5)) - 1}:
-        order, starts, salt, least = _PLANS[level]
+    for level in levels:
+        order, starts, salt = _PLANS[level]
         sums = np.add.reduceat(part[order], starts)
         held = np.add.reduceat(filled[order].astype(np.int64), starts)
-        out += mixed(sums + salt)[held >= least].view(np.int64).tolist()
+        out += mixed(sums + salt)[held >= LEAST].view(np.int64).tolist()
     return out
 
 
@@ -197,7 +210,7 @@ def _chance(n_a: int, n_b: int) -> float:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, in one narrow pass."""
+    """doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, first (the prefix), in one narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -206,11 +219,11 @@ def sketches(documents: DataFrame) -> DataFrame:
                 h = shingles(text)
                 first, second = mixed(h), mixed(h ^ U64(0xD6E8FEB86659FD93))
                 key = f"{int(first.sum(dtype=U64)):016x}{int(second.sum(dtype=U64)):016x}" if len(h) else None
-                out.append((len(h), key, registers(h).tobytes() if len(h) else None))
-            n, keys, held = zip(*out, strict=True) if out else ((), (), ())
-            yield rows.assign(n_shingles=n, set_key=keys, sketch=held)
+                out.append((len(h), key, registers(h).tobytes() if len(h) else None, prefix(h).tobytes()))
+            n, keys, held, first = zip(*out, strict=True) if out else ((), (), (), ())
+            yield rows.assign(n_shingles=n, set_key=keys, sketch=held, first=first)
 
-    return text_of(documents).mapInPandas(run, "doc_id long, text string, n_shingles long, set_key string, sketch binary")
+    return text_of(documents).mapInPandas(run, "doc_id long, text string, n_shingles long, set_key string, sketch binary, first binary")
 
 
 class Store:
@@ -238,11 +251,11 @@ class Store:
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
-    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for held, sizes in batches:
-            yield pd.Series([bands(np.frombuffer(s, dtype=np.uint16), n) for s, n in zip(held, sizes, strict=True)])
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([bands(np.frombuffer(s, dtype=np.uint16), n, np.frombuffer(f, dtype=U64)) for s, n, f in zip(*rows, strict=True)])
 
-    return classes.select("node", F.explode(F.pandas_udf(keys, "array<long>")("sketch", "n_shingles")).alias("band"))
+    return classes.select("node", F.explode(F.pandas_udf(keys, "array<long>")("sketch", "n_shingles", "first")).alias("band"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -314,7 +327,7 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame:
     """(node, component) over classes with a link; see the steps in the module's description."""
-    classes = store.read().select("doc_id", "n_shingles", "sketch").join(heads.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    classes = store.read().select("doc_id", "n_shingles", "sketch", "first").join(heads.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     keyed = written(_band_rows(classes.withColumnRenamed("doc_id", "node")), "bands")
     shared = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(shared, "shared")

@@ -106,6 +106,24 @@ def test_blocks_settle_what_stars_leave_open(spark, monkeypatch, block):
     assert rows(near_copies.near_components(df), "doc_id", "n_shingles", "component_id", "kept") == near_brute(docs)
 
 
+def test_short_texts_keep_all_their_links(spark):
+    """Near pairs of 4 to 38 shingles: a text, and the same with words added."""
+    texts = []
+    for n in range(5, 33):
+        for k in range(120 if n < 8 else 8):
+            words = [f"t{n}k{k}w{i}" for i in range(n)]
+            more = [f"more{n}k{k}i{i}" for i in range((n - 1) // 4 if k % 2 else 1)]
+            texts += [" ".join(words), " ".join(words + more)]
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(0, len(texts), 2):  # texts of different pairs have no shingle in common
+        if 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1]):
+            label[a + 1] = a
+    got = rows(near_copies.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "component_id")
+    assert got == sorted(enumerate(label), key=str)
+    assert sum(i != x for i, x in enumerate(label)) == len(texts) / 2
+
+
 def test_estimate_is_corrected():
     a, b = near_copies.shingles(" ".join(f"a{i}" for i in range(90000))), near_copies.shingles(" ".join(f"b{i}" for i in range(90000)))
     s, used = near_copies.estimate(near_copies.registers(a), near_copies.registers(b), len(a), len(b))
