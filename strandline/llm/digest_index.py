@@ -6,7 +6,7 @@ the index by a sort-merge anti-join, and the survivors are appended; the index s
 shuffled. Only digests move: no text is shuffled.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays (null
-ids count as smallest; if all are null, the group's rows all report a null keep_id and none is kept);
+ids count as smallest; if all are null, the group's rows all report a null keep_id and none is kept, but `survivors` keeps one);
 repeated rows with the same doc_id are both kept rows of their group; extra columns are ignored.
 """
 
@@ -102,10 +102,16 @@ def exact_groups(documents: DataFrame, index: DigestIndex | None = None) -> Data
 def survivors(documents: DataFrame) -> DataFrame:
     """The rows of `documents` that stay, with all their columns: one for each different text.
 
-    Which rows go is settled on digests alone; repeated rows of one doc_id and text stay together.
+    Which rows go is settled on digests alone; repeated rows of one doc_id and text stay together. Where all
+    ids of a text are null, any one of its rows stays; partial aggregation leaves one a task.
     """
     groups = exact_groups(documents)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    # a row with a null id never stays beside a row with an id, and null ids alone are settled below
+    dropped = groups.where(~F.col("kept") & F.col("keep_id").isNotNull())
+    dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
     hashed = documents.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest"))
-    return hashed.join(dropped, same, "left_anti").select(*documents.columns)
+    left = hashed.where("doc_id IS NOT NULL").join(dropped, same, "left_anti").select(*documents.columns)
+    nameless = hashed.where("doc_id IS NULL").join(dropped, same, "left_anti")
+    one = nameless.groupBy("__sha").agg(F.any_value(F.struct(*documents.columns)).alias("__row"))
+    return left.unionByName(one.select("__row.*"))

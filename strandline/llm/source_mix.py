@@ -19,7 +19,7 @@ repeated rows are separate documents; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,9 +136,39 @@ def mix(documents: DataFrame) -> DataFrame:
     )
 
 
+def _copies(documents: DataFrame) -> DataFrame:
+    """doc_id, skey, size, copies: how often each row comes out whole, the words that the mix takes of it over its
+    words, rounded half up, so that a cut document comes out if half of it is taken; rows without words come out once."""
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
+    return mix(documents).select("doc_id", "skey", "size", "taken", copies.cast("int").alias("copies"))
+
+
+def _dealt(documents: DataFrame, found: DataFrame, copies: Column) -> DataFrame:
+    """Every row of `documents` as often as `copies`, a column of `found` (doc_id, skey, size, taken, copies), says.
+
+    Rows of one id and source that fare alike need no more key. Where they do not (repeated or null ids), rows of the
+    same size are the same to the mix: in the order of their texts' hashes they get their copies, most first.
+    """
+    found = written(found.select("doc_id", "skey", "size", copies.alias("copies")), "copies")
+    ids = found.groupBy(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey")).agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"))
+    ids = ids.where("__least <> 1 OR __most <> 1")
+    keyed = documents.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__skey") == F.col("__key"))
+    alike = keyed.join(ids, same, "left").withColumn("__n", F.when(F.col("__most").isNull(), 1).when(F.col("__least") == F.col("__most"), F.col("__most")).otherwise(0))
+    apart = ids.where("__least < __most")
+    rank = Window.partitionBy("doc_id", "__key", "__size")
+    rows = (
+        keyed.join(apart, same, "left_semi").withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+        .withColumn("__r", F.row_number().over(rank.orderBy(F.xxhash64("text"))))
+    )
+    share = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(F.desc("copies"))))
+    share = share.join(apart.select(F.col("__id"), F.col("__skey")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("skey") == F.col("__skey")), "left_semi")
+    share = share.select(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey"), F.col("size").alias("__s"), F.col("r").alias("__at"), F.col("copies").alias("__n"))
+    unlike = rows.join(share, same & (F.col("__size") == F.col("__s")) & (F.col("__r") == F.col("__at")))
+    out = alike.select(*documents.columns, "__n").unionByName(unlike.select(*documents.columns, "__n")).where("__n > 0")
+    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).select(*documents.columns)
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The rows of `documents` that the mix takes at least a word of, with all their columns."""
-    out = mix(documents).where("taken = 0 AND size > 0").select(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey")).distinct()
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__skey") == key)
-    return documents.join(out, same, "left_anti").select(*documents.columns)
+    """The rows of `documents` that the mix takes at least a word of, once each, with all their columns."""
+    return _dealt(documents, _copies(documents), F.when((F.col("taken") == 0) & (F.col("size") > 0), 0).otherwise(1))

@@ -165,6 +165,12 @@ def test_exact_survivors(odd):
     assert len(texts) == len(set(texts)) == len({t or "" for t in TEXTS})
 
 
+def test_exact_survivors_of_null_ids(spark):
+    docs = [(None, "alone", "x"), (None, "twice", "x"), (None, "twice", "y"), (None, "shared", "x"), (1, "shared", "y"), (2, "shared", "z"), (3, "own", "x"), (None, None, "x")]
+    kept = digest_index.survivors(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert rows(kept, "doc_id", "text") == sorted([(None, "alone"), (None, "twice"), (2, "shared"), (3, "own"), (None, None)], key=str)
+
+
 def mix_brute(docs):
     sizes = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in docs]
     total = defaultdict(int)
@@ -203,6 +209,17 @@ def test_source_mix(which, request):
     assert sorted(map(str, got)) == sorted(map(str, source_mix.mix(df.repartition(3)).collect()))
 
 
+def test_mixing_tells_rows_of_one_id_apart(spark):
+    """Source c is cut; all its rows have null ids or repeat one, and only rows that are not taken go."""
+    docs = [(None if i % 2 else 7, " ".join([f"t{i}"] * (3 + i % 4)), "c") for i in range(60)] + [(i, "word " * 10, "ab"[i % 2]) for i in range(40)]
+    docs += [(None, None, "c"), (None, "", "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = [(r["doc_id"], r["skey"][1:], r["size"]) for r in source_mix.mix(df).collect() if r["taken"] or not r["size"]]
+    assert 0 < sum(x[1] == "c" for x in taken) < 62
+    got = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in source_mix.mixed_documents(df).collect()]
+    assert sorted(got, key=str) == sorted(taken, key=str)
+
+
 def test_schedule_is_even(spark):
     shares = spark.createDataFrame([("a", 700), ("b", 200), ("c", 100), ("d", 0)], "skey string, quota long")
     slots = source_mix.schedule(shares, 1).orderBy("slot").collect()
