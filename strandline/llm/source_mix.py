@@ -172,3 +172,11 @@ def _dealt(documents: DataFrame, found: DataFrame, copies: Column) -> DataFrame:
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of `documents` that the mix takes at least a word of, once each, with all their columns."""
     return _dealt(documents, _copies(documents), F.when((F.col("taken") == 0) & (F.col("size") > 0), 0).otherwise(1))
+
+
+def repeated_documents(documents: DataFrame) -> DataFrame:
+    """The mix itself: the rows of `documents` once for every pass that takes them, with all their columns.
+
+    Words per source miss the targets by what rounding the cut documents gives, at most one document a pass.
+    """
+    return _dealt(documents, _copies(documents), F.col("copies"))

@@ -220,6 +220,18 @@ def test_mixing_tells_rows_of_one_id_apart(spark):
     assert sorted(got, key=str) == sorted(taken, key=str)
 
 
+def test_mix_repeats_documents_to_its_targets(spark):
+    docs = [(i, " ".join(["w"] * (1 + i % 9)), "abc"[0 if i < 40 else 1 if i < 300 else 2]) for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    _, total, target = mix_brute([(i, s, t) for i, t, s in docs])
+    words = Counter()
+    for r in source_mix.repeated_documents(df).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert target["a"] > total["a"]
+    for s in "abc":
+        assert abs(words[s] - target[s]) <= 2 * 9
+
+
 def test_schedule_is_even(spark):
     shares = spark.createDataFrame([("a", 700), ("b", 200), ("c", 100), ("d", 0)], "skey string, quota long")
     slots = source_mix.schedule(shares, 1).orderBy("slot").collect()
