@@ -1,7 +1,7 @@
 """Near-duplicate components by HyperMinHash.
 
-A document is its set of distinct two-word shingles, each a 64-bit hash (two words of one document clash
-with a chance below 1e-9). Its sketch has 512 registers: a shingle's hash picks one, and the register keeps
+A document is its set of distinct shingles of `words` words (two unless told otherwise), each a 64-bit hash
+(two words of one document clash with a chance below 1e-9). Its sketch has 512 registers: a shingle's hash picks one, and the register keeps
 the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits after the first one.
 
 1. Documents with equal sets form a class; one row a class goes on, so exact copies are never paired.
@@ -29,8 +29,8 @@ Every text moves once, into a table bucketed by document id; later steps take fr
 they need without moving the rest. Joins on hot keys have plain exchanges on both sides, so
 adaptive execution splits them. Nothing of the corpus is collected: the driver only counts.
 
-Defined results: null, empty and blank texts have an empty set and link with nothing; a single word is a set
-of one; a null doc_id stays a component of its own (null); doc_id is a key, so rows that repeat one must be equal, and
+Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer
+words than a shingle is a set of one; a null doc_id stays a component of its own (null); doc_id is a key, so rows that repeat one must be equal, and
 they repeat in the result; extra columns are ignored.
 """
 
@@ -86,8 +86,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the two-word shingles of a text."""
+def shingles(text: str, words: int = 2) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
     raw = np.frombuffer(text.encode("utf-8", "replace").translate(_LOWER), dtype=np.uint8)
     word = np.zeros(len(raw) + 2, dtype=np.int8)
     word[1:-1] = ~_SPACE[raw]
@@ -97,10 +97,13 @@ def shingles(text: str) -> np.ndarray:
         return np.empty(0, dtype=U64)
     total = np.zeros(len(raw) + 1, dtype=U64)
     np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw))[: len(raw)], out=total[1:])
-    words = mixed((total[end] - total[start]) * _powers(_INVERSE, len(raw))[start] + (end - start).astype(U64))
-    if len(words) == 1:
-        return words
-    return np.unique(mixed(words[:-1] * U64(3) + mixed(words[1:] + U64(7))))
+    hashes = mixed((total[end] - total[start]) * _powers(_INVERSE, len(raw))[start] + (end - start).astype(U64))
+    width = min(words, len(hashes))
+    n = len(hashes) - width + 1
+    out = hashes[:n]
+    for i in range(1, width):
+        out = mixed(out * U64(3) + mixed(hashes[i : i + n] + U64(7)))
+    return np.unique(out)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -209,14 +212,14 @@ def _chance(n_a: int, n_b: int) -> float:
     return min(out, 0.5)
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, words: int = 2) -> DataFrame:
     """doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, first (the prefix), in one narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for text in rows["text"]:
-                h = shingles(text)
+                h = shingles(text, words)
                 first, second = mixed(h), mixed(h ^ U64(0xD6E8FEB86659FD93))
                 key = f"{int(first.sum(dtype=U64)):016x}{int(second.sum(dtype=U64)):016x}" if len(h) else None
                 out.append((len(h), key, registers(h).tobytes() if len(h) else None, prefix(h).tobytes()))
@@ -229,12 +232,12 @@ def sketches(documents: DataFrame) -> DataFrame:
 class Store:
     """Texts and sketches in a table bucketed by doc_id: rows are picked by id without moving the others."""
 
-    def __init__(self, documents: DataFrame):
-        self.spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, words: int = 2):
+        self.spark, self.words = documents.sparkSession, words
         self.name = f"strandline_sketches_{uuid.uuid4().hex}"
         n = shuffle_partitions(self.spark)
         (
-            sketches(documents).repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd")
+            sketches(documents, words).repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd")
             .format("parquet").saveAsTable(self.name)
         )
 
@@ -281,6 +284,7 @@ def confirmed(pairs: DataFrame, store: Store, percent: int) -> DataFrame:
             yield rows.loc[keep, ["a", "b"]]
 
     candidates = written(sketched.mapInPandas(likely, "a long, b long"), "likely")
+    words = store.words
     texts = store.pick(_ids(candidates), "text")
     both = candidates.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
@@ -290,8 +294,8 @@ def confirmed(pairs: DataFrame, store: Store, percent: int) -> DataFrame:
             keep = []
             for a, text_a, text_b in zip(rows["a"], rows["text_a"], rows["text_b"], strict=True):
                 if a != last:
-                    last, held = a, shingles(text_a)
-                other = shingles(text_b)
+                    last, held = a, shingles(text_a, words)
+                other = shingles(text_b, words)
                 shared = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
             yield rows.loc[keep, ["a", "b"]]
@@ -353,11 +357,11 @@ def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame
 
 def _settled(rows: DataFrame, store: Store, percent: int) -> DataFrame:
     """Pairs (a, b) that join components of the (band, node, component, n) rows, by blocks of each band."""
-    wanted = rows.select(F.col("node").alias("doc_id")).distinct()
+    wanted, words = rows.select(F.col("node").alias("doc_id")).distinct(), store.words
 
     def short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            held = [np.unique((shingles(t) >> U64(32)).astype(np.uint32)).tobytes() for t in texts["text"]]
+            held = [np.unique((shingles(t, words) >> U64(32)).astype(np.uint32)).tobytes() for t in texts["text"]]
             yield pd.DataFrame({"node": texts["node"], "held": held})
 
     sets = written(store.pick(wanted, "text").mapInPandas(short_sets, "node long, held binary"), "sets")
@@ -435,9 +439,9 @@ def _more(pairs: DataFrame, links: DataFrame, parts: DataFrame, store: Store, pe
     return links, written(components(links), "parts")
 
 
-def near_components(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    store = Store(documents)
+def near_components(documents: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; shingles are of `words` words."""
+    store = Store(documents, words)
     thin = written(store.read().select("doc_id", "n_shingles", "set_key"), "thin")
     # sets of one key are equal: only the smallest id of each goes on
     heads = thin.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"))
@@ -456,7 +460,7 @@ def near_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def survivors(documents: DataFrame, percent: int = 80) -> DataFrame:
+def survivors(documents: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
     """The rows of `documents` that stay, with all their columns: one document of each component."""
-    dropped = near_components(documents, percent).where(~F.col("kept")).select("doc_id").distinct()
+    dropped = near_components(documents, percent, words).where(~F.col("kept")).select("doc_id").distinct()
     return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)

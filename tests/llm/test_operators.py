@@ -124,6 +124,29 @@ def test_short_texts_keep_all_their_links(spark):
     assert sum(i != x for i, x in enumerate(label)) == len(texts) / 2
 
 
+@pytest.mark.parametrize("words", [2, 5])
+def test_width_of_shingles(spark, words):
+    """Ten scattered words of 200 changed leave two-word sets near, five-word sets not."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join("new" if i % 20 == 7 else w for i, w in enumerate(base)), " ".join(base + ["end"]), "a b c", "a b c", "a b c d"]
+    texts += [" ".join(f"v{i}" for i in range(k)) for k in (20, 24, 26)]
+
+    def cut(t):
+        w = t.split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    sets, label = [cut(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(near_copies.near_components(df, words=words), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((i, len(s), x) for i, (s, x) in enumerate(zip(sets, label))), key=str)
+    assert (label[1] == 0) == (words == 2)
+
+
 def test_estimate_is_corrected():
     a, b = near_copies.shingles(" ".join(f"a{i}" for i in range(90000))), near_copies.shingles(" ".join(f"b{i}" for i in range(90000)))
     s, used = near_copies.estimate(near_copies.registers(a), near_copies.registers(b), len(a), len(b))
