@@ -1,47 +1,55 @@
 """Stupid-backoff scores, relationally.
 
-A text w1 ... wn scores sum ln S(wi | wi-1), where S is count(wi-1 wi) / count(wi-1) if the pair occurs in the
-corpus and ALPHA * count(wi) / N otherwise; the first word's context is the empty n-gram, whose count is N. So
-the sum falls apart into one term for each n-gram and document: a pair's occurrences times the logarithm of
-its count, less those of its contexts. Count tables and exploded n-grams are partitioned by the n-gram's
-64-bit hash and joined there; terms are summed per document.
-
-Scale: n-grams are gathered in each Arrow batch first, as one entry (hash, count, posting list of document and
-weight). A very common n-gram is one entry a batch, whatever it occurs in, so no key is hot. Where a corpus
-scores itself, no pair can be missing; entries then travel as compressed blocks, one for each batch and
-bucket of hashes, and a bucket's count table is built and joined to its entries in one place: a single
-shuffle of less than twice the Parquet input. Orders above two are left out: their postings would be several
-times the corpus.
-
-Defined results: null, empty and blank texts have 0 tokens and a null score; a null doc_id counts in the corpus
-and has a null score; rows of one doc_id are scored together; a word that the corpus lacks scores as if
-it occurred once; extra columns are ignored. Words are case-sensitive.
+The score of a text is the mean of ln S over its words, where for n-grams of up to `order` words (three unless
+told otherwise) S(w | context) = count(context w) / count(context) if that n-gram occurs in the corpus, and else
+ALPHA * S(w | context less its first word); a word alone scores its count, at least 1, over the number of words.
+Where a corpus scores itself, each document is scored by the counts of all *other* documents (the corpus counts
+less its own), so that unseen n-grams back off and copies of other documents stand out.
+
+1. Documents are bundled into blocks of about PIECE bytes of text and written, so that a block keeps its name.
+2. Each block is exploded into its n-grams; every distinct one is one entry (hash, count). Entries are
+   partitioned by hash into buckets, and travel as compressed lists, one for each block and bucket.
+3. A bucket adds up its count table and joins it to the entries: each list is answered by the corpus counts, in
+   the order of the entries. However common an n-gram is, it is one entry a block, so no bucket is hot; the
+   number of buckets follows from the number of words, so a bucket stays at about BUCKET_ENTRIES.
+4. Answers and blocks meet by block. A block's n-grams are taken again, in the same order; each word's log S is
+   worked out and summed per document.
+
+Hashes have 56 bits: of g different n-grams, a share of g / 2^56 shares its hash with another and counts too much
+(4e-5 of them for 100 TB of text).
+
+Defined results: every row is a document of its own, also rows that repeat a doc_id or have none; null, empty and
+blank texts have 0 tokens and a null score; a word that no other document holds counts as once; where a document
+is the whole corpus, the number of words counts as one; extra columns are ignored. Words are case-sensitive.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import shuffle_partitions, text_of
+from strandline.llm.shared import shuffle_partitions, text_of, written
 
-ALPHA = 0.4
-EMPTY, WORD, PAIR = 0, 1, 2
+ALPHA, ORDER = 0.4, 3
+#: Bytes of text in a block; entries in a bucket.
+PIECE, BUCKET_ENTRIES = 12 << 20, 4_000_000
+#: Bytes of text that are hashed at once: eight bytes of working memory each, several times over.
+CHUNK = 1 << 21
 U64 = np.uint64
-_POSTING = np.dtype([("doc", "<i8"), ("weight", "<i4")])
+HASH_BITS = 56
 _MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 _CHARACTER = (np.arange(1, 257, dtype=U64) * _MIX[0]) ^ (np.arange(1, 257, dtype=U64) * _MIX[1] >> U64(29))
 _BASE = 0xD1342543DE82EF95
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,13 +58,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-#: Characters that are hashed at once: eight bytes of working memory each, several times over.
-CHUNK = 1 << 21
-#: Bytes of text whose n-grams are gathered together.
-PIECE = 12 << 20
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     if base not in _POWERS or len(_POWERS[base]) < n:
         out = np.full(1 << max(12, (n - 1).bit_length()), U64(base))
@@ -65,13 +66,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = ~_SPACE[raw]
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the text that each is in."""
     words, of, first, size = [np.empty(0, dtype=U64)], [np.empty(0, dtype=np.int64)], 0, 0
     for i, text in enumerate(texts):
         size += len(text)
         if size > CHUNK or i == len(texts) - 1:
-            some, place = _hashes([t.encode("utf-8", "replace") for t in texts[first : i + 1]])
+            some, place = _hashes(texts[first : i + 1])
             words.append(some)
             of.append(place + first)
             first, size = i + 1, 0
@@ -80,12 +89,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-    if not len(raw):
+    start, end = _edges(raw)
+    if not len(start):
         return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[raw]
-    edges = np.diff(inside)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     total = np.zeros(len(raw) + 1, dtype=U64)
     np.cumsum(_CHARACTER[raw] * _powers(_BASE, len(raw)), out=total[1:])
     back = _powers(pow(_BASE, -1, 1 << 64), len(raw))
@@ -93,221 +99,185 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
 
 
-class Entries:
-    """The n-grams of one kind in a batch, sorted: their counts, and postings of `each` length, one after another."""
-
-    def __init__(self, kind: int, grams: np.ndarray, counts: np.ndarray, each: np.ndarray, docs: np.ndarray, weights: np.ndarray):
-        self.kind, self.grams, self.counts, self.each, self.docs, self.weights = kind, grams, counts, each, docs, weights
-
-    @classmethod
-    def gather(cls, kind: int, grams: np.ndarray, text: np.ndarray, weight: np.ndarray, ids: np.ndarray, known: np.ndarray) -> Entries:
-        """From single occurrences; a text's occurrences of an n-gram are one posting."""
-        order = np.argsort(grams, kind="stable")  # texts come in order and stay so
-        grams, text, weight = grams[order], text[order], weight[order]
-        new_gram = np.r_[True, grams[1:] != grams[:-1]]
-        at = np.flatnonzero(new_gram | np.r_[True, text[1:] != text[:-1]])
-        weight, text = np.add.reduceat(weight, at), text[at]
-        starts = np.flatnonzero(new_gram)
-        held = known[text] & (weight != 0)
-        of = np.cumsum(new_gram)[at][held] - 1
-        each = np.bincount(of, minlength=len(starts))
-        return cls(kind, grams[starts], np.diff(np.r_[starts, len(grams)]), each, ids[text[held]], weight[held].astype(np.int32))
-
-    def postings(self) -> pa.Array:
-        entries = np.empty(len(self.docs), dtype=_POSTING)
-        entries["doc"], entries["weight"] = self.docs, self.weights
-        offsets = np.r_[0, np.cumsum(self.each)] * _POSTING.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(self.grams), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(entries)])
-
-    def blocks(self, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-        """(bucket, kind, block) for each bucket of hashes that has any."""
-        bucket = (self.grams >> U64(33)).astype(np.int64) * buckets >> 31
-        edges, ends = np.searchsorted(bucket, np.arange(buckets + 1)), np.r_[0, np.cumsum(self.each)]
-        for b in np.flatnonzero(np.diff(edges)):
-            i, j = edges[b], edges[b + 1]
-            x, y = ends[i], ends[j]
-            base = int(self.docs[x:y].min()) if y > x else 0
-            parts = (np.diff(self.grams[i:j], prepend=U64(0)), self.counts[i:j].astype(np.int32), self.each[i:j].astype(np.int32),
-                     (self.docs[x:y] - base).astype(np.int64), self.weights[x:y])
-            planes = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(-1, p.itemsize).T).tobytes() for p in parts)
-            yield int(b), self.kind, struct.pack("<qqq", j - i, y - x, base) + zstandard.compress(planes, 1)
-
-    @classmethod
-    def unpacked(cls, kind: int, block: bytes) -> Entries:
-        n, m, base = struct.unpack_from("<qqq", block)
-        planes, at, parts = zstandard.decompress(block[24:]), 0, []
-        for kind_of, size in ((U64, n), (np.int32, n), (np.int32, n), (np.int64, m), (np.int32, m)):
-            wide = np.dtype(kind_of).itemsize
-            held = np.frombuffer(planes, dtype=np.uint8, count=wide * size, offset=at).reshape(wide, size)
-            parts.append(np.ascontiguousarray(held.T).reshape(-1).view(kind_of))
-            at += wide * size
-        return cls(kind, np.cumsum(parts[0], dtype=U64), *parts[1:3], parts[3] + base, parts[4])
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about PIECE bytes of text, so that working memory stays bounded."""
-    size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    edges = np.flatnonzero(np.diff(size // PIECE, prepend=0)) if len(size) else []
-    for a, b in zip([0, *edges], [*edges, len(size)], strict=True):
-        if b > a:
-            yield batch.slice(int(a), int(b - a))
-
-
-def _entries(batch: pa.RecordBatch) -> tuple[list[Entries], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All kinds of a batch, and what words its pairs consist of."""
-    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-    words, text = word_hashes(batch.column("text").to_pylist())
-    if not len(words):
-        return [], (words, words, words)
-    first, last = np.r_[True, text[1:] != text[:-1]], np.r_[text[1:] != text[:-1], True]
-    out = [
-        Entries.gather(EMPTY, np.zeros(len(words), dtype=U64), text, -1 * first, ids, known),
-        Entries.gather(WORD, words, text, 1 * first - 1 * ~last, ids, known),
-    ]
-    pair = np.flatnonzero(~first)
-    both = _mixed(words[pair - 1] * U64(3) + _mixed(words[pair] + U64(11)))
-    if len(pair):
-        out.append(Entries.gather(PAIR, both, text[pair], np.ones(len(pair), dtype=np.int64), ids, known))
-    return out, (both, words[pair - 1], words[pair])
-
-
-_GRAMS = "kind byte, gram long, n long, postings binary"
-
-
-def grams(documents: DataFrame, parts: bool = False) -> DataFrame:
-    """(kind, gram, n, postings) rows of each batch; with `parts` also the hashes of a pair's words."""
+class Grams:
+    """The n-grams of all orders of a block of texts, in one array: those of one word, of two, and so on."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        words, self.text = word_hashes(texts)
+        n = len(words)
+        starts = np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]) if n else np.empty(0, dtype=np.int64)
+        self.place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))  # of a word in its text
+        gram, parts, self.ends_at = words, [], []
+        for k in range(1, order + 1):
+            if k > 1:
+                gram = _mixed(gram[:-1] * U64(3) + _mixed(words[k - 1 :] + U64(11)))
+            at = np.flatnonzero(self.place >= k - 1)  # the last word of each n-gram
+            parts.append(_mixed(gram[at - (k - 1)] + U64(k)) >> U64(64 - HASH_BITS))
+            self.ends_at.append(at)
+        self.hashes = np.concatenate(parts)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes and how often the block has each."""
+        return np.unique(self.hashes, return_counts=True)
+
+    def counts(self, totals: np.ndarray | None, leave_out: bool) -> list[np.ndarray]:
+        """Per order and word, how often the corpus has the n-gram that ends there; without the word's own text if
+        `leave_out`. `totals` are the corpus counts of the distinct hashes, 0 where an n-gram does not fit."""
+        order = np.argsort(self.hashes, kind="stable")
+        held, text = self.hashes[order], np.concatenate([self.text[at] for at in self.ends_at])[order]
+        new = np.r_[True, held[1:] != held[:-1]]
+        found = totals[np.cumsum(new) - 1]
+        if leave_out:  # runs of equal n-gram and text: within an order, texts come one after another and stay so
+            starts = np.flatnonzero(new | np.r_[True, text[1:] != text[:-1]])
+            size = np.diff(np.r_[starts, len(held)])
+            found = found - np.repeat(size, size)
+        back = np.empty(len(held), dtype=np.int64)
+        back[order] = found
+        out = []
+        for at, part in zip(self.ends_at, np.split(back, np.cumsum([len(at) for at in self.ends_at])[:-1]), strict=True):
+            out.append(np.zeros(len(self.text), dtype=np.int64))
+            out[-1][at] = part
+        return out
+
+
+def log_scores(grams: Grams, counts: list[np.ndarray], words: np.ndarray, alpha: float) -> np.ndarray:
+    """ln S of every word; `words` is the number of words of the corpus that scores it."""
+    out = np.log(np.maximum(counts[0], 1)) - np.log(np.maximum(words, 1))
+    for k in range(1, len(counts)):
+        fits = grams.place >= k
+        seen = fits & (counts[k] > 0)
+        out[fits & ~seen] += math.log(alpha)
+        at = np.flatnonzero(seen)
+        out[at] = np.log(counts[k][at]) - np.log(counts[k - 1][at - 1])
+    return out
+
+
+# --- blocks of texts
+
+
+def _packed(texts: list[bytes]) -> bytes:
+    return zstandard.compress(b"".join(texts), 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _pieces(whole)):
-            found, (both, left, right) = _entries(batch)
-            for e in found:
-                columns = [pa.array(np.full(len(e.grams), e.kind, dtype=np.int8)), pa.array(e.grams.view(np.int64)), pa.array(e.counts.astype(np.int64)), e.postings()]
-                names = ["kind", "gram", "n", "postings"]
-                if parts and e.kind == PAIR:
-                    at = np.unique(both, return_index=True)[1]
-                    columns += [pa.array(side[at].view(np.int64)) for side in (left, right)]
-                elif parts:
-                    columns += [pa.nulls(len(e.grams), pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays(columns, names + (["left", "right"] if parts else []))
 
-    return text_of(documents).mapInArrow(run, _GRAMS + (", left long, right long" if parts else ""))
+def _unpacked(held: bytes, lengths: np.ndarray) -> list[bytes]:
+    whole = zstandard.decompress(held, max_output_size=max(1, int(np.sum(lengths)))) if len(lengths) and np.sum(lengths) else b""
+    ends = np.cumsum(lengths).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def count_tables(rows: DataFrame) -> DataFrame:
-    """(kind, gram, total): how often the corpus has each n-gram."""
-    return rows.groupBy("kind", "gram").agg(F.sum("n").alias("total"))
+_BLOCKS = pa.schema([
+    ("block", pa.int64()), ("words", pa.int64()), ("ids", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary()),
+])
 
 
-def _term_sums(joined: DataFrame) -> DataFrame:
-    """(doc_id, terms, tokens) partial sums of (kind, total, postings) rows."""
+def blocks(documents: DataFrame) -> DataFrame:
+    """(block, words, ids, known, lengths, texts), written; an id that is not known is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        name = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            docs, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            terms = np.bincount(place, np.concatenate([h[1] for h in held]), len(docs))
-            tokens = np.bincount(place, np.concatenate([h[2] for h in held]), len(docs)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(terms), pa.array(tokens)], ["doc_id", "terms", "tokens"])
+        def block() -> pa.RecordBatch:
+            words = sum(len(_edges(np.frombuffer(t, dtype=np.uint8))[0]) for t in texts)
+            row = {"block": name, "words": words, "ids": [i or 0 for i in ids], "known": [i is not None for i in ids], "lengths": [len(t) for t in texts]}
+            return pa.RecordBatch.from_pylist([row | {"texts": _packed(texts)}], schema=_BLOCKS)
 
         for batch in batches:
-            lists = batch.column("postings")
-            offsets = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            entries = np.frombuffer(lists.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].view(_POSTING)
-            if not len(entries):
-                continue
-            each = np.diff(offsets) // _POSTING.itemsize
-            log = np.repeat(np.log(batch.column("total").to_numpy()), each)
-            kind = np.repeat(batch.column("kind").to_numpy(), each)
-            weight = entries["weight"].astype(np.float64)
-            held.append((entries["doc"], weight * log, np.where(kind == PAIR, weight, kind == EMPTY)))
-            size += len(entries)
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return joined.select("kind", "total", "postings").mapInArrow(run, "doc_id long, terms double, tokens long")
-
-
-def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_tokens and score (mean of ln S over the tokens) of every document.
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if texts and size + len(text) > PIECE:
+                    yield block()
+                    name, ids, texts, size = name + 1, [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield block()
 
-    Counts come from `corpus`, or from the documents themselves if there is none.
-    """
-    if corpus is None:
-        terms = _own_terms(documents)
-    else:
-        terms = _with_backoff(grams(documents, parts=True), count_tables(grams(corpus)), alpha)
-    sums = terms.groupBy("doc_id").agg(F.sum("terms").alias("terms"), F.sum("tokens").alias("tokens"))
-    return documents.select("doc_id").join(sums, "doc_id", "left").select(
-        "doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("n_tokens"), (F.col("terms") / F.col("tokens")).alias("score")
-    )
-
-
-def _own_terms(documents: DataFrame, buckets_a_partition: int = 2) -> DataFrame:
-    """Term sums of a corpus that scores itself, bucket by bucket of n-gram hashes."""
-    groups = shuffle_partitions(documents.sparkSession)
-    buckets = buckets_a_partition * groups
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _pieces(whole)):
-            rows = [row for e in _entries(batch)[0] for row in e.blocks(buckets)]
-            if rows:
-                bucket, kind, block = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary())], ["bucket", "kind", "block"])
+    rows = text_of(documents).mapInArrow(run, "block long, words long, ids array<long>, known array<boolean>, lengths array<long>, texts binary")
+    return written(rows, "blocks")
+
+
+# --- counts by hash
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, which compress better."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _from_planes(held: bytes, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(held), dtype=np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def entries(held: DataFrame, order: int, buckets: int, answered: bool) -> DataFrame:
+    """(bucket, block, hashes, counts) for each block and bucket; blocks that are not to be answered have no name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for block, texts, lengths in zip(rows["block"], rows["texts"], rows["lengths"], strict=True):
+                hashes, counts = Grams(_unpacked(texts, lengths), order).distinct()
+                edges = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))
+                out = [(b, block, _planes(np.diff(hashes[i:j], prepend=U64(0))), _planes(counts[i:j].astype(np.int32)))
+                       for b, i, j in zip(range(buckets), edges.tolist(), edges[1:].tolist(), strict=False) if j > i]
+                if out:
+                    frame = pd.DataFrame(out, columns=["bucket", "block", "hashes", "counts"]).astype({"block": "Int64"})
+                    yield frame if answered else frame.assign(block=pd.array([None] * len(frame), dtype="Int64"))
+
+    return held.select("block", "texts", "lengths").mapInPandas(run, "bucket long, block long, hashes binary, counts binary")
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> U64(HASH_BITS - 31)).astype(np.int64) * buckets >> 31
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """(block, bucket, totals): the corpus count of each entry, in the entries' order; one count table a bucket."""
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        docs, terms, tokens = [], [], []
-        for kind in (EMPTY, WORD, PAIR):
-            held = [Entries.unpacked(kind, b) for b in group["block"][group["kind"] == kind]]
-            if not held:
-                continue
-            grams = np.concatenate([e.grams for e in held])
-            _, place = np.unique(grams, return_inverse=True)
-            table = np.bincount(place, np.concatenate([e.counts for e in held]))  # exact: counts are below 2^53
-            log = np.repeat(np.log(table)[place], np.concatenate([e.each for e in held]))
-            weight = np.concatenate([e.weights for e in held]).astype(np.float64)
-            docs.append(np.concatenate([e.docs for e in held]))
-            terms.append(weight * log)
-            tokens.append(weight if kind == PAIR else np.full(len(weight), float(kind == EMPTY)))
-        ids, place = np.unique(np.concatenate(docs), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate(x), len(ids)) for x in (terms, tokens)]
-        to = (_mixed(ids.view(U64)) % U64(groups)).astype(np.int64)  # all buckets' sums of a document meet in one group
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(groups + 1))
+        lists = [np.cumsum(_from_planes(h, U64), dtype=U64) for h in group["hashes"]]
+        counts = np.concatenate([_from_planes(c, np.int32) for c in group["counts"]])
+        _, place = np.unique(np.concatenate(lists), return_inverse=True)
+        totals = np.bincount(place, counts).astype(np.int64)[place]  # exact: counts are below 2^53
+        out, at = [], 0
+        for bucket, block, held in zip(group["bucket"], group["block"], lists, strict=True):
+            if not pd.isna(block):
+                out.append((int(block), bucket, _planes(totals[at : at + len(held)])))
+            at += len(held)
+        return pd.DataFrame(out, columns=["block", "bucket", "totals"])
+
+    return rows.groupBy("bucket").applyInPandas(join, "block long, bucket long, totals binary")
+
+
+def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, order: int = ORDER) -> DataFrame:
+    """doc_id, n_tokens and score (mean of ln S over the tokens) of every document.
+
+    Counts come from `corpus`, or from the other documents if there is none.
+    """
+    asked, own = blocks(documents), corpus is None
+    counted = asked if own else blocks(corpus)
+    total = counted.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(documents.sparkSession), -(-order * total // BUCKET_ENTRIES))
+    rows = entries(asked, order, buckets, True)
+    if not own:  # the documents' n-grams are asked for but do not count
+        nothing = F.pandas_udf(lambda counts: counts.map(lambda c: _planes(np.zeros_like(_from_planes(c, np.int32)))), "binary")
+        rows = rows.withColumn("counts", nothing("counts")).unionByName(entries(counted, order, buckets, False))
+
+    def score(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for g in np.flatnonzero(np.diff(edges)):
-            at = order[edges[g] : edges[g + 1]]
-            out.append((int(g), zstandard.compress(ids[at].tobytes() + sums[0][at].tobytes() + sums[1][at].tobytes(), 1)))
-        return pd.DataFrame(out, columns=["part", "sums"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(zstandard.decompress(x), dtype=np.int64).reshape(3, -1) for x in group["sums"]]
-        ids, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([h[i].view(np.float64) for h in held]), len(ids)) for i in (1, 2)]
-        return pd.DataFrame({"doc_id": ids, "terms": sums[0], "tokens": sums[1].astype(np.int64)})
-
-    blocks = text_of(documents).mapInArrow(pack, "bucket int, kind byte, block binary")
-    sums = blocks.groupBy("bucket").applyInPandas(join, "part int, sums binary")
-    return sums.groupBy("part").applyInPandas(add, "doc_id long, terms double, tokens long")
-
-
-def _with_backoff(rows: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
-    """Term sums where pairs may be missing: such a pair's words are looked up on their own."""
-    known = rows.join(counts, ["kind", "gram"], "left")
-    seen = known.where((F.col("kind") != PAIR) | F.col("total").isNotNull())
-    missing = known.where((F.col("kind") == PAIR) & F.col("total").isNull())
-    # the pair's context no longer divides, its second word counts, and N and alpha enter once
-    single = lambda side: missing.select(F.lit(WORD).cast("byte").alias("kind"), F.col(side).alias("gram"), "postings")
-    again = single("left").unionByName(single("right")).join(counts, ["kind", "gram"], "left")
-    sums = _term_sums(seen.withColumn("total", F.coalesce("total", F.lit(1)))).unionByName(
-        _term_sums(again.withColumn("total", F.coalesce("total", F.lit(1))))
-    )
-    n = counts.where(F.col("kind") == EMPTY).agg(F.max("total").alias("n"))
-    backed = _term_sums(missing.withColumn("total", F.lit(1).cast("long")))
-    shift = F.col("tokens") * (math.log(alpha) - F.log(F.coalesce("n", F.lit(1)).cast("double")))
-    return sums.unionByName(backed.crossJoin(F.broadcast(n)).select("doc_id", shift.alias("terms"), "tokens"))
+        lists = [_from_planes(x, np.int64) for x in found.sort_values("bucket")["totals"]]
+        totals = np.concatenate(lists) if lists else None
+        for ids, known, lengths, texts in zip(held["ids"], held["known"], held["lengths"], held["texts"], strict=True):
+            grams, n = Grams(_unpacked(texts, lengths), order), len(ids)
+            size = np.bincount(grams.text, minlength=n)
+            sums = np.zeros(n)
+            if len(grams.text):
+                each = log_scores(grams, grams.counts(totals, own), (total - size if own else np.full(n, total))[grams.text], alpha)
+                sums = np.bincount(grams.text, each, n)
+            score_ = pd.array([x / k if k else None for x, k in zip(sums.tolist(), size.tolist(), strict=True)], dtype="Float64")
+            out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.array(ids), ~np.array(known, dtype=bool)), "n_tokens": size, "score": score_}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "score": []})
+
+    by_block = asked.select("block", "ids", "known", "lengths", "texts").groupBy("block")
+    return by_block.cogroup(answers(rows).groupBy("block")).applyInPandas(score, "doc_id long, n_tokens long, score double")

@@ -1,21 +1,24 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+#: Three-word stupid backoff; a document's own n-grams do not count for it.
 OP1 = """
 WITH words AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
-), pairs AS (
-  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words
-), one AS (SELECT w, count(*) AS n FROM words GROUP BY w
-), two AS (SELECT before, w, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY ALL
-), total AS (SELECT count(*) AS n FROM words
-), scored AS (
-  SELECT p.doc_id, count(*) AS n_tokens,
-         sum(ln(CASE WHEN p.before IS NULL THEN one.n / total.n ELSE two.n / context.n END)) / count(*) AS score
-  FROM pairs p JOIN one ON one.w = p.w CROSS JOIN total
-  LEFT JOIN two ON two.before = p.before AND two.w = p.w LEFT JOIN one context ON context.w = p.before
-  GROUP BY p.doc_id
-)
+), grams AS (
+  SELECT doc_id, i, w, lag(w) OVER d AS p, lag(w, 2) OVER d AS q, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT doc_id, i, p, q, n, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+         count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY doc_id, p, w) AS c2,
+         count(*) OVER (PARTITION BY q, p, w) - count(*) OVER (PARTITION BY doc_id, q, p, w) AS c3
+  FROM grams
+), near AS (
+  SELECT *, lag(c1) OVER d AS x1, lag(c2) OVER d AS x2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), s1 AS (SELECT *, greatest(c1, 1) / greatest(n, 1) AS s FROM near
+), s2 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN s WHEN c2 > 0 THEN c2 / x1 ELSE 0.4::DOUBLE * s END AS s) FROM s1
+), s3 AS (SELECT * REPLACE (CASE WHEN q IS NULL THEN s WHEN c3 > 0 THEN c3 / x2 ELSE 0.4::DOUBLE * s END AS s) FROM s2
+), scored AS (SELECT doc_id, count(*) AS n_tokens, sum(ln(s)) / count(*) AS score FROM s3 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, round(score, 6) AS score FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id
 """
 

@@ -402,34 +402,64 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert {r["score"] for r in toxicity.classify(odd, labels.limit(0)).collect()} == {0.0}
 
 
-def backoff_brute(docs, corpus, alpha=0.4):
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    one, two = Counter(), Counter()
-    for _, t in corpus:
-        w = split(t)
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    n, out = sum(one.values()), defaultdict(lambda: [0.0, 0])
+def backoff_brute(docs, corpus, own, order, alpha=0.4):
+    """Every row scored by the corpus; by the other rows where the corpus is the documents themselves."""
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        return w, Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+
+    held = [grams(t) for _, t in corpus]
+    counts, n = sum((g for _, g in held), Counter()), sum(len(w) for w, _ in held)
+    out = []
     for i, t in docs:
-        w = split(t)
-        for a, b in zip([None, *w], w):
-            seen = one.get(b, 1)
-            s = seen / max(n, 1) if a is None else two[a, b] / one[a] if two[a, b] else alpha * seen / max(n, 1)
-            out[i][0] += math.log(s)
-            out[i][1] += 1
-    return sorted(((i, 0 if i is None else out[i][1], None if i is None or not out[i][1] else round(out[i][0] / out[i][1], 7)) for i, _ in docs), key=str)
-
-
-@pytest.mark.parametrize("which", ["odd", "none", "real"])
-def test_backoff_scores(which, request, real):
+        w, mine = grams(t)
+        less = mine if own else Counter()
+        words, total = n - len(w) * own, 0.0
+
+        def log_s(gram):
+            c = counts[gram] - less[gram]
+            if len(gram) == 1:
+                return math.log(max(c, 1) / max(words, 1))
+            return math.log(c / (counts[gram[:-1]] - less[gram[:-1]])) if c else math.log(alpha) + log_s(gram[1:])
+
+        for k in range(len(w)):
+            total += log_s(tuple(w[max(0, k - order + 1) : k + 1]))
+        out.append((i, len(w), round(total / len(w), 7) if w else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("which", "order", "block"), [("odd", 3, 12 << 20), ("none", 3, 12 << 20), ("real", 3, 50_000), ("real", 2, 12 << 20), ("odd", 4, 100)])
+def test_backoff_scores(which, order, block, request, real, monkeypatch):
+    monkeypatch.setattr(backoff_scores, "BUCKET_ENTRIES", 3000)
+    monkeypatch.setattr(backoff_scores, "PIECE", block)
     df = request.getfixturevalue(which)
     docs = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
-    shown = lambda got: sorted(((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["score"], 7)) for r in got.collect()), key=str)
-    assert shown(backoff_scores.scores(df)) == backoff_brute(docs, docs)
+
+    def same(got, want):
+        found = sorted(((r["doc_id"], r["n_tokens"], None if r["score"] is None else round(r["score"], 7)) for r in got.collect()), key=str)
+        for a, b in zip(found, want, strict=True):
+            assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-6)
+
+    same(backoff_scores.scores(df, order=order), backoff_brute(docs, docs, True, order))
     half = real.where("doc_id % 2 = 0")
     corpus = [(r[0], r[1]) for r in half.select("doc_id", "text").collect()]
-    for a, b in zip(shown(backoff_scores.scores(df, half)), backoff_brute(docs, corpus), strict=True):
-        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-5)
+    same(backoff_scores.scores(df, half, order=order), backoff_brute(docs, corpus, False, order))
+
+
+def test_backoff_of_a_very_long_text(spark):
+    """Longer than a chunk of hashing and than a block; a common word is one entry a block."""
+    long = " ".join(f"w{i % 1000} the" for i in range(400_000))
+    docs = [(1, long), (2, "the w1 the w2"), (3, None), (2**60 + 1, "w7 the " * 3), (None, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(long) > backoff_scores.CHUNK
+    got = {r["doc_id"]: r for r in backoff_scores.scores(df).collect()}
+    assert set(got) == {1, 2, 3, 2**60 + 1, None} and got[1]["n_tokens"] == 800_000
+    want = backoff_brute(docs[1:], docs, True, 3)
+    for i, n, score in want:
+        assert got[i]["n_tokens"] == n and (score is None or abs(got[i]["score"] - score) < 1e-6)
+    frame = backoff_scores.pd.DataFrame({"block": [1], "lengths": [[8_000_000]], "texts": [backoff_scores._packed([b"the " * 2_000_000])]})
+    rows_ = backoff_scores.entries(spark.createDataFrame(frame), 3, 4, True)
+    assert sum(len(backoff_scores._from_planes(bytes(r["counts"]), "i4")) for r in rows_.collect()) == 3
 
 
 def nearest_brute(rows, k=20):
