@@ -1,8 +1,13 @@
-"""A training corpus from `documents`, in five stages, each written as Parquet and read again by the next."""
+"""A training corpus from `documents`, in five stages, each written as Parquet and read again by the next.
+
+Any column may hold nulls, rows may repeat, tables may be empty, and extra columns, whatever their names, come along
+until the last stage, which gives doc_id, n_tokens, ids_sha256 and decoded_sha256.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import byte_pieces, digest_index, near_copies, source_mix, toxicity
 from strandline.llm.queries import _pattern, _tokenizer
@@ -10,23 +15,23 @@ from strandline.llm.shared import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score of 0.5 or more) go."""
+    """Documents that the classifier rejects (score of 0.5 or more) go; null texts are scored as empty ones."""
     model = toxicity.train(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, *docs.columns).where("score < 0.5").select(*docs.columns)
+    return docs.where(toxicity.score_of(model)(F.coalesce(F.col("text"), F.lit(""))) < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts (null is empty) the row with the largest doc_id stays; rows that repeat it stay, of rows without ids one."""
     return digest_index.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return near_copies.survivors(docs)
+    """Of each group of near copies (five-word shingles, 0.8) the document with the smallest doc_id stays; without ids all do."""
+    return near_copies.survivors(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes a word at least stay; documents without words stay too."""
+    """Each document once for every pass that takes it, in the order of the mix; the one that a target cuts is shortened."""
     return source_mix.mixed_documents(docs)
 
 

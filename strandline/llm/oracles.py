@@ -52,15 +52,34 @@ WITH sized AS (
 ), quotas AS (
   SELECT *, floor(target + 0.5)::BIGINT AS quota FROM shares
 ), placed AS (
-  SELECT s.doc_id, s.size, q.source_size, q.target, q.quota,
+  SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota,
          (coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
   FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
-)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(quota, start + size) - start)
-        + greatest(0, least(quota, source_size + start + size) - (source_size + start)))::BIGINT AS taken
-FROM placed
+), need AS (
+  SELECT source, (quota + 255) // 256 AS need,
+         (sum((quota + 255) // 256) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS upper FROM quotas WHERE quota > 0
+), whole AS (SELECT sum(need)::BIGINT AS slots FROM need
+), points AS (SELECT unnest(range(1, slots + 1)) AS slot, slots FROM whole
+), mapped AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points JOIN need ON floor((slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE)) * slots) < upper
+       AND floor((slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE)) * slots) >= upper - need
+), got AS (SELECT source, count(*) AS n FROM mapped GROUP BY source
+), scheduled AS (
+  SELECT source, rank, slot FROM mapped WHERE rank < need
+  UNION ALL
+  SELECT need.source, unnest(range(coalesce(n, 0), need)), slots + 1 FROM need LEFT JOIN got ON need.source IS NOT DISTINCT FROM got.source, whole
+), passes AS (
+  SELECT doc_id, source, quota, start + pass * source_size AS first, least(quota, start + pass * source_size + size) AS stop
+  FROM placed, (VALUES (0), (1)) p(pass) WHERE size > 0 AND start + pass * source_size < quota
+), spread AS (SELECT doc_id, source, stop - first AS take, unnest(range(first // 256, (stop - 1) // 256 + 1)) AS rank, first FROM passes
+), slotted AS (
+  SELECT doc_id, min(slot) AS first_slot, max(slot) AS last_slot
+  FROM spread s JOIN scheduled c ON s.source IS NOT DISTINCT FROM c.source AND s.rank = c.rank GROUP BY doc_id
+), taken AS (SELECT doc_id, sum(stop - first)::BIGINT AS taken FROM passes GROUP BY doc_id)
+SELECT placed.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot
+FROM placed LEFT JOIN taken ON taken.doc_id = placed.doc_id LEFT JOIN slotted ON slotted.doc_id = placed.doc_id
 """
 
 

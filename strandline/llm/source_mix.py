@@ -5,21 +5,27 @@ all words; a target stops at twice its source's size and the excess is shared am
 
 Schedule: slot k of the mix gets the golden-ratio point frac(k * 0.618...), which the cumulative shares of
 the sources map to a source; the slots of a source are ranked in order. Each source's documents, shuffled by
-a hash, form a stream of words that is cut into blocks of equal length; slot rank r takes block r of the
+a hash, form a stream of words that is cut into blocks of BLOCK words; slot rank r takes block r of the
 stream (a second pass starts where the first ends). A source's last block is cut where its target is met,
 and the few slots by which the points miss a source's need are put at the end of the mix.
 
-Only (id, source, size) rows move. Running sums go over (source, hash prefix) buckets of about a hundred
-rows and two levels of bucket totals, so that a source with a third of all rows is no single task's work.
-Everything is built-in DataFrame operations, and nothing depends on the order in which rows arrive.
+`mix` says per document how many of its words the mix takes and in which slots they begin and end;
+`mixed_documents` is the mix itself, in the order of the slots: each document once for every pass that takes it.
 
-Defined results: null and empty texts have size 0 and take 0 words; a null source is a source of its own;
-repeated rows are separate documents; extra columns are ignored; an empty table gives no rows.
+Rows are numbered once, in a written table, so that rows which repeat an id or have none are told apart. Only
+(number, source, size) rows move until then. Running sums go over (source, hash prefix) buckets of about a hundred
+rows and two levels of bucket totals, so that a source with a third of all rows is no single task's work. Joins
+of tables that grow with the documents are merge joins. Everything is built-in DataFrame operations, and
+nothing depends on the order in which rows arrive.
+
+Defined results: null and empty texts have size 0, take 0 words, and come last in the mix, once; a null source is
+a source of its own; repeated rows are separate documents; a document that the target cuts keeps its first words,
+with a blank between two of them; extra columns come along unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,16 +34,22 @@ from strandline.llm.shared import WORD, written
 WEIGHTS = (5, 2, 1)
 VOLUME, MOST_PASSES = 1.5, 2
 GOLDEN = 0.6180339887498949
-LARGEST_BLOCK, BLOCKS = 1024, 1 << 16
-ROWS_A_BUCKET = 128
+#: Words of a block; rows of a bucket of a stream; slots that are ranked together; cells that the slots fall into.
+BLOCK, ROWS_A_BUCKET, RUN, CELLS = 256, 128, 1 << 14, 1 << 16
+ROW = "__row"
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """`documents` with a number for each row; to be written before it is used twice."""
+    return documents.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """One thin row a document; `skey` names its source without nulls, `h` is its place in the shuffle."""
+    """One thin row a numbered document; `skey` names its source without nulls, `h` and `t` give its place in the shuffle."""
     return documents.select(
-        "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("skey"), F.col("source").isNull().alias("no_source"),
+        ROW, "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("skey"), F.col("source").isNull().alias("no_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("t"),
     )
 
 
@@ -70,19 +82,18 @@ def schedule(shares: DataFrame, block: int) -> DataFrame:
     need = written(need.withColumn("upper", up_to).withColumn("lower", F.col("upper") - F.col("need")), "need")
     slots = int(need.agg(F.sum("need")).first()[0] or 0)
     point = F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)
-    # a point's place among the needed blocks falls to one source: cells of 1/1024 make it an equality join
+    # a point's place among the needed blocks falls to one source: cells make it an equality join
     drawn = spark.range(1, slots + 1).select(F.col("id").alias("slot"), F.floor(point * slots).cast("long").alias("place"))
-    width = max(1, slots // 1024)
+    width = max(1, -(-slots // CELLS))
     cells = need.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") / width), F.floor((F.col("upper") - 1) / width))))
     at = drawn.withColumn("cell", F.floor(F.col("place") / width))
-    mapped = at.join(cells, "cell").where("lower <= place AND place < upper").select("slot", "skey", "need")
+    mapped = at.join(cells.hint("merge"), "cell").where("lower <= place AND place < upper").select("slot", "skey", "need")
     # ranks: per source and run of slots, then within the run
-    run = max(1, 1 << max(0, slots.bit_length() - 10))
-    mapped = written(mapped.withColumn("run", F.floor(F.col("slot") / run)), "mapped")
+    mapped = written(mapped.withColumn("run", F.floor(F.col("slot") / RUN)), "mapped")
     sizes = mapped.groupBy("skey", "run").agg(F.count(F.lit(1)).alias("n"))
     so_far = F.sum("n").over(Window.partitionBy("skey").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
     offset = sizes.select("skey", "run", F.coalesce(so_far, F.lit(0)).alias("offset"))
-    ranked = mapped.withColumn("r", F.row_number().over(Window.partitionBy("skey", "run").orderBy("slot")) - 1).join(offset, ["skey", "run"])
+    ranked = mapped.withColumn("r", F.row_number().over(Window.partitionBy("skey", "run").orderBy("slot")) - 1).join(offset.hint("merge"), ["skey", "run"])
     ranked = ranked.select("slot", "skey", (F.col("r") + F.col("offset")).alias("rank"), "need").where("rank < need")
     got = need.join(sizes.groupBy("skey").agg(F.sum("n").alias("got")), "skey", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     late = got.where("got < need").select(F.lit(slots + 1).cast("long").alias("slot"), "skey", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"), "need")
@@ -100,22 +111,16 @@ def _streams(documents: DataFrame, rows: int) -> DataFrame:
     coarse = sums.groupBy("skey", "coarse").agg(F.sum("total").alias("total"))
     coarse = coarse.select("skey", "coarse", F.coalesce(so_far("skey", "coarse"), F.lit(0)).alias("above"))
     fine = sums.select("skey", "coarse", "bucket", F.coalesce(so_far("skey", "coarse", "bucket"), F.lit(0)).alias("within"))
-    offsets = fine.join(coarse, ["skey", "coarse"]).select("skey", "bucket", (F.col("above") + F.col("within")).alias("offset"))
-    order = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
+    offsets = fine.join(coarse.hint("merge"), ["skey", "coarse"]).select("skey", "bucket", (F.col("above") + F.col("within")).alias("offset"))
+    order = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "t")
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("pos", F.row_number().over(order))
-    return placed.join(offsets, ["skey", "bucket"]).withColumn("start", F.col("before") + F.col("offset"))
-
+    return placed.join(offsets.hint("merge"), ["skey", "bucket"]).withColumn("start", F.col("before") + F.col("offset"))
 
-def block_size(words: int) -> int:
-    return min(LARGEST_BLOCK, max(1, words // BLOCKS))
 
-
-def mix(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document, and its source key."""
-    thin = written(sized(documents), "sized")
-    rows, words = thin.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    block = block_size(words)
+def takes(thin: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The (written) thin rows with their source's size and target, and one row for every pass that takes a document:
+    row, pass, size, take (words), and the slots in which they begin and end."""
+    rows = thin.count()
     shares = written(targets(thin), "shares")
     slots = schedule(shares, block)
     placed = written(_streams(thin, rows).join(shares, "skey"), "placed")
@@ -127,56 +132,32 @@ def mix(documents: DataFrame) -> DataFrame:
         .withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("stop") - 1) / block))))
     )
     part = F.least("stop", (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block)
-    taken = (
-        spread.join(slots.select("skey", "rank"), ["skey", "rank"])
-        .groupBy("skey", "bucket", "pos").agg(F.sum(part).alias("taken"))
-    )
-    return placed.join(taken, ["skey", "bucket", "pos"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "skey"
+    taken = spread.join(slots.select("skey", "rank", "slot").hint("merge"), ["skey", "rank"]).groupBy(ROW, "pass", "size").agg(
+        F.sum(part).cast("long").alias("take"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
     )
+    return placed, taken
 
 
-def _copies(documents: DataFrame) -> DataFrame:
-    """doc_id, skey, size, copies: how often each row comes out whole, the words that the mix takes of it over its
-    words, rounded half up, so that a cut document comes out if half of it is taken; rows without words come out once."""
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
-    return mix(documents).select("doc_id", "skey", "size", "taken", copies.cast("int").alias("copies"))
-
-
-def _dealt(documents: DataFrame, found: DataFrame, copies: Column) -> DataFrame:
-    """Every row of `documents` as often as `copies`, a column of `found` (doc_id, skey, size, taken, copies), says.
-
-    Rows of one id and source that fare alike need no more key. Where they do not (repeated or null ids), rows of the
-    same size are the same to the mix: in the order of their texts' hashes they get their copies, most first.
-    """
-    found = written(found.select("doc_id", "skey", "size", copies.alias("copies")), "copies")
-    ids = found.groupBy(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey")).agg(F.min("copies").alias("__least"), F.max("copies").alias("__most"))
-    ids = ids.where("__least <> 1 OR __most <> 1")
-    keyed = documents.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__skey") == F.col("__key"))
-    alike = keyed.join(ids, same, "left").withColumn("__n", F.when(F.col("__most").isNull(), 1).when(F.col("__least") == F.col("__most"), F.col("__most")).otherwise(0))
-    apart = ids.where("__least < __most")
-    rank = Window.partitionBy("doc_id", "__key", "__size")
-    rows = (
-        keyed.join(apart, same, "left_semi").withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-        .withColumn("__r", F.row_number().over(rank.orderBy(F.xxhash64("text"))))
-    )
-    share = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(F.desc("copies"))))
-    share = share.join(apart.select(F.col("__id"), F.col("__skey")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("skey") == F.col("__skey")), "left_semi")
-    share = share.select(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey"), F.col("size").alias("__s"), F.col("r").alias("__at"), F.col("copies").alias("__n"))
-    unlike = rows.join(share, same & (F.col("__size") == F.col("__s")) & (F.col("__r") == F.col("__at")))
-    out = alike.select(*documents.columns, "__n").unionByName(unlike.select(*documents.columns, "__n")).where("__n > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), "__n"))).select(*documents.columns)
-
-
-def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The rows of `documents` that the mix takes at least a word of, once each, with all their columns."""
-    return _dealt(documents, _copies(documents), F.when((F.col("taken") == 0) & (F.col("size") > 0), 0).otherwise(1))
-
+def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot and last_slot for every document, and its source key."""
+    placed, taken = takes(written(sized(numbered(documents)), "sized"), block)
+    whole = taken.groupBy(ROW).agg(F.sum("take").alias("taken"), F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"))
+    return placed.join(whole.hint("merge"), ROW, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", "skey"
+    )
 
-def repeated_documents(documents: DataFrame) -> DataFrame:
-    """The mix itself: the rows of `documents` once for every pass that takes them, with all their columns.
 
-    Words per source miss the targets by what rounding the cut documents gives, at most one document a pass.
-    """
-    return _dealt(documents, _copies(documents), F.col("copies"))
+def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix: a row of `documents` for every pass that takes it, in the order of the slots, with all their columns."""
+    base = written(numbered(documents), "numbered")
+    thin = written(sized(base), "sized")
+    _, taken = takes(thin, block)
+    empty = thin.where("size = 0").select(ROW, F.lit(0).alias("pass"), "size", F.lit(0).cast("long").alias("take"), F.lit(None).cast("long").alias("first_slot"))
+    some = taken.select(ROW, "pass", "size", "take", "first_slot").unionByName(empty)
+    some = written(some.toDF(ROW, "__pass", "__size", "__take", "__slot"), "takes")
+    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("__take").cast("int"))
+    cut = F.when(F.col("__take") < F.col("__size"), F.array_join(words, " ")).otherwise(F.col("text"))
+    return (
+        base.join(some.hint("merge"), ROW).withColumn("text", cut).orderBy(F.col("__slot").asc_nulls_last(), ROW, "__pass")
+        .select(*documents.columns)
+    )

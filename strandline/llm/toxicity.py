@@ -180,15 +180,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1
     return sorted((r["text"], r["toxic"]) for r in found.select("text", "toxic").collect())
 
 
-def score(documents: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """`keep` columns of each document and its score."""
+def score_of(model: ToxicityModel):
+    """The model as a function of a text column without nulls."""
 
     @F.pandas_udf("double")
     def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.scores(texts.tolist()), dtype="float64")
 
-    return documents.select(*keep, toxic_score(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
+    return toxic_score
+
+
+def score(documents: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
+    """`keep` columns of each document and its score."""
+    return documents.select(*keep, score_of(model)(F.coalesce(F.col("text"), F.lit(""))).alias("score"))
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:

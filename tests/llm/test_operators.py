@@ -57,13 +57,13 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
 
 
-def shingle_set(t):
+def shingle_set(t, words=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-    return set(zip(w, w[1:])) if len(w) > 1 else set(map(tuple, [w])) if w else set()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def near_brute(docs):
-    sets = [(i, shingle_set(t)) for i, t in docs]
+def near_brute(docs, words=2):
+    sets = [(i, shingle_set(t, words)) for i, t in docs]
     label = {i: i for i, _ in sets}
     changed = True
     while changed:
@@ -232,27 +232,96 @@ def test_source_mix(which, request):
     assert sorted(map(str, got)) == sorted(map(str, source_mix.mix(df.repartition(3)).collect()))
 
 
-def test_mixing_tells_rows_of_one_id_apart(spark):
-    """Source c is cut; all its rows have null ids or repeat one, and only rows that are not taken go."""
-    docs = [(None if i % 2 else 7, " ".join([f"t{i}"] * (3 + i % 4)), "c") for i in range(60)] + [(i, "word " * 10, "ab"[i % 2]) for i in range(40)]
-    docs += [(None, None, "c"), (None, "", "c")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    taken = [(r["doc_id"], r["skey"][1:], r["size"]) for r in source_mix.mix(df).collect() if r["taken"] or not r["size"]]
-    assert 0 < sum(x[1] == "c" for x in taken) < 62
-    got = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in source_mix.mixed_documents(df).collect()]
-    assert sorted(got, key=str) == sorted(taken, key=str)
+def passes_brute(docs, block):
+    """(doc_id, text) of the mix in its order, for (doc_id, source, text) rows of different ids."""
+    sizes, total, target = mix_brute(docs)
+    text = {i: t for i, _, t in docs}
+    order = sorted(total, key=lambda s: (s is not None, s or ""))
+    quota = {s: math.floor(target[s] + 0.5) for s in order}
+    need = {s: -(-quota[s] // block) for s in order}
+    slots, slot_of, upper, u = sum(need.values()), defaultdict(dict), {}, 0
+    for s in order:
+        upper[s] = u = u + need[s]
+    for k in range(1, slots + 1):
+        at = math.floor((k * 0.6180339887498949 - math.floor(k * 0.6180339887498949)) * slots)
+        s = next(s for s in order if at < upper[s])
+        if len(slot_of[s]) < need[s]:
+            slot_of[s][len(slot_of[s])] = k
+    out = []
+    for s in order:
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for i, source, n in sizes if source == s)
+        at = 0
+        for turn in range(2):
+            for _, i, n in mine:
+                if n and at < quota[s]:
+                    words = re.findall(r"[^\x20\x09-\x0D]+", text[i])
+                    take = min(n, quota[s] - at)
+                    first = min(slot_of[s].get(r, slots + 1) for r in range(at // block, (at + take - 1) // block + 1))
+                    out.append((first, i, turn, text[i] if take == n else " ".join(words[:take])))
+                at += n
+    return out, [i for i, _, n in sizes if not n]
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_mix_has_its_passes_in_order(spark, block):
+    docs = [(i, " ".join([f"t{i}"] * (1 + i % 9)), [None, "a", "b", "c"][0 if i < 9 else 1 if i < 40 else 2 if i < 300 else 3]) for i in range(600)]
+    docs += [(1000, None, "a"), (1001, " ", None)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, source string, size string, slot int")
+    got = source_mix.mixed_documents(df, block)
+    assert got.columns == df.columns
+    found = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want, empty = passes_brute([(i, s, t) for i, t, s in docs], block)
+    assert sorted(found[:-2]) == sorted(x[1::2] for x in want) and {x[0] for x in found[-2:]} == set(empty) == {1000, 1001}
+    slot = {(i, t): [] for _, i, _, t in want}
+    for first, i, _, t in want:
+        slot[i, t].append(first)
+    at = [min(slot[x]) for x in found[:-2]]
+    late = [max(slot[x]) for x in found[:-2]]
+    assert all(a <= b for a, b in zip(at, late[1:]))  # in the order of the slots
+    words, (_, total, target) = Counter(), mix_brute([(i, s, t) for i, t, s in docs])
+    for r in got.collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    assert target["a"] > total["a"]
+    for s in total:
+        assert abs(words[s] - target[s]) <= 0.5 + 1e-9
 
 
-def test_mix_repeats_documents_to_its_targets(spark):
-    docs = [(i, " ".join(["w"] * (1 + i % 9)), "abc"[0 if i < 40 else 1 if i < 300 else 2]) for i in range(1000)]
+def test_prefixes_of_the_mix_keep_the_shares(spark, real):
+    """What the schedule is for: any beginning of the mix holds the sources nearly by their targets."""
+    docs = [(i, "w " * (3 + i % 5), "abc"[0 if i % 10 < 5 else 1 if i % 10 < 8 else 2]) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows_ = source_mix.mix(df, 8).collect()
+    target = {r["skey"]: r["target"] for r in rows_}
+    slots = max(r["last_slot"] for r in rows_ if r["last_slot"])
+    mixed = [(r["source"], len(r["text"].split())) for r in source_mix.mixed_documents(df, 8).collect()]
+    for share in (0.1, 0.3, 0.6):
+        words = Counter()
+        for s, n in mixed:
+            if sum(words.values()) >= share * sum(target.values()):
+                break
+            words[s] += n
+        for key in target:
+            assert abs(words[key[1:]] / sum(words.values()) - target[key] / sum(target.values())) < 0.01
+    assert slots > 1000
+
+
+def test_mix_tells_rows_of_one_id_apart(spark):
+    """Source c is cut; all its rows have null ids or repeat one, some are equal in every column."""
+    docs = [(None if i % 2 else 7, " ".join([f"t{i % 50}"] * (3 + i % 4)), "c") for i in range(100)] + [(i, "word " * 10, "ab"[i % 2]) for i in range(40)]
+    docs += [(None, None, "c"), (None, "", "c"), (7, "same text", "c"), (7, "same text", "c")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    _, total, target = mix_brute([(i, s, t) for i, t, s in docs])
+    found = source_mix.mix(df).collect()
+    taken = Counter()
+    for r in found:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["skey"][1:]] += r["taken"]
     words = Counter()
-    for r in source_mix.repeated_documents(df).collect():
-        words[r["source"]] += len(r["text"].split())
-    assert target["a"] > total["a"]
-    for s in "abc":
-        assert abs(words[s] - target[s]) <= 2 * 9
+    got = source_mix.mixed_documents(df).collect()
+    for r in got:
+        words[r["source"]] += len((r["text"] or "").split())
+    assert words == taken and all(abs(taken[r["skey"][1:]] - r["target"]) <= 0.5 for r in found)
+    assert sorted(map(str, got)) == sorted(map(str, source_mix.mixed_documents(df.repartition(3)).collect()))
+    assert source_mix.mixed_documents(df.limit(0)).collect() == []
 
 
 def test_schedule_is_even(spark):
@@ -536,20 +605,58 @@ def test_token_files(which, request, spark, monkeypatch):
     assert sorted(tuple(r["ids"]) for r in mixed_coder.read_ids(spark, path).collect()) == sorted(tuple(x) for _, x in docs)
 
 
+def pipeline_inputs(spark, real):
+    from pyspark.sql import functions as F
+
+    yield "real", real
+    extra = ("score", "toxic", "digest", "node", "size", "skey", "ids", "n_tokens", "kept")
+    rows_ = [(i, t, "en", None if i % 3 == 0 else f"s{i % 4}", len(t or ""), *[i] * len(extra)) for i, t in enumerate(TEXTS)]
+    rows_ += [rows_[4], rows_[4], (None, "word", *rows_[0][2:]), (None, None, *rows_[0][2:]), (None, "only here", *rows_[0][2:])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} long" for x in extra)
+    yield "odd", spark.createDataFrame(rows_, schema)
+    yield "empty", spark.createDataFrame([], schema)
+    yield "source only", real.withColumn("source", F.lit(None).cast("string"))
+
+
 def test_pipeline_stages(spark, real):
+    """Each stage against plain Python, on its own input."""
     import corpus_pipeline
-
-    docs = corpus_pipeline.written(real, "in")
-    n = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.written(stage(spark, docs, SF), "out")
-        if name != "byte_bpe":
-            assert out.columns == real.columns and out.join(docs, real.columns, "left_semi").count() == out.count()
-        if name == "exact_dedup":
-            assert out.select("text").distinct().count() == out.count() == docs.select("text").distinct().count()
-        if name == "near_dedup":
-            brute = near_brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()])
-            assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(x[0] for x in brute if x[3])
-        docs = out
-        n.append(docs.count())
-    assert n[0] >= n[1] >= n[2] >= n[3] >= n[4] == n[5] > 0
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    plain = tiktoken.Encoding("own", pat_str=_pattern(), mergeable_ranks=byte_pieces.read_ranks(_tokenizer("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
+    for which, table in pipeline_inputs(spark, real):
+        docs = corpus_pipeline.written(table, "in")
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.written(stage(spark, docs, SF), "out")
+            held = [(r["doc_id"], r["text"], r["source"]) for r in docs.select("doc_id", "text", "source").collect()]
+            if name != "byte_bpe":
+                assert out.columns == table.columns, (which, name)
+                assert which == "empty" or out.count() > 0
+            if name in ("toxicity", "exact_dedup", "near_dedup"):
+                assert out.exceptAll(docs).isEmpty(), (which, name)
+            got = rows(out, "doc_id", "text") if "text" in out.columns else None
+            if name == "toxicity":
+                labels = spark.read.parquet(f"{SF}/labels.parquet")
+                model = toxicity.train(toxicity.labelled_sample(docs, labels))
+                scored = model.scores([t or "" for _, t, _ in held])
+                assert got == sorted(((i, t) for (i, t, _), x in zip(held, scored) if x < 0.5), key=str)
+            if name == "exact_dedup":
+                best = {}
+                for i, t, _ in held:
+                    best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+                assert sorted({(t or "", -1 if i is None else i) for i, t in got}) == sorted(best.items())
+                assert Counter(t or "" for i, t in got if i is None) == Counter(t for t, i in best.items() if i == -1)
+            if name == "near_dedup":
+                assert [x[0] for x in got] == [x[0] for x in sorted(((i, t) for i, t in got), key=str)]
+                kept = Counter(x[0] for x in near_brute([(i, t) for i, t, _ in held], 5) if x[3])
+                assert Counter(x[0] for x in got) == kept, which
+            if name == "mixing" and which in ("real", "source only"):
+                want, empty = passes_brute([(i, s, t) for i, t, s in held], source_mix.BLOCK)
+                assert got == sorted([(i, t) for _, i, _, t in want] + [(i, t) for i, t, _ in held if i in empty], key=str)
+            if name == "byte_bpe":
+                ids = [(i, plain.encode_ordinary(t or "")) for i, t, _ in held]
+                want = [(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in ids]
+                assert rows(out, "doc_id", "n_tokens", "ids_sha256") == sorted(want, key=str)
+            docs = out
