@@ -25,13 +25,14 @@ the smallest remaining hash as a leading-zero count (6 bits) and the 10 bits aft
    decide: 100 * intersection >= 80 * union.
 5. Links become components by large-star and small-star rounds over written tables.
 
-Every text moves once, into a table bucketed by document id; later steps take from it the columns and rows that
+Every text moves once, into a table bucketed by row number; later steps take from it the columns and rows that
 they need without moving the rest. Joins on hot keys have plain exchanges on both sides, so
 adaptive execution splits them. Nothing of the corpus is collected: the driver only counts.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer
-words than a shingle is a set of one; a null doc_id stays a component of its own (null); doc_id is a key, so rows that repeat one must be equal, and
-they repeat in the result; extra columns are ignored.
+words than a shingle is a set of one; every row is a document, also rows that repeat a doc_id, whose texts may differ; a
+component is named by its smallest doc_id; a row without doc_id links with nothing (null component, kept); extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import shuffle_partitions, text_of, written
+from strandline.llm.shared import delete, scratch, shared_folder, shuffle_partitions, text_of, written
 
 REGISTERS, BANDS = 512, 64
 #: Below SMALL shingles the smallest hashes are the bands; a band of registers needs LEAST filled ones; from LONG on there is one level for all.
@@ -212,8 +213,11 @@ def _chance(n_a: int, n_b: int) -> float:
     return min(out, 0.5)
 
 
+_SKETCHED = ["row", "doc_id", "text", "n_shingles", "set_key", "sketch", "first"]
+
+
 def sketches(documents: DataFrame, words: int = 2) -> DataFrame:
-    """doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, first (the prefix), in one narrow pass."""
+    """row, doc_id, text, n_shingles, set_key (128-bit hash of the set), sketch, first (the prefix), in one narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -224,20 +228,22 @@ def sketches(documents: DataFrame, words: int = 2) -> DataFrame:
                 key = f"{int(first.sum(dtype=U64)):016x}{int(second.sum(dtype=U64)):016x}" if len(h) else None
                 out.append((len(h), key, registers(h).tobytes() if len(h) else None, prefix(h).tobytes()))
             n, keys, held, first = zip(*out, strict=True) if out else ((), (), (), ())
-            yield rows.assign(n_shingles=n, set_key=keys, sketch=held, first=first)
+            yield rows.assign(doc_id=rows["doc_id"], n_shingles=n, set_key=keys, sketch=held, first=first)[_SKETCHED]
 
-    return text_of(documents).mapInPandas(run, "doc_id long, text string, n_shingles long, set_key string, sketch binary, first binary")
+    rows = text_of(documents).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInPandas(run, "row long, doc_id long, text string, n_shingles long, set_key string, sketch binary, first binary")
 
 
 class Store:
-    """Texts and sketches in a table bucketed by doc_id: rows are picked by id without moving the others."""
+    """Texts and sketches in a table bucketed by row number: rows are picked by number without moving the others."""
 
     def __init__(self, documents: DataFrame, words: int = 2):
         self.spark, self.words = documents.sparkSession, words
         self.name = f"strandline_sketches_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
         n = shuffle_partitions(self.spark)
         (
-            sketches(documents, words).repartition(n, "doc_id").write.bucketBy(n, "doc_id").option("compression", "zstd")
+            sketches(documents, words).repartition(n, "row").write.bucketBy(n, "row").option("compression", "zstd").option("path", self.path)
             .format("parquet").saveAsTable(self.name)
         )
 
@@ -245,12 +251,13 @@ class Store:
         return self.spark.table(self.name)
 
     def pick(self, ids: DataFrame, *columns: str) -> DataFrame:
-        """(node, columns) of the documents whose id is in `ids` (doc_id)."""
-        found = self.read().select("doc_id", *columns).join(ids.hint("merge"), "doc_id", "left_semi")
-        return written(found.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "picked")
+        """(node, columns) of the documents whose row number is in `ids` (row)."""
+        found = self.read().select("row", *columns).join(ids.hint("merge"), "row", "left_semi")
+        return written(found.withColumnRenamed("row", "node"), "picked")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
@@ -262,7 +269,7 @@ def _band_rows(classes: DataFrame) -> DataFrame:
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
 
 
 def confirmed(pairs: DataFrame, store: Store, percent: int) -> DataFrame:
@@ -306,8 +313,7 @@ def confirmed(pairs: DataFrame, store: Store, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links: component is the smallest node that it reaches."""
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
-    before = None
-    while True:
+    while not _is_settled(edges):
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
@@ -317,11 +323,14 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lowest, "v").where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         edges = written(small.unionByName(lowest.select("v", F.col("m").alias("u"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("node"), F.col("m").alias("component"))
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, on which only nodes hang that nothing hangs on."""
+    sides = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.lit(None).cast("long").alias("u")))
+    nodes = sides.groupBy("v").agg(F.count("u").alias("up"), F.count(F.when(F.col("u").isNull(), 1)).alias("down"))
+    return nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -331,8 +340,8 @@ def _labelled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame:
     """(node, component) over classes with a link; see the steps in the module's description."""
-    classes = store.read().select("doc_id", "n_shingles", "sketch", "first").join(heads.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    keyed = written(_band_rows(classes.withColumnRenamed("doc_id", "node")), "bands")
+    classes = store.read().select("row", "n_shingles", "sketch", "first").join(heads.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
+    keyed = written(_band_rows(classes.withColumnRenamed("row", "node")), "bands")
     shared = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(shared, "shared")
     members = written(keyed.join(shared.select("band", "hub", "n"), "band"), "members")
@@ -349,7 +358,8 @@ def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame
     several = _labelled(members.where("n > 2").select("band", "node"), parts)
     several = written(several, "several")
     open_bands = several.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-    rows = written(several.join(open_bands.select("band", "n"), "band"), "open")
+    open_bands = written(open_bands.select("band", "n"), "open")  # so that the join below has plain exchanges
+    rows = written(several.join(open_bands, "band"), "rows")
     if not rows.isEmpty():
         _, parts = _more(_settled(rows, store, percent), links, parts, store, percent)
     return parts
@@ -357,7 +367,7 @@ def linked_components(store: Store, heads: DataFrame, percent: int) -> DataFrame
 
 def _settled(rows: DataFrame, store: Store, percent: int) -> DataFrame:
     """Pairs (a, b) that join components of the (band, node, component, n) rows, by blocks of each band."""
-    wanted, words = rows.select(F.col("node").alias("doc_id")).distinct(), store.words
+    wanted, words = rows.select(F.col("node").alias("row")).distinct(), store.words
 
     def short_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -439,18 +449,26 @@ def _more(pairs: DataFrame, links: DataFrame, parts: DataFrame, store: Store, pe
     return links, written(components(links), "parts")
 
 
+def _rows(documents: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n_shingles, set_key, t: a hash of the text) of every document, and the component_id of every set; both written."""
+    spark = documents.sparkSession
+    with scratch(spark):
+        store = Store(documents, words)
+        thin = written(store.read().select("row", "doc_id", "n_shingles", "set_key", F.xxhash64("text").alias("t")), "thin", keep=True)
+        # sets of one key are equal: only the first row of each goes on
+        heads = thin.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
+        heads = written(heads, "heads")
+        parts = linked_components(store, heads, percent)
+        held = written(heads.join(parts, "node", "left").select("set_key", "low", F.coalesce("component", "node").alias("component")), "held")
+        least = held.groupBy("component").agg(F.min("low").alias("component_id"))
+        named = written(held.join(least, "component").select("set_key", "component_id"), "named", keep=True)
+        store.drop()
+    return thin, named
+
+
 def near_components(documents: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; shingles are of `words` words."""
-    store = Store(documents, words)
-    thin = written(store.read().select("doc_id", "n_shingles", "set_key"), "thin")
-    # sets of one key are equal: only the smallest id of each goes on
-    heads = thin.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    heads = written(heads, "heads")
-    parts = linked_components(store, heads, percent)
-    store.drop()
-    named = written(
-        heads.join(parts, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "named"
-    )
+    thin, named = _rows(documents, percent, words)
     joined = thin.where("set_key IS NOT NULL").join(named, "set_key", "left").unionByName(
         thin.where("set_key IS NULL").withColumn("component_id", F.lit(None).cast("long"))
     )
@@ -461,6 +479,12 @@ def near_components(documents: DataFrame, percent: int = 80, words: int = 2) ->
 
 
 def survivors(documents: DataFrame, percent: int = 80, words: int = 2) -> DataFrame:
-    """The rows of `documents` that stay, with all their columns: one document of each component."""
-    dropped = near_components(documents, percent, words).where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    """The rows of `documents` that stay, with all their columns: one document of each component.
+
+    Rows of one doc_id and text fare alike; rows without doc_id all stay.
+    """
+    thin, named = _rows(documents, percent, words)
+    dropped = thin.where("doc_id IS NOT NULL").join(named, "set_key").where("doc_id <> component_id")
+    dropped = dropped.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__t"))
+    return documents.join(dropped, same, "left_anti").select(*documents.columns)

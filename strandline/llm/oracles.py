@@ -22,6 +22,24 @@ WITH words AS (
 SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, round(score, 6) AS score FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id
 """
 
+OP3 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g
+  FROM words WHERE len(ws) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other
+), named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN named m ON m.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
 OP5 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -84,4 +102,4 @@ FROM placed LEFT JOIN taken ON taken.doc_id = placed.doc_id LEFT JOIN slotted ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_backoff_scores": OP1, "op5_digest_index": OP5, "op6_source_mix": OP6}
+    return {"op1_backoff_scores": OP1, "op3_near_copies": OP3, "op5_digest_index": OP5, "op6_source_mix": OP6}

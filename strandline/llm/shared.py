@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +32,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """`df` as a compressed Parquet table in the shared folder: cuts lineage, survives lost executors."""
+_made = threading.local()
+
+
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """`df` as a compressed Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    Inside `scratch` it is deleted at the end, unless `keep`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandline-{tag}-{uuid.uuid4().hex}"
+    if not keep and getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, tag: str = "") -> None:
-    """Delete scratch tables (of one tag, or all) whose readers are done."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/strandline-{tag}*")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(path) or []:
-        fs.delete(status.getPath(), True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end: what is to last must be written with `keep` by then."""
+    before, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield
+    finally:
+        done, _made.paths = _made.paths, before
+        for path in done:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder, in whatever file system it is."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

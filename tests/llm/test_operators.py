@@ -147,6 +147,41 @@ def test_width_of_shingles(spark, words):
     assert (label[1] == 0) == (words == 2)
 
 
+def test_links_of_small_sets_at_the_limit(spark):
+    """Random sets of 1 to 40 shingles against variants around the limit; rows repeat an id with other texts."""
+    import random
+
+    r, docs = random.Random(5), []
+    for k in range(400):
+        n = 1 + k % 40
+        words = [f"g{k}w{i}" for i in range(n + 1)]
+        docs.append((len(docs), " ".join(words)))
+        for _ in range(2):
+            other = words[: r.randint(max(1, n - n // 4), n + 1)]
+            docs.append((len(docs), " ".join(other + [f"z{len(docs)}i{i}" for i in range(r.randint(0, 1 + n // 5))])))
+    want = []
+    for top in range(0, len(docs), 3):
+        want += near_brute(docs[top : top + 3])  # different k have no shingle in common
+    got = near_copies.near_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=str)
+    linked = sum(not x[3] for x in want)
+    assert 0 < linked < 700
+    base = " ".join(f"w{i}" for i in range(30))
+    same = spark.createDataFrame([(5, base), (5, "quite another text of this id"), (3, base + " more"), (7, "quite another text of this id")], "doc_id long, text string")
+    assert rows(near_copies.near_components(same), "doc_id", "n_shingles", "component_id") == [(3, 30, 3), (5, 29, 3), (5, 5, 5), (7, 5, 5)]
+    assert sorted(near_copies.survivors(same).collect()) == [(3, base + " more"), (5, "quite another text of this id")]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    folder = near_copies.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    near_copies.near_components(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string")).collect()
+    new = {x.split("-")[1] for x in set(os.listdir(folder)) - before}
+    assert new == {"thin", "named"}
+
+
 def test_estimate_is_corrected():
     a, b = near_copies.shingles(" ".join(f"a{i}" for i in range(90000))), near_copies.shingles(" ".join(f"b{i}" for i in range(90000)))
     s, used = near_copies.estimate(near_copies.registers(a), near_copies.registers(b), len(a), len(b))
