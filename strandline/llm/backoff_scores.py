@@ -40,7 +40,7 @@ from strandline.llm.shared import shuffle_partitions, text_of, written
 
 ALPHA, ORDER = 0.4, 3
 #: Bytes of text in a block; entries in a bucket.
-PIECE, BUCKET_ENTRIES = 12 << 20, 4_000_000
+PIECE, BUCKET_ENTRIES = 16 << 20, 2_000_000
 #: Bytes of text that are hashed at once: eight bytes of working memory each, several times over.
 CHUNK = 1 << 21
 U64 = np.uint64
@@ -120,35 +120,37 @@ class Grams:
         """Sorted distinct hashes and how often the block has each."""
         return np.unique(self.hashes, return_counts=True)
 
-    def counts(self, totals: np.ndarray | None, leave_out: bool) -> list[np.ndarray]:
-        """Per order and word, how often the corpus has the n-gram that ends there; without the word's own text if
-        `leave_out`. `totals` are the corpus counts of the distinct hashes, 0 where an n-gram does not fit."""
-        order = np.argsort(self.hashes, kind="stable")
-        held, text = self.hashes[order], np.concatenate([self.text[at] for at in self.ends_at])[order]
-        new = np.r_[True, held[1:] != held[:-1]]
-        found = totals[np.cumsum(new) - 1]
-        if leave_out:  # runs of equal n-gram and text: within an order, texts come one after another and stay so
-            starts = np.flatnonzero(new | np.r_[True, text[1:] != text[:-1]])
-            size = np.diff(np.r_[starts, len(held)])
-            found = found - np.repeat(size, size)
-        back = np.empty(len(held), dtype=np.int64)
-        back[order] = found
-        out = []
-        for at, part in zip(self.ends_at, np.split(back, np.cumsum([len(at) for at in self.ends_at])[:-1]), strict=True):
-            out.append(np.zeros(len(self.text), dtype=np.int64))
-            out[-1][at] = part
-        return out
-
-
-def log_scores(grams: Grams, counts: list[np.ndarray], words: np.ndarray, alpha: float) -> np.ndarray:
+    def counts(self, names: np.ndarray, totals: np.ndarray, leave_out: bool) -> Iterator[np.ndarray]:
+        """For one order after another, per word, how often the corpus has the n-gram that ends there, 0 where none fits;
+        without the word's own text if `leave_out`. `totals` are the corpus counts of `names`, the distinct hashes."""
+        n, at = len(self.text), 0
+        for ends in self.ends_at:
+            hashes, text = self.hashes[at : at + len(ends)], self.text[ends]
+            at += len(ends)
+            out = np.zeros(n, dtype=np.int64)
+            if len(ends):
+                order = np.argsort(hashes, kind="stable")  # texts come one after another and stay so
+                hashes, text = hashes[order], text[order]
+                new = np.r_[True, hashes[1:] != hashes[:-1]]
+                found = totals[np.searchsorted(names, hashes[new])][np.cumsum(new) - 1]
+                if leave_out:  # runs of equal n-gram and text
+                    starts = np.flatnonzero(new | np.r_[True, text[1:] != text[:-1]])
+                    size = np.diff(np.r_[starts, len(hashes)])
+                    found -= np.repeat(size, size)
+                out[ends[order]] = found
+            yield out
+
+
+def log_scores(grams: Grams, counts: Iterator[np.ndarray], words: np.ndarray, alpha: float) -> np.ndarray:
     """ln S of every word; `words` is the number of words of the corpus that scores it."""
-    out = np.log(np.maximum(counts[0], 1)) - np.log(np.maximum(words, 1))
-    for k in range(1, len(counts)):
-        fits = grams.place >= k
-        seen = fits & (counts[k] > 0)
-        out[fits & ~seen] += math.log(alpha)
+    before = next(counts)
+    out = np.log(np.maximum(before, 1)) - np.log(np.maximum(words, 1))
+    for k, found in enumerate(counts, 1):
+        seen = found > 0
+        out[(grams.place >= k) & ~seen] += math.log(alpha)
         at = np.flatnonzero(seen)
-        out[at] = np.log(counts[k][at]) - np.log(counts[k - 1][at - 1])
+        out[at] = np.log(found[at]) - np.log(before[at - 1])
+        before = found
     return out
 
 
@@ -267,13 +269,14 @@ def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float =
     def score(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
         lists = [_from_planes(x, np.int64) for x in found.sort_values("bucket")["totals"]]
-        totals = np.concatenate(lists) if lists else None
+        totals = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
         for ids, known, lengths, texts in zip(held["ids"], held["known"], held["lengths"], held["texts"], strict=True):
             grams, n = Grams(_unpacked(texts, lengths), order), len(ids)
             size = np.bincount(grams.text, minlength=n)
             sums = np.zeros(n)
             if len(grams.text):
-                each = log_scores(grams, grams.counts(totals, own), (total - size if own else np.full(n, total))[grams.text], alpha)
+                names, _ = grams.distinct()
+                each = log_scores(grams, grams.counts(names, totals, own), (total - size if own else np.full(n, total))[grams.text], alpha)
                 sums = np.bincount(grams.text, each, n)
             score_ = pd.array([x / k if k else None for x, k in zip(sums.tolist(), size.tolist(), strict=True)], dtype="Float64")
             out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.array(ids), ~np.array(known, dtype=bool)), "n_tokens": size, "score": score_}))
