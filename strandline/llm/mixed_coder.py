@@ -1,23 +1,22 @@
 """Token ids in a binary format of independently reset, checksummed blocks, coded by context mixing.
 
-A block holds up to LARGEST_BLOCK ids and is coded on its own: its model starts afresh, so any block can be
-read alone. Each id is first compared with three predictions - what followed the last two ids before
-(order 2), what followed the last id (order 1), and the block's most frequent id (order 0). Which of them
-hits, or none, is one symbol for a range coder; its probabilities mix two adaptive estimates, one by how
-reliable the predictions have been and one by the last id, with weights that follow their success. An id
-that nobody predicts is coded by its bit length, with adaptive frequencies, and its remaining bits.
+A block holds BLOCK ids and is coded on its own: its model starts afresh, so any block can be read alone. Ids are
+named by the order in which the block first has them; a new one costs its bits. Each id is compared with two
+predictions - what followed the last two ids before (order 2) and what followed the last id (order 1) - and
+otherwise falls into a class of names (order 0: the names of frequent ids are small), whose lower bits follow.
+Which prediction hits, or which class, is one symbol of fifteen. Two adaptive distributions say how likely it is:
+one by how reliable both predictions have been there and whether they agree, one by the last symbol. They are mixed
+with a weight that moves towards the one which did better, and the mixture drives a range coder.
 
-All blocks of a segment are coded in step, one array element a block, so the work is a few hundred array
-operations for each id position and not for each id. Only whole-number and basic floating-point arithmetic
-is used, so decoding repeats encoding exactly.
+All blocks of a segment are coded in step, one array element a block, so the work is a hundred array operations for
+each place in a block and not for each id. Only whole numbers are used, so decoding repeats encoding exactly.
 
 A segment is one row of a file: magic, sizes, then per block its coded length and CRC-32, then the coded
 bytes. Files are Parquet with segments as rows, in ascending doc_id order: Spark's committer keeps them whole
 when executors are lost, and any file system that Spark reaches will do. A document lies in one segment.
 
-Defined results: null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id keep
-an arbitrary but fixed order in the file and so may share start values' order; extra columns are ignored; an
-empty table gives no rows.
+Defined results: null and empty texts have the end id alone; null doc_ids come first; rows of one doc_id come in the
+order of their texts, equal rows one after another; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,243 +40,247 @@ from pyspark.sql.window import Window
 
 from strandline.llm.shared import shared_folder, shuffle_partitions, text_of
 
-MAGIC = b"CMX1"
+MAGIC = b"CMX2"
 _FILE = pa.schema([
-    ("file", pa.int64()), ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("coded", pa.binary()),
+    ("file", pa.int64()), ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("known", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
+    ("n_ids", pa.int64()), ("coded", pa.binary()),
 ])
-#: Blocks are shorter where a segment is small, so that about a thousand of them run in step.
-LEAST_BLOCK, LARGEST_BLOCK, IN_STEP, SEGMENT_IDS = 64, 1024, 1024, 800_000
-SLOTS = 1 << 10
-EVENTS, TOTAL_BITS = 4, 12
-U = np.uint64
-#: Steps of the range coder keep a range of at least 2^16 of 2^32.
-TOP, BOTTOM, FULL, BYTE = U(1 << 24), U(1 << 16), U(0xFFFFFFFF), U(8)
+#: Ids of a block, and of a segment (its blocks are coded in step); slots of the order-2 predictions of a block.
+BLOCK, SEGMENT_IDS, SLOTS = 1 << 14, 1 << 23, 1 << 12
+#: Symbols: a hit of order 2, a hit of order 1, twelve classes of names (0 and 1, 2 and 3, 4 to 7, ..., 2048 and on), a new id.
+SYMBOLS, HIT_TWO, HIT_ONE, NEW = 15, 0, 1, 14
+#: Distributions are the starts of all symbols (and the end) out of 2^14; a symbol moves them by 1/32 of the way to
+#: itself, and none gets less than GAP of the target.
+TOTAL_BITS, RATE, GAP = 14, 5, 40
+TOTAL = 1 << TOTAL_BITS
+#: The coder's span is kept from 2^28 to 2^60; 32 bits leave at a time.
+WORD_BITS, LEAST_BITS = 32, 28
+RAW_BITS = 16
+
+_FIRST = np.zeros(16, dtype=np.int64)  # of a class
+_FIRST[3:NEW] = 1 << np.arange(1, NEW - 2)
+_LOW_BITS = np.zeros(16, dtype=np.int64)
+_LOW_BITS[2:NEW] = np.r_[1, np.arange(1, NEW - 3), 14]
+_CLASS = np.clip(np.frexp(np.arange(BLOCK))[1] + 1, 2, NEW - 1).astype(np.int64)
+_AT = np.arange(SYMBOLS + 1)
+_AIM = np.array([np.where(_AT <= s, GAP * _AT, TOTAL - GAP * (SYMBOLS - _AT)) for s in range(SYMBOLS)], dtype=np.int16)
+_EVEN = (_AT * TOTAL // SYMBOLS).astype(np.int16)
+# whole rows of one number, which are faster to take than to broadcast; how many of sixteen bits are set
+_ROWS = np.repeat(np.arange(TOTAL + 1, dtype=np.int16), 16).reshape(-1, 16)
+_WEIGHTS = np.repeat(np.arange(257, dtype=np.int32), 16).reshape(-1, 16)
+_BITS_SET = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)).astype(np.int64)
 
 
-class _Range:
-    """Carry-less range coder over many streams in step; `at` names the streams that take a step."""
+class _Model:
+    """Predictions and mixed distributions of many blocks in step."""
 
     def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, dtype=U), np.full(n, FULL)
-
-    def step(self, at, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        self.low[at] += unit * start
-        self.range[at] = unit * width
-        low, width = self.low[at], self.range[at]
-        moving = None if isinstance(at, slice) else at
-        while True:  # shift bytes out until no stream has one that is settled
-            settled = (low ^ (low + width)) < TOP
-            tight = (width < BOTTOM) & ~settled
-            which = np.flatnonzero(settled | tight)
-            if not len(which):
-                return
-            low, width = low[which], np.where(tight, (FULL - low + U(1)) & (BOTTOM - U(1)), width)[which]
-            moving = which if moving is None else moving[which]
-            self.shift(moving, low)
-            low, width = (low << BYTE) & FULL, (width << BYTE) & FULL
-            self.low[moving], self.range[moving] = low, width
-
-
-class _Writer(_Range):
-    def __init__(self, n: int, room: int):
-        super().__init__(n)
-        self.out, self.room, self.size = np.zeros(n * room, dtype=np.uint8), room, np.arange(n) * room
-
-    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        place = self.size[at]
-        self.out[place] = low >> U(24)
-        self.size[at] = place + 1
-
-    def bodies(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(4):
-            self.shift(every, self.low)
-            self.low = (self.low << BYTE) & FULL
-        return [self.out[i * self.room : end].tobytes() for i, end in enumerate(self.size)]
-
-
-class _Reader(_Range):
-    def __init__(self, coded: np.ndarray):
-        super().__init__(len(coded))
-        self.coded, self.at = coded.reshape(-1), np.arange(len(coded)) * coded.shape[1] + 4
-        self.value = np.zeros(len(coded), dtype=U)
-        for i in range(4):
-            self.value = self.value << BYTE | coded[:, i].astype(U)
-
-    def shift(self, at: np.ndarray, low: np.ndarray) -> None:
-        place = self.at[at]
-        self.value[at] = (self.value[at] << BYTE | self.coded[place]) & FULL
-        self.at[at] = place + 1
-
-    def ahead(self, at) -> np.ndarray:
-        return (self.value[at] - self.low[at]) & FULL
-
-
-class _Model:
-    """Predictions and mixed frequencies of many blocks in step."""
-
-    def __init__(self, n: int, lengths: int):
-        cells = n * SLOTS
-        self.lane = np.arange(n)
-        self.base = self.lane * SLOTS
-        self.after_two, self.after_one = np.full(cells, -1, dtype=np.int32), np.full(cells, -1, dtype=np.int32)
-        self.trust_two, self.trust_one = np.zeros(cells, dtype=np.int8), np.zeros(cells, dtype=np.int8)
-        self.often, self.most, self.favourite = np.zeros(cells, dtype=np.int16), np.zeros(n, dtype=np.int16), np.full(n, -1, dtype=np.int32)
-        self.by_trust, self.by_last = np.full((n * 18, EVENTS), 0.25), np.full((n * 32, EVENTS), 0.25)
-        self.weight = np.full(n, 0.5)
-        self.lengths = np.ones((n, lengths), dtype=np.int64)
-        self.last, self.before = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.lane, zero = np.arange(n), np.zeros(n, dtype=np.int64)
+        self.two_at, self.one_at, self.match_at, self.row = self.lane * SLOTS, self.lane * BLOCK, self.lane * 32, self.lane * 16
+        # a prediction is four times a name, plus how often it was right just before (0 to 3)
+        self.after_two, self.after_one = np.zeros(n * SLOTS, dtype=np.int32), np.zeros(n * BLOCK, dtype=np.int32)
+        self.by_match, self.by_last = np.tile(_EVEN, (n * 32, 1)), np.tile(_EVEN, (n * 16, 1))
+        self.match_rows, self.last_rows = self.by_match.reshape(-1).view("V32"), self.by_last.reshape(-1).view("V32")
+        self.weight, self.mixture = np.full(n, 128), np.empty((n, 16), dtype=np.int16)
+        self.last, self.before, self.symbol, self.seen = zero, zero, zero, zero
 
     def predict(self) -> None:
-        """Guesses of all orders, and where each event's share of 2^12 starts."""
-        self.slot_two = self.base + ((self.last * 40503 + self.before * 30011 + 7) & (SLOTS - 1))
-        self.slot_one = self.base + (self.last * 48271 & (SLOTS - 1))
-        self.two, self.one, self.zero = self.after_two[self.slot_two], self.after_one[self.slot_one], self.favourite
-        self.t2, self.t1 = self.trust_two[self.slot_two], self.trust_one[self.slot_one]
-        self.context = self.lane * 18 + self.t2 * 6 + self.t1 * 2 + (self.two == self.one)
-        self.tail = self.lane * 32 + (self.last & 31)
-        self.p, self.q = self.by_trust[self.context], self.by_last[self.tail]
-        w = self.weight[:, None]
-        self.freq = ((self.p * w + self.q * (1 - w)) * ((1 << TOTAL_BITS) - 40)).astype(np.int64) + 8
-        f0, f1, f2 = self.freq[:, 0], self.freq[:, 1], self.freq[:, 2]
-        self.from1, self.from2, self.from3 = f0, f0 + f1, f0 + f1 + f2
-        self.freq[:, 3] = (1 << TOTAL_BITS) - self.from3
-
-    def event(self, x: np.ndarray) -> np.ndarray:
-        return np.where(x == self.two, 0, np.where(x == self.one, 1, np.where(x == self.zero, 2, 3)))
-
-    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.where(event == 0, 0, np.where(event == 1, self.from1, np.where(event == 2, self.from2, self.from3)))
-        return start.astype(U), self.freq[self.lane, event].astype(U)
-
-    def update(self, x: np.ndarray, event: np.ndarray) -> None:
-        right, other = self.p[self.lane, event] + 0.01, self.q[self.lane, event] + 0.01
-        w = self.weight * right
-        self.weight = 0.02 + 0.96 * (w / (w + (1 - self.weight) * other))
-        self.p *= 0.9375
-        self.q *= 0.9375
-        self.p[self.lane, event] += 0.0625
-        self.q[self.lane, event] += 0.0625
-        self.by_trust[self.context], self.by_last[self.tail] = self.p, self.q
-        for table, trust, slot, guess, t in (
-            (self.after_two, self.trust_two, self.slot_two, self.two, self.t2), (self.after_one, self.trust_one, self.slot_one, self.one, self.t1),
-        ):
-            good = guess == x
-            table[slot] = np.where(good | (t == 0), x, guess)
-            trust[slot] = np.where(good, np.minimum(t + 1, 2), np.maximum(t - 1, 0))
-        cell = self.base + (x & (SLOTS - 1))
-        now = self.often[cell] + np.int16(1)
-        self.often[cell] = now
-        lead = now > self.most
-        self.most = np.where(lead, now, self.most)
-        self.favourite = np.where(lead, x, self.favourite).astype(np.int32)
-        self.before, self.last = self.last, x
-
-
-ALL = slice(None)
-_UNIT = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
-#: White space besides ASCII's six characters, as any of the libraries may see it.
-_SEPARATOR = re.compile(r"[\x1c-\x1f]")
-_OTHER = r"\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-_OTHER_SPACE = re.compile(f"[{_OTHER}]")
-_PLAIN = re.compile(rf" ?[^\x00-\x20{_OTHER}]+")
+        """Both predicted names, and where each symbol starts out of 2^14."""
+        self.slot_two = self.two_at + ((self.last * 40503 + self.before) & (SLOTS - 1))
+        self.slot_one = self.one_at + self.last
+        self.held_two, self.held_one = self.after_two[self.slot_two], self.after_one[self.slot_one]
+        self.two, self.one = self.held_two >> 2, self.held_one >> 2
+        self.match = self.match_at + ((self.held_two & 3) * 8 + (self.held_one & 3) * 2 + (self.two == self.one))
+        self.tail = self.row + self.symbol
+        self.p, self.q = self.by_match.take(self.match, 0), self.by_last.take(self.tail, 0)
+        part = np.subtract(self.q, self.p, dtype=np.int32)
+        part *= _WEIGHTS.take(self.weight, 0)
+        part >>= 8
+        np.add(part, self.p, out=self.mixture, casting="unsafe")
+
+    def share(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, at = self.mixture.reshape(-1), self.row + symbol
+        start = flat[at].astype(np.int64)
+        return start, flat[at + 1] - start
+
+    def symbol_at(self, place: np.ndarray) -> np.ndarray:
+        return _BITS_SET[np.packbits((self.mixture <= _ROWS.take(place, 0)).reshape(-1)).view(np.uint16)] - 1
+
+    def update(self, name: np.ndarray, symbol: np.ndarray) -> None:
+        p, q, at = self.p.reshape(-1), self.q.reshape(-1), self.row + symbol
+        better = (q[at + 1] - q[at]) > (p[at + 1] - p[at])
+        self.weight = np.minimum(np.maximum(self.weight + better * 12 - 6, 8), 248)
+        aim = _AIM.take(symbol, 0)
+        self.match_rows[self.match] = (self.p + (aim - self.p >> RATE)).reshape(-1).view("V32")
+        self.last_rows[self.tail] = (self.q + (aim - self.q >> RATE)).reshape(-1).view("V32")
+        new, held = name.astype(np.int32) << 2, self.held_two
+        self.after_two[self.slot_two] = np.where(self.two == name, np.minimum(held + 1, held | 3), new)
+        held = self.held_one  # a prediction that has been right is given up after as many failures
+        self.after_one[self.slot_one] = np.where(self.one == name, np.minimum(held + 1, held | 3), np.where(held & 3, held - 1, new))
+        self.before, self.last, self.symbol = self.last * 30011, name, symbol
+        self.seen = self.seen + (symbol == NEW)
+
+
+class _Writer:
+    """A range coder over many streams in step. Words may carry into the ones before; that is settled at the end."""
 
+    def __init__(self, n: int, room: int):
+        self.low, self.span, self.room = np.zeros(n, dtype=np.int64), np.full(n, 1 << 60), room
+        self.out, self.first = np.zeros(n * room, dtype=np.int64), np.arange(n) * room
+        self.at, self.mask = self.first.copy(), np.array([-1, (1 << LEAST_BITS) - 1])
+
+    def symbol(self, start: np.ndarray, size: np.ndarray) -> None:
+        unit = self.span >> TOTAL_BITS
+        self.low += unit * start
+        self.span = unit * size
+
+    def bits(self, value: np.ndarray, n: np.ndarray) -> None:
+        """`n` bits (16 at most) of each stream, and words out where the span has become small."""
+        self.span = self.span >> n
+        self.low += value * self.span
+        small = self.span < 1 << LEAST_BITS
+        self.out[self.at] = self.low >> LEAST_BITS  # stays only where the place moves on
+        self.low = (self.low & self.mask[small.view(np.int8)]) << (small * WORD_BITS)
+        self.span = self.span << (small * WORD_BITS)
+        self.at += small
 
-def _bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    def bodies(self) -> list[bytes]:
+        self.out[self.at] = self.low >> LEAST_BITS
+        self.out[self.at + 1] = (self.low & self.mask[1]) << (WORD_BITS - LEAST_BITS)
+        sizes = self.at + 2 - self.first
+        words = self.out.reshape(-1, self.room)[:, : int(sizes.max())]
+        while (carry := words >> WORD_BITS).any():
+            words &= (1 << WORD_BITS) - 1
+            words[:, :-1] += carry[:, 1:]
+        words = words.astype(">u4")
+        return [words[i, :n].tobytes() for i, n in enumerate(sizes.tolist())]
+
+
+class _Reader:
+    def __init__(self, bodies: list[bytes]):
+        most = max(map(len, bodies)) // 4 + 4
+        words = np.zeros((len(bodies), most), dtype=np.int64)
+        for i, body in enumerate(bodies):
+            words[i, : len(body) // 4] = np.frombuffer(body, dtype=">u4")
+        down = WORD_BITS - LEAST_BITS
+        self.value, self.span = words[:, 0] << LEAST_BITS | words[:, 1] >> down, np.full(len(bodies), 1 << 60)
+        self.next = ((words[:, 1:-1] & ((1 << down) - 1)) << LEAST_BITS | words[:, 2:] >> down).reshape(-1)
+        self.at = np.arange(len(bodies)) * (most - 2)
+
+    def place(self) -> np.ndarray:
+        return np.minimum(self.value // (self.span >> TOTAL_BITS), TOTAL - 1)
+
+    def symbol(self, start: np.ndarray, size: np.ndarray) -> None:
+        unit = self.span >> TOTAL_BITS
+        self.value -= unit * start
+        self.span = unit * size
+
+    def bits(self, n: np.ndarray) -> np.ndarray:
+        self.span = self.span >> n
+        out = self.value // self.span
+        self.value -= out * self.span
+        small = self.span < 1 << LEAST_BITS
+        shift = small * WORD_BITS
+        self.value = self.value << shift | self.next[self.at] * small
+        self.span = self.span << shift
+        self.at += small
+        return out
+
+
+def _low_bits(width: int) -> np.ndarray:
+    out = _LOW_BITS.copy()
+    out[NEW] = min(width, RAW_BITS)
+    return out
+
+
+def _named(grid: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """The grid's ids as numbers from 0 without gaps, and how many there are."""
+    if width > 22:
+        kinds, at = np.unique(grid, return_inverse=True)
+        return at.reshape(grid.shape), len(kinds)
+    held = np.zeros(1 << width, dtype=bool)
+    held[grid.reshape(-1)] = True
+    return (np.cumsum(held) - 1)[grid], int(held.sum())
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """A segment's bytes for an array of ids below 2^31."""
-    n = len(ids)
-    block = min(LARGEST_BLOCK, max(LEAST_BLOCK, -(-n // IN_STEP)))
-    count = -(-n // block)
-    grid = np.zeros((count, block), dtype=np.int64)
-    grid.reshape(-1)[:n] = ids
-    lengths = int(ids.max()).bit_length() + 1 if n else 1
+    n, width = len(ids), int(ids.max()).bit_length() if len(ids) else 0
+    count, block = -(-n // BLOCK), min(BLOCK, n)
     bodies: list[bytes] = []
     if n:
-        model, coder, steps = _Model(count, lengths), _Writer(count, 8 * block + 16), np.ascontiguousarray(grid.T)
-        for x in steps:
+        grid = np.zeros((count, block), dtype=np.int32)
+        grid.reshape(-1)[:n] = ids
+        kinds, k = _named(grid, width)
+        kinds, raw = np.ascontiguousarray(kinds.T, dtype=np.int32), np.ascontiguousarray(grid.T)
+        name_of, own = np.full(count * k, -1, dtype=np.int16), np.arange(count) * k
+        model, coder, low_bits = _Model(count), _Writer(count, block + block // 4 + 8), _low_bits(width)
+        for kind, ids_here in zip(kinds, raw, strict=True):
+            cell = own + kind
+            name = name_of[cell].astype(np.int64)
+            new = name < 0
+            name = np.where(new, model.seen, name)
+            name_of[cell] = name
             model.predict()
-            event = model.event(x)
-            coder.step(ALL, *model.share(event), coder.range >> U(TOTAL_BITS))
-            if len(new := np.flatnonzero(event == 3)):
-                _literal_out(model, coder, new, x[new])
-            model.update(x, event)
+            symbol = _CLASS[name]
+            symbol[model.one == name] = HIT_ONE
+            symbol[model.two == name] = HIT_TWO
+            symbol[new] = NEW
+            rest = name - _FIRST[symbol]
+            rest[symbol < 2] = 0
+            coder.symbol(*model.share(symbol))
+            coder.bits(np.where(new, ids_here & ((1 << RAW_BITS) - 1), rest), low_bits[symbol])
+            if width > RAW_BITS:
+                coder.bits(np.where(new, ids_here >> RAW_BITS, 0), np.where(new, width - RAW_BITS, 0))
+            model.update(name, symbol)
         bodies = coder.bodies()
-    head = MAGIC + struct.pack("<IIII", n, count, block, lengths)
+    head = MAGIC + struct.pack("<QIII", n, count, block, width)
     sizes = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in bodies)
     return b"".join([head, sizes, struct.pack("<I", zlib.crc32(head + sizes)), *bodies])
 
 
-def _literal_out(model: _Model, coder: _Writer, at: np.ndarray, x: np.ndarray) -> None:
-    bits = _bit_length(x)
-    counts = model.lengths[at]
-    upto = np.cumsum(counts, axis=1)
-    row = np.arange(len(at))
-    width = counts[row, bits]
-    coder.step(at, (upto[row, bits] - width).astype(U), width.astype(U), coder.range[at] // upto[:, -1].astype(U))
-    model.lengths[at, bits] += 16
-    for shift in range(0, model.lengths.shape[1], 12):  # the bits below the first one, twelve at a time
-        n = np.clip(bits - 1 - shift, 0, 12)
-        if len(some := np.flatnonzero(n > 0)):
-            part = (x[some] - (1 << (bits[some] - 1)) >> shift) & ((1 << n[some]) - 1)
-            coder.step(at[some], part.astype(U), np.ones(len(some), dtype=U), coder.range[at[some]] >> n[some].astype(U))
-
-
-def _literal_in(model: _Model, coder: _Reader, at: np.ndarray) -> np.ndarray:
-    counts = model.lengths[at]
-    upto = np.cumsum(counts, axis=1)
-    row = np.arange(len(at))
-    unit = coder.range[at] // upto[:, -1].astype(U)
-    place = (coder.ahead(at) // unit).astype(np.int64)
-    bits = np.minimum((upto <= place[:, None]).sum(axis=1), counts.shape[1] - 1)
-    width = counts[row, bits]
-    coder.step(at, (upto[row, bits] - width).astype(U), width.astype(U), unit)
-    model.lengths[at, bits] += 16
-    x = np.where(bits > 0, np.int64(1) << np.maximum(bits - 1, 0), 0)
-    for shift in range(0, counts.shape[1], 12):
-        n = np.clip(bits - 1 - shift, 0, 12)
-        if len(some := np.flatnonzero(n > 0)):
-            unit = coder.range[at[some]] >> n[some].astype(U)
-            part = np.minimum(coder.ahead(at[some]) // unit, (U(1) << n[some].astype(U)) - U(1))
-            coder.step(at[some], part, np.ones(len(some), dtype=U), unit)
-            x[some] += part.astype(np.int64) << shift
-    return x
-
-
 def decode_ids(held: bytes) -> np.ndarray:
     """The ids of a segment; a damaged one raises ValueError."""
-    if held[:4] != MAGIC or len(held) < 24:
+    if held[:4] != MAGIC or len(held) < 28:
         raise ValueError("not a segment of token ids")
-    n, count, block, lengths = struct.unpack_from("<IIII", held, 4)
-    at = 20 + 8 * count
+    n, count, block, width = struct.unpack_from("<QIII", held, 4)
+    at = 24 + 8 * count
     if len(held) < at + 4 or zlib.crc32(held[:at]) != struct.unpack_from("<I", held, at)[0]:
         raise ValueError("a segment's header fails its checksum")
-    sizes = np.frombuffer(held, dtype="<u4", count=2 * count, offset=20).reshape(count, 2)
-    at += 4
-    coded = np.zeros((count, int(sizes[:, 0].max()) + 8 if count else 0), dtype=np.uint8)
-    for i, (length, check) in enumerate(sizes.tolist()):
-        body = held[at : at + length]
-        if len(body) != length or zlib.crc32(body) != check:
+    at, bodies = at + 4, []
+    for i in range(count):
+        length, check = struct.unpack_from("<II", held, 24 + 8 * i)
+        bodies.append(held[at : at + length])
+        if len(bodies[i]) != length or zlib.crc32(bodies[i]) != check:
             raise ValueError(f"block {i} fails its checksum")
-        coded[i, :length] = np.frombuffer(body, dtype=np.uint8)
         at += length
-    steps = np.zeros((block, count), dtype=np.int64)
-    if count:
-        model, coder = _Model(count, lengths), _Reader(coded)
-        for step in range(block):
-            model.predict()
-            unit, ahead = coder.range >> U(TOTAL_BITS), coder.ahead(ALL)
-            event = (ahead >= unit * model.from1.astype(U)).astype(np.int64) + (ahead >= unit * model.from2.astype(U)) + (ahead >= unit * model.from3.astype(U))
-            coder.step(ALL, *model.share(event), unit)
-            x = np.where(event == 0, model.two, np.where(event == 1, model.one, model.zero)).astype(np.int64)
-            if len(new := np.flatnonzero(event == 3)):
-                x[new] = _literal_in(model, coder, new)
-            steps[step] = x
-            model.update(x, event)
-    return np.ascontiguousarray(steps.T).reshape(-1)[:n]
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    model, coder, low_bits = _Model(count), _Reader(bodies), _low_bits(width)
+    names, raw, own = np.empty((block, count), dtype=np.int16), np.zeros(count * (block + 1), dtype=np.int32), np.arange(count) * (block + 1)
+    for step in range(block):
+        model.predict()
+        symbol = model.symbol_at(coder.place())
+        coder.symbol(*model.share(symbol))
+        rest = coder.bits(low_bits[symbol])
+        new = symbol == NEW
+        known = rest
+        if width > RAW_BITS:
+            known = rest | coder.bits(np.where(new, width - RAW_BITS, 0)) << RAW_BITS
+        raw[own + model.seen] = known  # is overwritten unless the id is new
+        name = np.where(symbol == HIT_ONE, model.one, _FIRST[symbol] + rest)
+        name = np.where(new, model.seen, np.where(symbol == HIT_TWO, model.two, name))
+        names[step] = name
+        model.update(name, symbol)
+    return raw[(own + names).T].reshape(-1)[:n].astype(np.int64)
+
+
+_UNIT = re.compile(r"[\x20\t-\r]*[^\x20\t-\r]+|[\x20\t-\r]+")
+#: White space besides ASCII's six characters, as any of the libraries may see it.
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
+_OTHER = r"\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_OTHER_SPACE = re.compile(f"[{_OTHER}]")
+_PLAIN = re.compile(rf" ?[^\x00-\x20{_OTHER}]+")
 
 
 class _Tokenizer:
@@ -287,7 +290,7 @@ class _Tokenizer:
     other white space are cut into pre-tokens instead.
     """
 
-    MOST_UNITS, LONGEST_UNIT, TOGETHER = 200_000, 1 << 12, 1 << 18
+    MOST_UNITS, LONGEST_UNIT, TOGETHER = 400_000, 1 << 12, 1 << 18
 
     def __init__(self, definition: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -358,6 +361,17 @@ class _Tokenizer:
         return np.split(ids, np.r_[0, upto][np.cumsum([len(t) for t in texts])[:-1]])
 
 
+_held: dict[tuple[str, str], _Tokenizer] = {}
+
+
+def _tokenizer_of(definition: str, pattern: str) -> _Tokenizer:
+    """One a worker process, whose cache serves all its tasks."""
+    if (definition, pattern) not in _held:
+        _held.clear()
+        _held[definition, pattern] = _Tokenizer(definition, pattern)
+    return _held[definition, pattern]
+
+
 def write_ids(documents: DataFrame, definition: str, pattern: str, end_id: int = 0, path: str | None = None) -> str:
     """Encode and write all documents in ascending doc_id order; the folder of the files."""
     spark = documents.sparkSession
@@ -366,21 +380,21 @@ def write_ids(documents: DataFrame, definition: str, pattern: str, end_id: int =
         shared = spark.sparkContext.broadcast(held.read())
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _Tokenizer(shared.value, pattern)
+        tokenizer = _tokenizer_of(shared.value, pattern)
         file, number = TaskContext.get().partitionId(), 0
         docs: list = []
         ids: list[np.ndarray] = []
         held = 0
 
         def segment() -> pa.RecordBatch:
-            row = {"file": file, "segment": number, "doc_ids": docs, "lengths": [len(x) for x in ids], "n_ids": held, "coded": encode_ids(np.concatenate(ids))}
+            row = {"file": file, "segment": number, "doc_ids": [d or 0 for d in docs], "known": [d is not None for d in docs], "lengths": [len(x) for x in ids], "n_ids": held, "coded": encode_ids(np.concatenate(ids))}
             return pa.RecordBatch.from_pylist([row], schema=_FILE)
 
         for batch in batches:
             for top in range(0, batch.num_rows, 256):
                 rows = batch.slice(top, 256)
                 for doc_id, found in zip(rows.column("doc_id").to_pylist(), tokenizer.encode(rows.column("text").to_pylist()), strict=True):
-                    new = np.append(found, end_id)
+                    new = np.append(found, end_id).astype(np.int32)
                     if held and held + len(new) > SEGMENT_IDS:
                         yield segment()
                         docs, ids, held, number = [], [], 0, number + 1
@@ -390,8 +404,8 @@ def write_ids(documents: DataFrame, definition: str, pattern: str, end_id: int =
         if held:
             yield segment()
 
-    ordered = text_of(documents).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInArrow(segments, "file long, segment long, doc_ids array<long>, lengths array<long>, n_ids long, coded binary")
+    ordered = text_of(documents).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = ordered.mapInArrow(segments, "file long, segment long, doc_ids array<long>, known array<boolean>, lengths array<long>, n_ids long, coded binary")
     rows.write.option("compression", "none").parquet(path)
     return path
 
@@ -417,12 +431,12 @@ def _decoded(spark, path: str, shown, kind: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for file, number, docs, lengths, coded in zip(rows["file"], rows["segment"], rows["doc_ids"], rows["lengths"], rows["coded"], strict=True):
+            for file, number, docs, known, lengths, coded in zip(*(rows[c] for c in ("file", "segment", "doc_ids", "known", "lengths", "coded")), strict=True):
                 ids = decode_ids(coded)
                 ends = np.cumsum(lengths)
                 pieces = np.split(ids, ends[:-1])
                 yield pd.DataFrame({
-                    "file": file, "segment": number, "doc_id": pd.array([None if d is None or d != d else int(d) for d in docs], dtype="Int64"),
+                    "file": file, "segment": number, "doc_id": pd.arrays.IntegerArray(np.array(docs), ~np.array(known, dtype=bool)),
                     "offset": ends - np.asarray(lengths), "n_tokens": lengths, name: [shown(p) for p in pieces],
                 })
 

@@ -600,7 +600,8 @@ def test_nearest_of_odd_rows(spark):
     assert vantage_trees.nearest(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("ids", [[], [0], [2**31 - 1, 0, 1, 2**30] * 500, [7] * 5000, list(range(3000)), [1, 2, 3] * 3000])
+@pytest.mark.parametrize("ids", [[], [0], [2**31 - 1, 0, 1, 2**30] * 500, [7] * 5000, list(range(3000)), [1, 2, 3] * 3000, list(range(17000, 0, -1)),
+    [i * i % 50021 for i in range(40000)], [i % 7 * (1 << i % 29) for i in range(20000)]])
 def test_coder_round_trip(ids):
     np = mixed_coder.np
     held = mixed_coder.encode_ids(np.array(ids, dtype=np.int64))
@@ -610,7 +611,7 @@ def test_coder_round_trip(ids):
 def test_coder_finds_damage():
     np = mixed_coder.np
     held = bytearray(mixed_coder.encode_ids(np.arange(4000)))
-    for at in (0, 6, 30, len(held) - 1):
+    for at in (0, 6, 26, 40, len(held) - 1):
         bad = bytearray(held)
         bad[at] ^= 1
         with pytest.raises(ValueError):
@@ -618,11 +619,50 @@ def test_coder_finds_damage():
     assert len(mixed_coder.encode_ids(np.array([5, 9, 11] * 20000))) < 60000 * 4 / 8  # raw ids take four bytes
 
 
+def test_coder_learns_within_a_block():
+    """Far below the bits of the ids: what repeats, and what is merely frequent."""
+    import random
+
+    np, r = mixed_coder.np, random.Random(1)
+    frequent = np.array([min(50000, int(r.paretovariate(0.8))) for _ in range(100_000)])
+    counts = np.bincount(frequent)
+    p = counts[counts > 0] / len(frequent)
+    assert 8 * len(mixed_coder.encode_ids(frequent)) / len(frequent) < 1.4 * -(p * np.log2(p)).sum()
+    text = [r.randrange(50_000) for _ in range(300)]
+    assert 8 * len(mixed_coder.encode_ids(np.array(text * 200))) / 60_000 < 1.5
+
+
+def test_blocks_stand_alone():
+    np = mixed_coder.np
+    ids = np.arange(3 * mixed_coder.BLOCK) * 7919 % 50_021
+    whole, one = mixed_coder.encode_ids(ids), mixed_coder.encode_ids(ids[mixed_coder.BLOCK : 2 * mixed_coder.BLOCK])
+    assert one[-100:] in whole  # the same bytes, wherever the block is
+
+
+def test_tokens_of_long_units_and_a_full_cache(spark, monkeypatch):
+    """Crosses every limit of the cache; documents beyond a segment."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(mixed_coder._Tokenizer, "MOST_UNITS", 50)
+    monkeypatch.setattr(mixed_coder._Tokenizer, "TOGETHER", 1000)
+    monkeypatch.setattr(mixed_coder, "SEGMENT_IDS", 20_000)
+    plain = Tokenizer.from_file(_tokenizer("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    texts = ["x" * 9000, " ".join(f"word{i}" for i in range(12_000)), "a\u00a0b\u2003c " * 300, "\n\n \t" * 500, "ab" * 30_000 + " tail", "\x1c\x1d é" * 50]
+    tokenizer = mixed_coder._Tokenizer(open(_tokenizer("byte_bpe_50k.json")).read(), _pattern())
+    for text, found in zip(texts, tokenizer.encode(texts), strict=True):
+        assert found.tolist() == plain.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(2**60 + i, t) for i, t in enumerate(texts)] + [(None, "last"), (5, "b"), (5, "a")], "doc_id long, text string")
+    got = mixed_coder.read_ids(spark, mixed_coder.write_ids(df, _tokenizer("byte_bpe_50k.json"), _pattern())).orderBy("start").collect()
+    want = [(None, "last"), (5, "a"), (5, "b"), *((2**60 + i, t) for i, t in enumerate(texts))]
+    assert [(r["doc_id"], r["ids"]) for r in got] == [(i, plain.encode(t, add_special_tokens=False).ids + [0]) for i, t in want]
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "real"])
 def test_token_files(which, request, spark, monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(mixed_coder, "SEGMENT_IDS", 5000)
+    monkeypatch.setattr(mixed_coder, "SEGMENT_IDS", 30_000)
     df = request.getfixturevalue(which)
     plain = Tokenizer.from_file(_tokenizer("byte_bpe_50k.json"))
     plain.encode_special_tokens = True
