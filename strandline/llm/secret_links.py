@@ -6,8 +6,9 @@ matches before it.
 
 Weak candidates - a random-looking token that could be a secret, a named identifier, an endpoint - mean
 little alone. Those and the strong parts of texts that have any weak candidate are exploded, and interval
-joins on (document, cell of SCOPE characters) with a distance condition link them: a weak secret needs an
-identifier within SCOPE characters, a weak identifier a secret, an endpoint both. Semi-joins answer that
+joins on (document, cells of SCOPE characters that a part touches) with a distance condition link them: a weak secret
+needs an identifier with at most SCOPE characters between them, a weak identifier a secret, an endpoint both. Parts
+may be of any length. Semi-joins answer that
 without making pairs. Only spans move, never texts.
 
 Defined results: a null text counts as empty; no spans give the hash of the empty string and an empty list;
@@ -30,9 +31,9 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 WEAK = {
-    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,64}+(?![A-Za-z0-9+/_-])", 0, 32),
-    "weak_ident": (r"(?i)(?<![A-Za-z0-9])(?:client|account|user|app|access)[_-]?(?:id|key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,64}", 0, 8),
-    "endpoint": (r"(?i)(?<![A-Za-z0-9])(?:https?|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!&*+,;=%-]{4,200}+", 0, 8),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])", 0, 32),
+    "weak_ident": (r"(?i)(?<![A-Za-z0-9])(?:client|account|user|app|access)[_-]?(?:id|key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,}", 0, 8),
+    "endpoint": (r"(?i)(?<![A-Za-z0-9])(?:https?|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!&*+,;=%-]{4,}+", 0, 8),
 }
 ORDER = (*BASE, *WEAK)
 SECRET, IDENTIFIER = ("assign", "hex", "weak_secret"), ("access", "weak_ident")
@@ -74,7 +75,7 @@ def linked(found: DataFrame) -> DataFrame:
     key = ["doc_id", "text_hash"]
     parts = (
         found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).select(*key, F.explode(F.concat("base", "weak")).alias("s"))
-        .select(*key, "s", F.floor(F.col("s.start") / SCOPE).alias("cell")).distinct()
+        .select(*key, "s", F.explode(F.sequence(F.floor(F.col("s.start") / SCOPE), F.floor(F.col("s.end") / SCOPE))).alias("cell")).distinct()
     )
     parts = written(parts, "parts")
     weak = parts.where(F.col("s.kind").isin(*WEAK))
@@ -85,15 +86,14 @@ def linked(found: DataFrame) -> DataFrame:
         seen = rows.withColumn("around", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
         meets = (
             F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")) & (F.col("around") == F.col("c"))
-            & (F.abs(F.col("p.start") - F.col("s.start")) <= SCOPE)
-            & ((F.col("p.end") <= F.col("s.start")) | (F.col("s.end") <= F.col("p.start")))
+            & (F.greatest(F.col("p.start") - F.col("s.end"), F.col("s.start") - F.col("p.end")).between(0, SCOPE))
         )
         return seen.join(other, meets, "left_semi").select(*key, "s", "cell").distinct()
 
     secrets = near(weak.where(F.col("s.kind") == "weak_secret"), IDENTIFIER)
     idents = near(weak.where(F.col("s.kind") == "weak_ident"), SECRET)
     endpoints = near(near(weak.where(F.col("s.kind") == "endpoint"), IDENTIFIER), SECRET)
-    return secrets.unionByName(idents).unionByName(endpoints).select(*key, "s")
+    return secrets.unionByName(idents).unionByName(endpoints).select(*key, "s").distinct()
 
 
 def scan(documents: DataFrame) -> DataFrame:
