@@ -6,8 +6,8 @@ is built. A search keeps the k-th best distance so far and leaves out a subtree
 says that all of it is farther: if the gap between the query's distance to the vantage point and the
 subtree's shell, times `factor`, exceeds that distance. Factor one is exact; larger ones leave out more.
 
-Queries are cut into blocks of bounded size; every pair of shard and query block is one group, a stated query
-set against all rows, in blocks. A group returns k rows a query, and ranks keep k of them. Scores are inner
+Queries are cut into blocks of bounded size and multiplied by a list of the shards; every pair of shard and query
+block is one group, a stated query set against all rows, in blocks: work and shuffle grow with queries times shards. A group returns k rows a query, and ranks keep k of them. Scores are inner
 products of the original vectors in double precision.
 
 Defined results: rows whose vec_id or vector is null, and vectors that are zero or empty or hold null or
@@ -133,8 +133,8 @@ def usable(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embe
     )
 
 
-def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(dim, shard, tree): a written index over `usable` rows."""
+def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(dim, shard, tree): a written index over `usable` rows, and the number of shards of a vector length."""
     shards = max(1, -(-rows.count() // shard_rows))
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
@@ -142,18 +142,16 @@ def build(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame({"dim": group["dim"].iloc[:1], "shard": group["shard"].iloc[:1], "tree": [held.to_bytes()]})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, tree binary"), "trees")
+    return written(dealt.groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, tree binary"), "trees"), shards
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, factor: float, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(index: tuple[DataFrame, int], queries: DataFrame, k: int, factor: float, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each of the `usable` queries."""
+    held_trees, shards = index
     blocks = max(1, -(-queries.count() // query_rows))
-    shards = index.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    asked = asked.join(shards, F.col("dim") == F.col("to_dim")).select(
-        F.col("to_dim").alias("dim"), F.col("to_shard").alias("shard"), "block", "vec_id", "v"
-    )
-    trees = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    trees = held_trees.withColumn("block", every(blocks))
 
     def run(tree: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(tree) or not len(some):
