@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. A text is cut into
-windows of a few words; each window is compressed under either dictionary, and the bytes that the toxic
-one saves are its distance. Counts of windows beyond several thresholds go through a calibrated logistic
-curve to a score between 0 and 1.
+Two zstandard dictionaries are trained, one on ordinary text and one on passages of toxic text. A text is cut into
+windows of a few words; each window is compressed under the ordinary dictionary and under both together, and the
+bytes that the toxic one saves are its distance. Thresholds are set where windows of ordinary training text come out
+(the savings that one in ten, in a hundred, ... of them exceed); counts of windows beyond them go through a fitted
+logistic curve to a score between 0 and 1.
 
-What counts as toxic text for training is found by contrast: word beginnings that toxic training texts
-hold in many different contexts and ordinary ones hardly at all. Counting contexts instead of documents
-keeps groups of near copies from posing as vocabulary.
+Most of a toxic text is ordinary. So the trainer is given those passages of a few words, as they stand in the toxic
+training texts, that hold a word whose beginning toxic texts hold in many different contexts and ordinary ones
+hardly at all. Counting contexts instead of documents keeps groups of near copies from posing as vocabulary.
 
 The model is fitted on the driver on a bounded sample of labelled rows (`toxic_rows`, `ordinary_rows`);
-scoring reads every whole text on the executors and moves no rows.
+scoring reads every whole text on the executors and moves no rows. The ordinary dictionary and the thresholds are
+fitted on at most `sample_windows` windows of that sample, drawn at random.
 
 Defined results: null and empty texts score like a text without any suspicious window; labels that are
 null or neither 0 nor 1 are not used; a document with several labels counts as toxic if one says so; with
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import math
 import random
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.shared import text_of
 
-THRESHOLDS = (1, 2, 3, 4, 6, 8)
+#: Shares of ordinary windows that stay below the thresholds.
+QUANTILES = (0.9, 0.99, 0.999, 0.9999)
 
 
 def held_out(doc_id) -> F.Column:
@@ -43,9 +45,10 @@ def held_out(doc_id) -> F.Column:
 class ToxicityModel:
     """Dictionaries, window size and logistic weights; small enough to travel with each task."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, window_words: int = 12):
+    def __init__(self, ordinary: bytes, toxic: bytes, window_words: int = 8):
         self.ordinary, self.toxic, self.window_words = ordinary, toxic, window_words
         self.mean = self.scale = self.weights = None
+        self.thresholds: list[int] = [1, 2, 3, 4]
 
     def _compressors(self):
         params = zstandard.ZstdCompressionParameters(
@@ -66,13 +69,21 @@ class ToxicityModel:
             np.array([len(plain(w)) - len(toxic(w)) for w in windows(words_of(t), self.window_words)]) for t in texts
         ]
 
-    @staticmethod
-    def features(saved: np.ndarray) -> list[float]:
+    def fit_thresholds(self, ordinary: list[bytes]) -> None:
+        """One byte above the quantiles of what ordinary windows save, each above the one before."""
+        plain, toxic = self._compressors()
+        saved = np.array([len(plain(w)) - len(toxic(w)) for w in ordinary])
+        self.thresholds, least = [], 1
+        for q in QUANTILES:
+            self.thresholds.append(max(least, int(np.quantile(saved, q, method="higher")) + 1))
+            least = self.thresholds[-1] + 1
+
+    def features(self, saved: np.ndarray) -> list[float]:
         n, out = len(saved), []
-        for limit in THRESHOLDS:
+        for limit in self.thresholds:
             k = int((saved >= limit).sum())
             out += [math.log1p(k), k / n]
-        excess = int(np.maximum(saved - 2, 0).sum())
+        excess = int(np.maximum(saved - self.thresholds[1], 0).sum())
         return [*out, math.log1p(excess), excess / n, max(int(saved.max()), 0) / 8, math.log(n)]
 
     def calibrate(self, texts: list[str], toxic: list[int], ridge: float = 1.0) -> None:
@@ -124,8 +135,8 @@ def _beginnings(texts: list[list[bytes]]) -> tuple[Counter, int]:
     return out, sum(words.values())
 
 
-def train(rows: list[tuple[str, int]], window_words: int = 12, ordinary_bytes: int = 32768, toxic_bytes: int = 2048,
-          least_share: float = 0.05, least_log_odds: float = 3.0) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], window_words: int = 8, passage_words: int = 3, ordinary_bytes: int = 32768, toxic_bytes: int = 2048,
+          least_share: float = 0.05, least_log_odds: float = 3.0, sample_windows: int = 60_000) -> ToxicityModel:
     """A model from (text, toxic) rows; one without weights if a class is missing or nothing tells them apart."""
     by_class = {y: [words_of(t) for t, label in rows if label == y] for y in (0, 1)}
     empty = ToxicityModel(b"", b"", window_words)
@@ -134,16 +145,15 @@ def train(rows: list[tuple[str, int]], window_words: int = 12, ordinary_bytes: i
     (toxic, n_toxic), (plain, n_plain) = _beginnings(by_class[1]), _beginnings(by_class[0])
     log_odds = lambda g: math.log((toxic[g] + 0.5) / (n_toxic + 1)) - math.log((plain[g] + 0.5) / (n_plain + 1))
     least = max(3, least_share * len(by_class[1]))
-    marks = tuple(sorted(g for g, n in toxic.items() if n >= least and log_odds(g) >= least_log_odds))
-    if not marks:
+    telling = tuple(sorted(g for g, n in toxic.items() if n >= least and log_odds(g) >= least_log_odds))
+    passages = [w for text in by_class[1] for w in windows(text, passage_words) if any((b" " + x).startswith(telling) for x in w.split())]
+    if not passages:
         return empty
-    held = [w for text in by_class[1] for w in text if (b" " + w).startswith(marks)]
-    toxic_samples = [b" " + b" ".join(held[i : i + 8]) + b" " for i in range(0, len(held), 8)]
-    suspicious = re.compile(b"|".join(re.escape(m[1:]) for m in marks))
     ordinary = [w for text in by_class[0] for w in windows(text, window_words)]
     random.Random(0).shuffle(ordinary)
-    ordinary = [w for w in ordinary[:60_000] if not suspicious.search(w)]
-    model = ToxicityModel(_dictionary(ordinary, ordinary_bytes, 64), _dictionary(toxic_samples, toxic_bytes, 32), window_words)
+    ordinary = ordinary[:sample_windows]
+    model = ToxicityModel(_dictionary(ordinary, ordinary_bytes, 64), _dictionary(passages, toxic_bytes, 16), window_words)
+    model.fit_thresholds(ordinary[: sample_windows // 2])
     model.calibrate([t for t, _ in rows], [y for _, y in rows])
     return model
 

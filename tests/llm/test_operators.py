@@ -210,6 +210,10 @@ def test_index_keeps_what_it_has_seen(spark):
     index.add(day((1, "a"), (2, "b"), (3, "a")))
     index.add(day((4, "a"), (5, "c"), (6, "c")))
     assert sorted(r["keep_id"] for r in index.read().collect()) == [2, 3, 6]
+    assert {r["keep_id"]: r["group_size"] for r in index.read().collect()} == {2: 1, 3: 3, 6: 2}
+    later = digest_index.exact_groups(spark.createDataFrame([(9, "b"), (8, "new"), (10, "new")], "doc_id long, text string"), index)
+    assert rows(later, "doc_id", "keep_id", "group_size", "kept") == [(10, 10, 2, True), (8, 10, 2, False), (9, 2, 2, False)]
+    assert index.read().count() == 4
     plan = index.unseen(day((7, "a")).selectExpr("digest", "doc_id AS keep_id", "1L AS group_size"))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
     index.drop()
@@ -417,19 +421,47 @@ def test_secret_base(which, request):
     assert sorted((tuple(r[c] for c in cols) for r in got), key=str) == sorted(want, key=str)
 
 
+def linked_brute(t):
+    """Weak parts that meet no base part and have their complement with at most 400 characters between."""
+    base = [(k, a, b) for a, _, b, k in secret_brute(t)]
+    token = r"[A-Za-z0-9+/_-]"
+    weak = [("weak_secret", *m.span()) for m in re.finditer(rf"(?<![A-Za-z0-9+/_=-]){token}{{32,}}(?!{token})", t)
+            if re.search("[0-9]", m.group()) and re.search("[A-Z]", m.group()) and re.search("[a-z]", m.group())]
+    weak += [("weak_ident", *m.span()) for m in re.finditer(r"""(?i)(?<![A-Za-z0-9])(?:client|account|user|app|access)[_-]?(?:id|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{4,}""", t, re.A)
+             if m.end() - m.start() >= 8]
+    weak += [("endpoint", *m.span()) for m in re.finditer(r"(?i)(?<![A-Za-z0-9])(?:https?|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!&*+,;=%-]{4,}", t, re.A)
+             if m.end() - m.start() >= 8]
+    weak = [w for w in weak if not any(b[1] < w[2] and w[1] < b[2] for b in base)]
+    near = lambda w, kinds: any(k in kinds and 0 <= max(a - w[2], w[1] - b) <= 400 for k, a, b in base + weak)
+    needs = {"weak_secret": [("access", "weak_ident")], "weak_ident": [("assign", "hex", "weak_secret")], "endpoint": [("access", "weak_ident"), ("assign", "hex", "weak_secret")]}
+    return sorted(w for w in weak if all(near(w, kinds) for kinds in needs[w[0]]))
+
+
 def test_secret_links_need_their_complement(spark):
     weak = "Ab3" + "xY7" * 12
     docs = {
         1: f"{weak} alone", 2: f"client_id=abcd1234 then {weak}", 3: "client_id=abcd1234 alone", 4: "https://api.example.com/v1 alone",
         5: f"client_id=abcd1234 {weak} https://api.example.com/v1", 6: f"client_id=abcd1234 {'.' * 900} {weak}",
-        7: f"AKIA{'Q' * 16} and {weak}", 8: f"{'.' * 399} client_id=abcd1234 {weak}",
+        7: f"AKIA{'Q' * 16} and {weak}", 8: f"{'.' * 399} client_id=abcd1234 {weak}", 9: f"client_id=abcd1234 {'Ab3' * 34}",
+        10: f"{'Zz9' * 500} user_id: {'q' * 300}", 11: f"https://h.example/{'p/' * 150} client_id=abcd1234 {weak}",
     }
-    got = {r["doc_id"]: r["spans"] for r in secret_links.digest(secret_links.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))).collect()}
-    kinds = {i: [s.split(":")[0] for s in x.split(",") if s] for i, x in got.items()}
-    assert kinds == {
+    def kinds_of(docs):
+        got = secret_links.digest(secret_links.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))).collect()
+        return {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in got}
+
+    got = kinds_of(docs)
+    assert {i: [s[0] for s in x] for i, x in got.items()} == {
         1: [], 2: ["weak_ident", "weak_secret"], 3: [], 4: [], 5: ["weak_ident", "weak_secret", "endpoint"], 6: [],
-        7: ["access", "weak_secret"], 8: ["weak_ident", "weak_secret"],
+        7: ["access", "weak_secret"], 8: ["weak_ident", "weak_secret"], 9: ["weak_ident", "weak_secret"], 10: ["weak_secret", "weak_ident"],
+        11: ["endpoint", "weak_ident", "weak_secret"],
     }
+    assert int(got[9][1][2]) - int(got[9][1][1]) == 102 and int(got[10][0][2]) == 1500 and int(got[11][0][2]) > 300
+    import random
+
+    r, parts = random.Random(2), [weak, "client_id=abcd1234", "https://api.example.com/v1", "AKIA" + "Q" * 16, "token: secretsecret", "0f" * 14, "x" * 700, "word " * 40, "Qw1" * 200]
+    many = {i: " ".join(r.choice(parts) for _ in range(r.randint(1, 12))) for i in range(300)}
+    for i, found in kinds_of(many).items():
+        assert sorted((k, int(a), int(b)) for k, a, b in found if k in secret_links.WEAK) == linked_brute(many[i]), many[i]
 
 
 def pii_brute(t):
@@ -499,6 +531,39 @@ def test_toxicity(spark):
     assert tp / (tp + fp) >= 0.8 and tp / (tp + fn) >= 0.6
 
 
+def test_toxicity_against_plain_python(real):
+    """The query's scores are those of the plain formula: compressed lengths under either dictionary, counts, a logistic curve."""
+    import zstandard
+
+    rows_ = [(r["text"], int(r["doc_id"] % 3 == 0)) for r in real.collect() if r["text"]]
+    rows_ = [(t + (" vile scum wretch" * 3 if y else ""), y) for t, y in rows_]
+    model = toxicity.train(rows_)
+    assert model.weights is not None and model.thresholds == sorted(set(model.thresholds)) and b"scum" in model.toxic
+    spark = real.sparkSession
+    docs = spark.createDataFrame(list(enumerate([t for t, _ in rows_] + ["", None, "scum", "x " * 30_000])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, "doc_id").collect()}
+    settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=3, min_match=3, target_length=16,
+                                                   strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(compression_params=settings, dict_data=held).compress(window))
+
+    for i, t in list(docs.collect())[::17] + [(len(rows_) + k, t) for k, t in enumerate(["", None, "scum"])]:
+        w = (t or "").lower().encode().split()
+        cut = [b" " + b" ".join(w[k : k + 8]) + b" " for k in range(0, len(w), 8)] or [b""]
+        saved = [size(x, model.ordinary) - size(x, model.toxic + model.ordinary) for x in cut]
+        x = []
+        for limit in model.thresholds:
+            k = sum(s >= limit for s in saved)
+            x += [math.log(1 + k), k / len(cut)]
+        over = sum(max(s - model.thresholds[1], 0) for s in saved)
+        x += [math.log(1 + over), over / len(cut), max(0, *saved, 0) / 8, math.log(len(cut))]
+        z = sum(c * (v - m) / s for c, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (4, 7)], "doc_id long, toxic int")
     assert toxicity.classify(odd, labels).count() == odd.count()
