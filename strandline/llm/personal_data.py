@@ -1,8 +1,9 @@
 """Personal data with offset-preserving deobfuscation.
 
 Base detection finds e-mail addresses, IPv4 addresses, payment cards and phone numbers in the text as it
-stands. Then transducers rewrite a copy of the text: look-alike letters and digits to ASCII, spelled digits
-to digits, disguised "at" and "dot" to their signs. Every character of the copy remembers the span of source
+stands. Then a chain of transducers, each a pattern whose matches are written anew, rewrites a copy of the text:
+look-alike letters and digits to ASCII, three and more spelled digits in a row to digits, disguised "at" and "dot"
+to their signs (words of English, German, French and Spanish). Every character of the copy remembers the span of source
 characters that it stands for, so what is detected in the copy maps back to a source span; such spans are
 added where they overlap no base span of their kind.
 
@@ -47,21 +48,26 @@ TO_ASCII = str.maketrans(
 )
 FOREIGN = re.compile("[" + "".join(map(re.escape, map(chr, TO_ASCII))) + "]")
 
-#: Digits as words.
+#: Digits as words in English, German, French and Spanish.
 DIGIT_WORDS = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8",
-    "nine": "9",
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
+#: How the four languages say the signs of an address.
+AT_WORDS, DOT_WORDS = ("at", "bei", "arobase", "arroba"), ("dot", "punkt", "point", "punto")
+_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: Three digit words in a row or more, so that ordinary prose stays as it is.
-SPELLED = re.compile(rf"(?<![A-Za-z]){_DIGIT}(?:[ ,.-]{{1,2}}{_DIGIT}){{2,}}(?![A-Za-z])", re.I | re.A)
-DIGIT_WORD = re.compile(_DIGIT, re.I | re.A)
-AT_SIGN = re.compile(r"[ ]{0,2}[(\[{<][ ]{0,2}(?:at|@)[ ]{0,2}[)\]}>][ ]{0,2}", re.I | re.A)
-DOT_SIGN = re.compile(r"[ ]{0,2}[(\[{<][ ]{0,2}(?:dot|\.)[ ]{0,2}[)\]}>][ ]{0,2}", re.I | re.A)
+SPELLED = re.compile(rf"(?<!\w){_DIGIT}(?:[ ,.-]{{1,2}}{_DIGIT}){{2,}}(?!\w)", re.I)
+DIGIT_WORD = re.compile(_DIGIT, re.I)
+_AT, _DOT = "(?:" + "|".join(AT_WORDS) + ")", "(?:" + "|".join(DOT_WORDS) + ")"
+AT_SIGN = re.compile(rf" *+[(\[{{<] *+(?:{_AT}|@) *+[)\]}}>] *+", re.I | re.A)
+DOT_SIGN = re.compile(rf" *+[(\[{{<] *+(?:{_DOT}|\.) *+[)\]}}>] *+", re.I | re.A)
 #: "name at host dot org" in plain words: only as a whole, so that the word "at" alone means nothing.
-PLAIN_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+", re.I | re.A)
-PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9]) at (?={PLAIN_HOST.pattern})", re.I | re.A)
-PLAIN_DOT = re.compile(r" dot ", re.I | re.A)
+PLAIN_HOST = re.compile(rf"[A-Za-z0-9-]++(?: {_DOT} [A-Za-z0-9-]++)+", re.I | re.A)
+PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9]) {_AT} (?={PLAIN_HOST.pattern})", re.I | re.A)
+PLAIN_DOT = re.compile(rf" {_DOT} ", re.I | re.A)
 
 
 def luhn(digits: str) -> bool:

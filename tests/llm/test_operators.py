@@ -504,6 +504,10 @@ def test_personal_data_base_on_random_strings():
 @pytest.mark.parametrize(("text", "kind", "part"), [
     ("mail john (at) example [dot] com now", "email", "john (at) example [dot] com"),
     ("jane at corp dot example dot org", "email", "jane at corp dot example dot org"),
+    ("an hans     [ bei ]   beispiel (punkt) de bitte", "email", "hans     [ bei ]   beispiel (punkt) de"),
+    ("marie arobase exemple point fr", "email", "marie arobase exemple point fr"),
+    ("j at " + "h" * 80 + " dot org", "email", "j at " + "h" * 80 + " dot org"),
+    ("ruf +vier neun drei null eins zwei drei vier fünf sechs sieben an", "phone", "+vier neun drei null eins zwei drei vier fünf sechs sieben"),
     ("\U0001f600 ｊohn@еxample.com", "email", "ｊohn@еxample.com"),
     ("call +one two three four five six seven eight nine zero one ok", "phone", "+one two three four five six seven eight nine zero one"),
     ("١٠.٠.٠.١", "ip", "١٠.٠.٠.١"),
@@ -516,6 +520,35 @@ def test_disguises_map_back_to_the_source(text, kind, part):
 
 def test_plain_prose_has_no_disguises():
     assert personal_data.all_spans("We met at noon, at one two and dot the i; he sat at home.") == ([], [])
+    assert personal_data.all_spans("Un deux trois, nous irons au bois; am Punkt bei drei null.") == ([], [])
+
+
+def test_disguises_of_long_texts_take_linear_time():
+    import time
+
+    for part in ("a at b ", "( at ", "+one two three ", "x.x.x.x ", "dot ", "1 ", "@", "[.] ", "é" * 9 + " "):
+        start = time.process_time()
+        personal_data.all_spans(part * 60_000)
+        assert time.process_time() - start < 30, part
+
+
+def test_added_spans_map_back(spark):
+    """Random disguises of known parts: each is found whole, at its place in the source."""
+    import random
+
+    r, look = random.Random(8), {v: k for k, v in personal_data.LOOK_ALIKES.items() if v.isalpha()}
+    digits = ["zero one two three four five six seven eight nine".split(), "null eins zwei drei vier fünf sechs sieben acht neun".split()]
+    docs, want = [], []
+    for i in range(200):
+        name = "".join(r.choice("bcdfg") for _ in range(5))
+        mail = r.choice([f"{name} (at) host[dot]org", f"{name} at host dot org", f"{name}@hоst.org", f"{name[:2]}{look['a']}@host.org"])
+        number = " ".join(r.choice(digits[i % 2]) for _ in range(11))
+        before, between = "é " * r.randint(0, 5), "; " + "☃" * r.randint(0, 3) + " then "
+        docs.append((i, f"{before}{mail}{between}+{number} ."))
+        at = len(before) + len(mail) + len(between)
+        want.append((i, f"email:{len(before)}:{len(before) + len(mail)},phone:{at}:{at + 1 + len(number)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(personal_data.digest(personal_data.find(df)), "doc_id", "spans") == sorted(want, key=str)
 
 
 def test_toxicity(spark):
