@@ -35,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 VOLUME, MOST_PASSES = 1.5, 2
 GOLDEN = 0.6180339887498949
 #: Words of a block; rows of a bucket of a stream; slots that are ranked together; cells that the slots fall into.
-BLOCK, ROWS_A_BUCKET, RUN, CELLS = 256, 128, 1 << 14, 1 << 16
+BLOCK, ROWS_A_BUCKET, RUN, CELLS = 256, 128, 1 << 11, 1 << 16
 ROW = "__row"
 
 
