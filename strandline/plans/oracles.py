@@ -48,7 +48,7 @@ ORACLES = {
     "call_tree": f"{_TREE} SELECT * FROM tree",
     "call_children": f"{_CALLS} SELECT enclosing AS call_geid, row_number() OVER (PARTITION BY enclosing ORDER BY geid) - 1 AS child_index, geid AS child_geid FROM matched WHERE kind = 'Call' AND enclosing IS NOT NULL",
     "return_matching": f"{_CALLS} SELECT geid AS return_geid, enclosing AS call_geid FROM matched WHERE kind = 'Return'",
-    "drop_last_step": f"""{_WITH}, src AS (SELECT *, path_id AS g, CASE kind WHEN 'Step' THEN 1 ELSE -1 END AS d FROM trace WHERE kind IN ('Step', 'Event')), {_MATCH}
+    "drop_last_step": f"""{_WITH}, src AS (SELECT *, 0 AS g, CASE kind WHEN 'Step' THEN 1 ELSE -1 END AS d FROM trace WHERE kind IN ('Step', 'Event')), {_MATCH}
         SELECT geid, path_id, line FROM trace WHERE kind = 'Step' AND geid NOT IN (SELECT enclosing FROM matched WHERE d = -1 AND enclosing IS NOT NULL)""",
     "step_ids": f"{_IDS} SELECT * FROM ids",
     "step_locations_range": f"{_IDS} SELECT step_id, path_id, line FROM ids WHERE step_id BETWEEN 100 AND 149",
@@ -61,7 +61,7 @@ ORACLES = {
     "resolve_names": f"""{_WITH}, l(id, name) AS (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(schema.TYPE_KINDS[:8]))})
         SELECT coalesce(name, 'var_' || function_id) AS name, count(*) AS n FROM trace LEFT JOIN l ON id = function_id WHERE kind = 'Call' GROUP BY 1""",
     "type_kind_labels": f"""{_WITH}, l(id, label) AS (VALUES {_LABELS}) SELECT line % 40 AS kind_id, label, count(*) AS n FROM trace LEFT JOIN l ON id = line % 40 GROUP BY 1, 2""",
-    "step_json": f"{_IDS} SELECT step_id, '{{\"kind\":\"step\",\"path_id\":' || path_id || ',\"line\":' || line || '}}' AS json FROM ids WHERE step_id < 50",
+    "step_json": f"{_IDS} SELECT step_id, '{{\"kind\":\"step\",\"path_id\":' || path_id || ',\"line\":' || line || '}}' AS json FROM ids",
     "values_per_step": f"{_STEPPED} SELECT step_geid, count(*) FILTER (kind = 'Value') AS n_values FROM st WHERE step_geid IS NOT NULL GROUP BY 1",
     "value_at": f"{_VALUE_AT} SELECT * FROM va",
     "values_json": f"{_VALUE_AT} SELECT step_geid, string_agg(variable_id::VARCHAR, ',' ORDER BY i) AS variables FROM va GROUP BY 1",
@@ -69,6 +69,7 @@ ORACLES = {
         FROM trace WHERE kind = 'Value' WINDOW w AS (PARTITION BY thread_id, function_id ORDER BY geid)""",
     "asof_binding": f"{_WITH} SELECT e.geid, v.geid AS value_geid FROM (SELECT * FROM trace WHERE kind = 'Event') e ASOF LEFT JOIN (SELECT * FROM trace WHERE kind = 'Value') v ON e.thread_id = v.thread_id AND e.geid > v.geid",
     "thread_switches": f"{_WITH}, n AS (SELECT thread_id, lead(thread_id) OVER (ORDER BY geid) AS nx FROM trace) SELECT thread_id, count(*) AS switches FROM n WHERE nx <> thread_id GROUP BY 1",
+    "current_thread": f"{_WITH} SELECT geid, coalesce(last_value(CASE WHEN kind = 'Event' THEN thread_id END IGNORE NULLS) OVER (ORDER BY geid), 0) AS thread_id FROM trace",
     "thread_lifetimes": f"{_WITH} SELECT thread_id, min(geid) AS start_geid, max(geid) AS exit_geid, count(*) AS n FROM trace GROUP BY 1",
     "dropped_variables": f"{_WITH}, x AS (SELECT geid, unnest([function_id, function_id + 10, path_id + 20]) AS variable_id FROM trace WHERE kind = 'Event') SELECT variable_id, max(geid) AS dropped_at, count(*) AS n FROM x GROUP BY 1",
     "assignment_lineage": f"""WITH RECURSIVE {TRACE_SQL}, e AS (SELECT DISTINCT path_id AS a, function_id AS b FROM trace WHERE kind = 'Value' AND path_id < function_id),

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandline import schema
 from strandline.functions import scalars
-from strandline.operators import brackets, filters, positions, storage
+from strandline.operators import brackets, filters, lineage, positions, storage
 from strandline.plans.adapter import table, trace
 
 QUERIES: dict = {}
@@ -41,8 +41,8 @@ def call_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def call_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = brackets.enclosing_calls(trace(spark, sf_dir)).where("kind = 'Call' AND enclosing IS NOT NULL")
-    index = F.row_number().over(Window.partitionBy("enclosing").orderBy("geid")) - 1
-    return calls.select(F.col("enclosing").alias("call_geid"), index.cast("long").alias("child_index"), F.col("geid").alias("child_geid"))
+    ranked = positions.ordinals(calls.select("geid", "enclosing"), "child_index", group=("enclosing",))
+    return ranked.select(F.col("enclosing").alias("call_geid"), "child_index", F.col("geid").alias("child_geid"))
 
 
 @query
@@ -54,7 +54,7 @@ def return_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drop_last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trace(spark, sf_dir)
-    kept = brackets.without_dropped_steps(rows, F.col("kind") == "Step", F.col("kind") == "Event", "path_id")
+    kept = brackets.without_dropped_steps(rows, F.col("kind") == "Step", F.col("kind") == "Event")
     return kept.select("geid", "path_id", "line")
 
 
@@ -110,7 +110,7 @@ def type_kind_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def step_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = step_ids(spark, sf_dir).where("step_id < 50")
+    rows = step_ids(spark, sf_dir)
     return rows.select("step_id", F.to_json(F.struct(F.lit("step").alias("kind"), "path_id", "line")).alias("json"))
 
 
@@ -118,8 +118,7 @@ def step_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_step(rows: DataFrame) -> DataFrame:
-    latest = Window.partitionBy("thread_id").orderBy("geid").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("step_geid", F.last(F.when(F.col("kind") == "Step", F.col("geid")), ignorenulls=True).over(latest))
+    return positions.latest(rows, F.when(F.col("kind") == "Step", F.col("geid")), "step_geid", group=("thread_id",))
 
 
 @query
@@ -131,8 +130,8 @@ def values_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_step(trace(spark, sf_dir)).where("kind = 'Value' AND step_geid IS NOT NULL")
-    index = (F.row_number().over(Window.partitionBy("step_geid").orderBy("geid")) - 1).cast("long")
-    return rows.select("step_geid", index.alias("i"), F.col("function_id").alias("variable_id"), "value")
+    ranked = positions.ordinals(rows, "i", group=("step_geid",))
+    return ranked.select("step_geid", "i", F.col("function_id").alias("variable_id"), "value")
 
 
 @query
@@ -144,26 +143,31 @@ def values_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def value_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long each value of a thread's variable held: until the next assignment."""
-    order = Window.partitionBy("thread_id", "function_id").orderBy("geid")
-    rows = trace(spark, sf_dir).where("kind = 'Value'")
-    return rows.select("thread_id", F.col("function_id").alias("variable_id"), F.col("geid").alias("from_geid"), F.lead("geid").over(order).alias("to_geid"),
-                       (F.row_number().over(order) - 1).cast("long").alias("version"))
+    key = ("thread_id", "variable_id")
+    rows = trace(spark, sf_dir).where("kind = 'Value'").select("thread_id", F.col("function_id").alias("variable_id"), F.col("geid"))
+    rows = positions.following(positions.ordinals(rows, "version", group=key), F.col("geid"), "to_geid", group=key)
+    return rows.select("thread_id", "variable_id", F.col("geid").alias("from_geid"), "to_geid", "version")
 
 
 @query
 def asof_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each logged event, the latest value before it in its thread."""
-    order = Window.partitionBy("thread_id").orderBy("geid").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.last(F.when(F.col("kind") == "Value", F.col("geid")), ignorenulls=True).over(order)
-    return trace(spark, sf_dir).withColumn("value_geid", latest).where("kind = 'Event'").select("geid", "value_geid")
+    value = F.when(F.col("kind") == "Value", F.col("geid"))
+    return positions.latest(trace(spark, sf_dir), value, "value_geid", group=("thread_id",), itself=False).where("kind = 'Event'").select("geid", "value_geid")
 
 
 @query
 def thread_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours in global order differ in thread: an equality join on the next geid, no global window."""
-    rows = trace(spark, sf_dir).select("geid", "thread_id")
-    after = rows.select((F.col("geid") - 1).alias("geid"), F.col("thread_id").alias("next_thread"))
-    return rows.join(after, "geid").where("thread_id <> next_thread").groupBy("thread_id").agg(_count("switches"))
+    """Neighbours in global order that differ in thread, whatever the gaps between their geids."""
+    rows = positions.following(trace(spark, sf_dir).select("geid", "thread_id"), F.col("thread_id"), "next_thread")
+    return rows.where("thread_id <> next_thread").groupBy("thread_id").agg(_count("switches"))
+
+
+@query
+def current_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thread that each event runs on where only switches name one: a switch holds until the next."""
+    rows = trace(spark, sf_dir).select("geid", F.when(F.col("kind") == "Event", F.col("thread_id")).alias("switched_to"))
+    return positions.latest(rows, F.col("switched_to"), "thread_id").select("geid", F.coalesce("thread_id", F.lit(0)).alias("thread_id"))
 
 
 @query
@@ -180,13 +184,9 @@ def dropped_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assignment_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables reachable over assignment edges: iterated joins on the (bounded) set of variable ids."""
+    """Variables reachable over assignment edges."""
     edges = trace(spark, sf_dir).where("kind = 'Value'").select(F.col("path_id").alias("a"), F.col("function_id").alias("b")).where("a < b").distinct()
-    reach = edges
-    for _ in range(4):  # ids run from 0 to 9: paths have at most 9 edges, and lengths double
-        longer = reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        reach = reach.unionByName(longer).distinct()
-    return reach.groupBy("a").agg(_count("reachable"))
+    return lineage.reachable(edges).groupBy("a").agg(_count("reachable"))
 
 
 # --- chunks, containers
@@ -411,10 +411,15 @@ def kind_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def value_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("thread_id").orderBy("geid")
-    rows = trace(spark, sf_dir).where("kind = 'Value'")
-    return rows.select("geid", (F.col("line") - F.lag("line").over(order)).alias("change"), F.sum("line").over(order.rowsBetween(-2, 0)).alias("recent"),
-                       F.dense_rank().over(Window.partitionBy("thread_id").orderBy("line")).cast("long").alias("place"))
+    """Change to the value before in the thread, sum of the last three, rank of the line among the thread's lines."""
+    key = ("thread_id",)
+    rows = positions.ordinals(trace(spark, sf_dir).where("kind = 'Value'").select("geid", "thread_id", "line"), "i", group=key)
+    total = positions.running(rows, F.col("line"), "upto", group=key).withColumn("upto", F.col("upto") + F.col("line"))
+    back = lambda n, name, c: total.select("thread_id", (F.col("i") + n).alias("i"), F.col(c).alias(name))
+    lines = rows.select("thread_id", "line").distinct()  # a thread's different lines, which is what a rank is over
+    places = lines.withColumn("place", F.row_number().over(Window.partitionBy("thread_id").orderBy("line")).cast("long"))
+    out = total.join(back(1, "before", "line"), ["thread_id", "i"], "left").join(back(3, "third", "upto"), ["thread_id", "i"], "left").join(places, ["thread_id", "line"])
+    return out.select("geid", (F.col("line") - F.col("before")).alias("change"), (F.col("upto") - F.coalesce("third", F.lit(0))).alias("recent"), "place")
 
 
 @query
@@ -426,9 +431,10 @@ def windowed_event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def thread_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a thread's events with gaps of at most 200 positions."""
-    order = Window.partitionBy("thread_id").orderBy("geid")
-    cut = F.when(F.col("geid") - F.lag("geid").over(order) > 200, 1).otherwise(0)
-    rows = trace(spark, sf_dir).select("thread_id", "geid", cut.alias("cut")).withColumn("session", F.sum("cut").over(order))
+    key = ("thread_id",)
+    rows = positions.latest(trace(spark, sf_dir).select("thread_id", "geid"), F.col("geid"), "before", group=key, itself=False)
+    cut = F.when(F.col("geid") - F.col("before") > 200, 1).otherwise(0)
+    rows = positions.running(rows.withColumn("cut", cut), F.col("cut"), "cuts", group=key).withColumn("session", F.col("cuts") + F.col("cut"))
     return rows.groupBy("thread_id", "session").agg(_count(), F.min("geid").alias("from_geid"))
 
 

@@ -29,16 +29,62 @@ def stack_run(kinds):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_brackets_follow_a_stack(spark, seed):
+@pytest.mark.parametrize(("seed", "threads", "run"), [(0, 3, 1 << 16), (1, 1, 7), (2, 3, 20), (3, 1, 1), (4, 2, 100)])
+def test_brackets_follow_a_stack(spark, monkeypatch, seed, threads, run):
+    """Also where all is one thread and a run holds a few rows only, with gaps between geids."""
+    monkeypatch.setattr(positions, "RUN", run)
     r = random.Random(seed)
-    rows = [(i, r.randrange(3), r.choice(["Call", "Return", "Step", "Value"])) for i in range(600)]
+    rows = [(3 * i + r.randrange(3), r.randrange(threads), r.choice(["Call", "Call", "Return", "Step"] if seed % 2 else ["Call", "Return", "Return", "Step"])) for i in range(400)]
     df = spark.createDataFrame(rows, "geid long, thread_id long, kind string")
     got = {x["geid"]: (x["depth"], x["enclosing"]) for x in brackets.enclosing_calls(df).collect()}
     assert got == stack_run(rows)
 
 
-def test_dropped_steps_follow_a_stack(spark):
+def test_no_task_reads_more_than_a_run(spark, monkeypatch):
+    """One thread: every window sees the rows of a run, or a summary for each run and level."""
+    monkeypatch.setattr(positions, "RUN", 50)
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select(F.col("id").alias("geid"), F.lit(1).cast("long").alias("thread_id"), F.expr("CASE id % 4 WHEN 0 THEN 'Call' WHEN 3 THEN 'Return' ELSE 'Step' END").alias("kind"))
+    plan = brackets.enclosing_calls(df)._jdf.queryExecution().executedPlan().toString()
+    by_run = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert by_run and not any("hashpartitioning(thread_id#" in line and "__run" not in line and "__at" not in line.split("Arguments")[0] and "geid" in line for line in by_run)
+    assert {r["depth"] for r in brackets.enclosing_calls(df).collect()} == {0, 1}
+
+
+def test_values_carried_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(positions, "RUN", 9)
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [(i, r.choice([None, 1, 2]), r.choice([None, None, None, 5 * i])) for i in sorted(r.sample(range(900), 250))]
+    df = spark.createDataFrame(rows, "geid long, g long, v long")
+    for group in ((), ("g",)):
+        got = positions.latest(df, F.col("v"), "up", group=group)
+        got = positions.latest(got, F.col("v"), "before", group=group, itself=False)
+        got = positions.following(got, F.col("v"), "after", group=group)
+        got = positions.ordinals(got, "n", group=group)
+        got = {x["geid"]: (x["up"], x["before"], x["after"], x["n"]) for x in got.collect()}
+        for i, (geid, g, v) in enumerate(rows):
+            mine = [x for x in rows if not group or x[1] == g]
+            at = mine.index((geid, g, v))
+            held = [x[2] for x in mine[:at] if x[2] is not None]
+            later = [x[2] for x in mine[at + 1 :] if x[2] is not None]
+            before = held[-1] if held else None
+            assert got[geid] == (before if v is None else v, before, later[0] if later else None, at)
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    from strandline.operators import lineage
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 7), (None, 1)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in lineage.reachable(edges).collect()}
+    assert len(got) == sum(40 - i for i in range(7)) + 34 * 34 and (0, 40) in got
+    assert lineage.reachable(edges.limit(0)).collect() == []
+
+
+def test_dropped_steps_follow_a_stack(spark, monkeypatch):
+    monkeypatch.setattr(positions, "RUN", 11)
     r = random.Random(5)
     rows = [(i, r.choice(["Step", "Step", "Drop", "Other"])) for i in range(500)]
     left = []
@@ -49,8 +95,8 @@ def test_dropped_steps_follow_a_stack(spark):
             left.pop()
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame(rows, "geid long, kind string").withColumn("g", F.lit(1))
-    got = brackets.without_dropped_steps(df, F.col("kind") == "Step", F.col("kind") == "Drop", "g")
+    df = spark.createDataFrame(rows, "geid long, kind string")
+    got = brackets.without_dropped_steps(df, F.col("kind") == "Step", F.col("kind") == "Drop")
     assert sorted(x["geid"] for x in got.collect()) == left
 
 
