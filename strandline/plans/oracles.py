@@ -18,8 +18,8 @@ matched AS (
          (SELECT max(o.geid) FROM pv o WHERE o.g = a.g AND o.d = 1 AND o.depth = a.level AND o.geid < a.geid AND a.level > 0) AS enclosing
   FROM asked a
 )"""
-_CALLS = f"{_WITH}, src AS (SELECT *, thread_id AS g, CASE kind WHEN 'Call' THEN 1 WHEN 'Return' THEN -1 ELSE 0 END AS d FROM trace), {_MATCH}"
-_TREE = f"""{_CALLS}, tree AS (
+CALLS = f"{_WITH}, src AS (SELECT *, thread_id AS g, CASE kind WHEN 'Call' THEN 1 WHEN 'Return' THEN -1 ELSE 0 END AS d FROM trace), {_MATCH}"
+TREE = f"""{CALLS}, tree AS (
   SELECT c.geid AS call_geid, c.thread_id, c.function_id, c.enclosing AS parent_geid, (c.depth - 1)::BIGINT AS depth,
          min(CASE WHEN i.kind = 'Return' THEN i.geid END) AS exit_geid, count(CASE WHEN i.kind = 'Call' THEN 1 END) AS children_count,
          count(CASE WHEN i.kind = 'Step' THEN 1 END) AS own_steps
@@ -44,10 +44,10 @@ _BLOCKS = """asked AS (SELECT o_orderkey, (o_orderkey % 4)::INT AS segment, o_cu
 hit AS (SELECT *, CASE WHEN block <= 63 THEN 0 WHEN block <= 127 THEN 1 END AS shard_index FROM asked)"""
 
 ORACLES = {
-    "step_enclosing_call": f"{_CALLS} SELECT row_number() OVER (ORDER BY geid) - 1 AS step_id, geid, thread_id, path_id, line, enclosing AS call_geid, depth::BIGINT AS depth FROM matched WHERE kind = 'Step'",
-    "call_tree": f"{_TREE} SELECT * FROM tree",
-    "call_children": f"{_CALLS} SELECT enclosing AS call_geid, row_number() OVER (PARTITION BY enclosing ORDER BY geid) - 1 AS child_index, geid AS child_geid FROM matched WHERE kind = 'Call' AND enclosing IS NOT NULL",
-    "return_matching": f"{_CALLS} SELECT geid AS return_geid, enclosing AS call_geid FROM matched WHERE kind = 'Return'",
+    "step_enclosing_call": f"{CALLS} SELECT row_number() OVER (ORDER BY geid) - 1 AS step_id, geid, thread_id, path_id, line, enclosing AS call_geid, depth::BIGINT AS depth FROM matched WHERE kind = 'Step'",
+    "call_tree": f"{TREE} SELECT * FROM tree",
+    "call_children": f"{CALLS} SELECT enclosing AS call_geid, row_number() OVER (PARTITION BY enclosing ORDER BY geid) - 1 AS child_index, geid AS child_geid FROM matched WHERE kind = 'Call' AND enclosing IS NOT NULL",
+    "return_matching": f"{CALLS} SELECT geid AS return_geid, enclosing AS call_geid FROM matched WHERE kind = 'Return'",
     "drop_last_step": f"""{_WITH}, src AS (SELECT *, 0 AS g, CASE kind WHEN 'Step' THEN 1 ELSE -1 END AS d FROM trace WHERE kind IN ('Step', 'Event')), {_MATCH}
         SELECT geid, path_id, line FROM trace WHERE kind = 'Step' AND geid NOT IN (SELECT enclosing FROM matched WHERE d = -1 AND enclosing IS NOT NULL)""",
     "step_ids": f"{_IDS} SELECT * FROM ids",
@@ -112,7 +112,7 @@ ORACLES = {
     "pool_violations": "SELECT s_suppkey AS server FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey <> 2)",
     "line_coverage": f"{_COVER} SELECT * FROM cov",
     "hot_lines_topk": f"{_COVER}, k AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY hits DESC, line) AS rank FROM cov) SELECT * FROM k WHERE rank <= 3",
-    "function_profile": f"{_TREE} SELECT function_id, count(*) AS calls, sum(own_steps)::BIGINT AS steps, max(depth) AS max_depth, count(exit_geid) AS returned FROM tree GROUP BY 1",
+    "function_profile": f"{TREE} SELECT function_id, count(*) AS calls, sum(own_steps)::BIGINT AS steps, max(depth) AS max_depth, count(exit_geid) AS returned FROM tree GROUP BY 1",
     "trace_diff": f"{_WITH} SELECT DISTINCT path_id, line FROM trace WHERE kind = 'Step' AND thread_id % 2 = 0 EXCEPT SELECT path_id, line FROM trace WHERE kind = 'Step' AND thread_id % 2 = 1",
     "shared_lines": f"{_WITH} SELECT path_id, line FROM trace WHERE kind = 'Step' AND thread_id % 2 = 0 INTERSECT SELECT path_id, line FROM trace WHERE kind = 'Step' AND thread_id % 2 = 1",
     "kind_path_cube": f"{_WITH} SELECT kind, path_id, count(*) AS n FROM trace GROUP BY CUBE (kind, path_id)",

@@ -451,7 +451,3 @@ def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.lag("role").over(order).alias("before"), F.sum(F.length("text")).over(order).alias("offset_after"))
-
-
-def entry(spark: SparkSession) -> DataFrame:
-    return step_enclosing_call(spark, "/root/testdata/sf0.001")

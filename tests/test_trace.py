@@ -7,10 +7,10 @@ import pytest
 
 from strandline.functions import scalars
 from strandline.operators import brackets, filters, positions, storage
-from strandline.plans.oracles import ORACLES
-from strandline.plans.queries import QUERIES
+from strandline.plans import oracles, queries, value_oracles, values
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | values.QUERIES, oracles.ORACLES | value_oracles.ORACLES
 
 
 def stack_run(kinds):
@@ -111,7 +111,7 @@ def test_positions_cross_runs(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_duckdb(spark, name):
     db = duckdb.connect()
-    for t in ("events", "documents", "pages", "conversations", "lineitem", "orders", "supplier", "nation", "part"):
+    for t in ("events", "documents", "pages", "conversations", "lineitem", "orders", "supplier", "nation", "part", "customer"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
