@@ -22,18 +22,45 @@ def uuid7_millis(uuid: Column) -> Column:
 
 
 def posix_path(path: Column) -> Column:
-    """Slashes only, without empty and "." components, ".." taking its parent along."""
+    """Slashes only, without empty and "." components, ".." taking its parent along; null if a ".." leaves the root."""
     parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: (x != "") & (x != "."))
-    step = lambda acc, x: F.when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(x == "..", acc).otherwise(F.concat(acc, F.array(x)))
+    step = lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def module_name(relative: Column) -> Column:
-    """app/util/__init__.py is app.util; null where a part is no identifier."""
-    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(relative, r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
+    """app/util/__init__.py is app.util; null where a part is no identifier or nothing is left."""
+    parts = F.filter(F.split(F.regexp_replace(relative, r"\.py$", ""), "/"), lambda x: x != "")
+    package = relative.rlike(r"(^|/)__init__\.py$")
+    name = F.array_join(F.when(package, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), ".")
     return F.when(name.rlike(r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\z"), name)
 
 
+def shortened(text: Column, limit: int = 120) -> Column:
+    """At most `limit` characters of a text, with a sign where something is missing."""
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
+
+
+# What a value is to its scope, in the order of their numbers.
+VALUE_KINDS = ("local", "global", "argument", "return", "attribute")
+
+
+def value_kind_number(label: Column) -> Column:
+    """0 to 4; null for a label that is none."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, VALUE_KINDS)), label), F.lit(0)).cast("int") - 1
+
+
+def language(name: Column) -> Column:
+    """The languages that materialized traces come in, by any of their names; null for others."""
+    low = F.lower(F.trim(name))
+    return F.when(low.isin("python", "ruby"), low).when(low.isin("javascript", "js"), "javascript")
+
+
+def is_uuid7(uuid: Column) -> Column:
+    """Whether a text is a UUID of version 7 and the usual variant."""
+    return F.lower(uuid).rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z")
+
+
 def relative_path(text: Column) -> Column:
     """What follows the last /src/ of an absolute path, shown relative to the recording."""
     return F.regexp_replace(text, r"^/.*/src/", "<relative-to-this>/src/")
@@ -44,7 +71,7 @@ def http_error_class(status: Column) -> Column:
 
 
 def content_type(kind: Column) -> Column:
-    return F.when(kind == "ctfs", "application/octet-stream").when(kind == "json", "application/json").otherwise("application/octet-stream")
+    return F.when(kind.isin("json", "manifest"), "application/json").otherwise("application/octet-stream")
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -103,6 +130,8 @@ def base40_decode(n: int) -> str:
     out = []
     while n:
         n, d = divmod(n, 40)
+        if not d:  # digit 0 ends a name
+            break
         out.append(BASE40[d])
     return "".join(out)
 
@@ -130,7 +159,16 @@ def leb128_decode(data: bytes, at: int = 0) -> tuple[int, int]:
         shift += 7
 
 
+#: SQL functions without Python code: name and parameters, type, body.
+SQL_FUNCTIONS = (
+    ("uuid7_millis(u STRING)", "BIGINT", "CAST(conv(substr(replace(u, '-', ''), 1, 12), 16, 10) AS BIGINT)"),
+    ("relative_path(p STRING)", "STRING", "regexp_replace(p, '^/.*/src/', '<relative-to-this>/src/')"),
+    ("shortened(t STRING)", "STRING", "CASE WHEN length(t) > 120 THEN concat(left(t, 120), '…') ELSE t END"),
+    ("trace_language(n STRING)", "STRING", "CASE WHEN lower(trim(n)) IN ('python', 'ruby') THEN lower(trim(n)) WHEN lower(trim(n)) IN ('javascript', 'js') THEN 'javascript' END"),
+)
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions format_size and module_name, as SQL expressions and not as Python code."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION uuid7_millis(u STRING) RETURNS BIGINT RETURN CAST(conv(substr(replace(u, '-', ''), 1, 12), 16, 10) AS BIGINT)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION relative_path(p STRING) RETURNS STRING RETURN regexp_replace(p, '^/.*/src/', '<relative-to-this>/src/')")
+    """The functions of SQL_FUNCTIONS, for this session."""
+    for name, kind, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS {kind} RETURN {body}")

@@ -1,13 +1,11 @@
-"""Storage manifests: parsing, block resolution with failover, validation."""
+"""Storage manifests: parsing and block resolution with failover."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.schema import MANIFEST_SCHEMA
 
@@ -26,32 +24,13 @@ def shards(manifests: DataFrame) -> DataFrame:
     return segments(manifests).select("recording_id", F.col("index").alias("segment"), F.explode("shards").alias("h")).select("recording_id", "segment", "h.*")
 
 
-def resolve_blocks(shard_rows: DataFrame, asked: DataFrame, usable: Callable[[Column], Column] | None = None) -> DataFrame:
-    """`asked` (segment, block) rows with the first shard that covers the block and its first usable replica.
+def resolve_blocks(shard_rows: DataFrame, asked: DataFrame, usable: Callable[[Column], Column] | None = None, keys: tuple[str, ...] = ("segment",)) -> DataFrame:
+    """`asked` (keys, block) rows with the first shard that covers the block and its first usable replica.
 
-    Segments are the equality key and the shard range a residual condition; of several shards the lowest wins.
+    The keys are joined by equality and the shard's range is a residual condition; of several shards the lowest wins.
     """
     replicas = F.col("replicas") if usable is None else F.filter("replicas", usable)
-    held = shard_rows.select("segment", "shard_index", "block_start", "block_end", F.try_element_at(replicas, F.lit(1))["object_id"].alias("object_id"))
-    hits = asked.join(held, "segment").where("block BETWEEN block_start AND block_end")
-    keys = list(asked.columns)
-    first = hits.groupBy(*keys).agg(F.min(F.struct("shard_index", "object_id")).alias("x"))
-    return first.select(*keys, "x.shard_index", "x.object_id")
-
-
-def violations(rows: DataFrame) -> DataFrame:
-    """(recording, index, rule) for rows that break a rule: contiguous indices from 1, positive sizes, uploaded."""
-    at = F.row_number().over(Window.partitionBy("recording").orderBy("index"))
-    broken = F.array_compact(F.array(
-        F.when(F.col("index") != F.col("at"), "index"), F.when(F.col("size_bytes") < 10, "size"), F.when(F.col("upload") != "uploaded", "upload"),
-    ))
-    return rows.withColumn("at", at).select("recording", "index", F.explode(broken).alias("rule"))
-
-
-def sample_manifest(spark: SparkSession) -> DataFrame:
-    """Four segments of a hundred events, each in shards of 64 blocks with two replicas."""
-    item = lambda name: {"object_id": name, "uri": f"s3://pool/{name}", "size_bytes": 4096, "sha256": "0" * 64, "upload": "uploaded"}
-    shard = lambda s, k, name: {"shard_index": k, "block_start": 64 * k, "block_end": 64 * k + 63, "replicas": [item(f"segment-{s}-{name}-{r}") for r in "ab"]}
-    rows = [{"index": s, "geid_start": 100 * s + 1, "geid_end": 100 * s + 100, "shards": [shard(s, 0, "low"), shard(s, 1, "high")]} for s in range(4)]
-    text = json.dumps({"schema": "v1", "recording_id": "r", "source": {"kind": "sharded_split_ctfs", "segments": rows}})
-    return parse(spark.createDataFrame([(text,)], "json string"))
+    held = shard_rows.select(*keys, "shard_index", "block_start", "block_end", F.try_element_at(replicas, F.lit(1))["object_id"].alias("object_id"))
+    hits = asked.join(held, list(keys)).where("block BETWEEN block_start AND block_end")
+    first = hits.groupBy(*asked.columns).agg(F.min_by(F.struct("shard_index", "object_id"), "shard_index").alias("x"))
+    return first.select(*asked.columns, "x.shard_index", "x.object_id")

@@ -40,9 +40,6 @@ _SCOPES = f"""{_WITH}, sc AS (SELECT DISTINCT path_id, function_id FROM trace),
   FROM sc)"""
 #: Patterns belong to rule 0 alone: a later rule that matches replaces them by none.
 _ACTION = "CASE WHEN matched_rule <> 0 THEN value_default WHEN regexp_full_match(value_name, 'v[1-4]') THEN 'redact' WHEN value_name LIKE 'v%' THEN 'drop' ELSE value_default END"
-_BLOCKS = """asked AS (SELECT o_orderkey, (o_orderkey % 4)::INT AS segment, o_custkey % 140 AS block FROM orders),
-hit AS (SELECT *, CASE WHEN block <= 63 THEN 0 WHEN block <= 127 THEN 1 END AS shard_index FROM asked)"""
-
 ORACLES = {
     "step_enclosing_call": f"{CALLS} SELECT row_number() OVER (ORDER BY geid) - 1 AS step_id, geid, thread_id, path_id, line, enclosing AS call_geid, depth::BIGINT AS depth FROM matched WHERE kind = 'Step'",
     "call_tree": f"{TREE} SELECT * FROM tree",
@@ -100,16 +97,9 @@ ORACLES = {
     "longest_project_root": """WITH f AS (SELECT p_partkey, '/w/p' || p_partkey % 4 || '/q' || p_partkey % 3 || '/f.py' AS path FROM part),
         r AS (SELECT f.*, root, row_number() OVER (PARTITION BY p_partkey ORDER BY length(root) DESC) AS k FROM f JOIN (VALUES ('/w'), ('/w/p1'), ('/w/p1/q2'), ('/w/p2')) t(root) ON starts_with(path, root || '/'))
         SELECT p_partkey, root, substr(path, length(root) + 2) AS relative FROM r WHERE k = 1""",
-    "manifest_blocks": f"WITH {_BLOCKS} SELECT o_orderkey, segment, block, shard_index, 'segment-' || segment || CASE shard_index WHEN 0 THEN '-low-a' ELSE '-high-a' END AS object_id FROM hit WHERE shard_index IS NOT NULL",
-    "replica_failover": f"WITH {_BLOCKS} SELECT o_orderkey, 'segment-' || segment || CASE shard_index WHEN 0 THEN '-low-b' ELSE '-high-a' END AS object_id FROM hit WHERE shard_index IS NOT NULL",
-    "manifest_range": "SELECT 'r' AS recording_id, 1 AS geid_start, 400 AS geid_end, 4 AS segments, 396 AS stated, 400 AS events",
-    "manifest_violations": """WITH r AS (SELECT l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS pos, floor(l_quantity)::BIGINT AS size, l_returnflag FROM lineitem),
-        v AS (SELECT unnest([CASE WHEN i <> pos THEN 'index' END, CASE WHEN size < 10 THEN 'size' END, CASE WHEN l_returnflag = 'R' THEN 'upload' END]) AS rule FROM r)
-        SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY rule""",
     "retry_pending": """WITH r AS (SELECT l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC,
             CASE l_returnflag WHEN 'A' THEN 'uploaded' WHEN 'R' THEN 'retryable_failure' ELSE 'fatal_failure' END DESC) AS k, count(*) OVER (PARTITION BY l_partkey) AS attempts FROM lineitem)
         SELECT l_partkey, attempts FROM r WHERE k = 1 AND l_returnflag = 'R'""",
-    "pool_violations": "SELECT s_suppkey AS server FROM supplier WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = s_nationkey AND n_regionkey <> 2)",
     "line_coverage": f"{_COVER} SELECT * FROM cov",
     "hot_lines_topk": f"{_COVER}, k AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY hits DESC, line) AS rank FROM cov) SELECT * FROM k WHERE rank <= 3",
     "function_profile": f"{TREE} SELECT function_id, count(*) AS calls, sum(own_steps)::BIGINT AS steps, max(depth) AS max_depth, count(exit_geid) AS returned FROM tree GROUP BY 1",

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandline import schema
 from strandline.functions import scalars
-from strandline.operators import brackets, filters, lineage, positions, storage
+from strandline.operators import brackets, filters, lineage, positions
 from strandline.plans.adapter import table, trace
 
 QUERIES: dict = {}
@@ -308,36 +308,7 @@ def longest_project_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.with_root(files, "path", ["/w", "/w/p1", "/w/p1/q2", "/w/p2"]).select("p_partkey", "root", "relative")
 
 
-# --- storage
-
-
-@query
-def manifest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("int").alias("segment"), (F.col("o_custkey") % 140).alias("block"))
-    return storage.resolve_blocks(storage.shards(storage.sample_manifest(spark)), asked).select("o_orderkey", "segment", "block", "shard_index", "object_id")
-
-
-@query
-def replica_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("int").alias("segment"), (F.col("o_custkey") % 140).alias("block"))
-    shards = storage.shards(storage.sample_manifest(spark))
-    return storage.resolve_blocks(shards, asked, lambda r: ~r["object_id"].endswith("low-a")).select("o_orderkey", "object_id")
-
-
-@query
-def manifest_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = storage.segments(storage.sample_manifest(spark))
-    return s.groupBy("recording_id").agg(F.min("geid_start").alias("geid_start"), F.max("geid_end").alias("geid_end"), _count("segments"),
-                                         F.sum(F.greatest(F.col("geid_end") - F.col("geid_start"), F.lit(0))).alias("stated"), F.sum(F.col("geid_end") - F.col("geid_start") + 1).alias("events"))
-
-
-@query
-def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("recording"), F.col("l_linenumber").alias("index"), F.col("l_quantity").cast("long").alias("size_bytes"),
-        F.when(F.col("l_returnflag") == "R", "pending").otherwise("uploaded").alias("upload"),
-    )
-    return storage.violations(rows).groupBy("rule").agg(_count())
+# --- storage (configurations and manifests are in storage_rules.py)
 
 
 @query
@@ -349,14 +320,6 @@ def retry_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.where("x.state = 'retryable_failure'").select("l_partkey", "attempts")
 
 
-@query
-def pool_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members that no server list has: an anti-join."""
-    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("server"), "s_nationkey")
-    known = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("s_nationkey"))
-    return members.join(known, "s_nationkey", "left_anti").select("server")
-
-
 # --- analytics
 
 

@@ -1,5 +1,6 @@
 """Trace operators against sequential Python, filters against worked cases, and all queries against DuckDB."""
 
+import json
 import random
 
 import duckdb
@@ -7,10 +8,10 @@ import pytest
 
 from strandline.functions import scalars
 from strandline.operators import brackets, filters, positions, storage
-from strandline.plans import oracles, queries, value_oracles, values
+from strandline.plans import oracles, queries, storage_oracles, storage_rules, value_oracles, values
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | values.QUERIES, oracles.ORACLES | value_oracles.ORACLES
+QUERIES, ORACLES = queries.QUERIES | values.QUERIES | storage_rules.QUERIES, oracles.ORACLES | value_oracles.ORACLES | storage_oracles.ORACLES
 
 
 def stack_run(kinds):
@@ -198,7 +199,11 @@ def test_codecs_of_names_and_numbers():
 
 
 def test_blocks_fail_over(spark):
-    shards = storage.shards(storage.sample_manifest(spark))
+    item = lambda name: {"object_id": name, "uri": f"s3://pool/{name}", "size_bytes": 4096, "sha256": "0" * 64, "upload": "uploaded"}
+    shard = lambda s, k, name: {"shard_index": k, "block_start": 64 * k, "block_end": 64 * k + 63, "replicas": [item(f"segment-{s}-{name}-{r}") for r in "ab"]}
+    segments = [{"index": s, "geid_start": 100 * s + 1, "geid_end": 100 * s + 100, "shards": [shard(s, 0, "low"), shard(s, 1, "high")]} for s in range(4)]
+    text = json.dumps({"schema": "v1", "recording_id": "r", "source": {"kind": "sharded_split_ctfs", "segments": segments}})
+    shards = storage.shards(storage.parse(spark.createDataFrame([(text,)], "json string")))
     asked = spark.createDataFrame([(1, 70), (1, 63), (3, 127), (1, 200)], "segment int, block long")
     first = {(r["segment"], r["block"]): r["object_id"] for r in storage.resolve_blocks(shards, asked).collect()}
     assert first == {(1, 70): "segment-1-high-a", (1, 63): "segment-1-low-a", (3, 127): "segment-3-high-a"}
@@ -210,6 +215,14 @@ def test_paths(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([("/a//b/./c/../d",), ("a\\b",), ("../x",)], "p string")
-    assert [r[0] for r in df.select(scalars.posix_path(F.col("p"))).collect()] == ["a/b/d", "a/b", "x"]
-    names = spark.createDataFrame([("a/b.py",), ("a/__init__.py",), ("a-b.py",)], "p string")
-    assert [r[0] for r in names.select(scalars.module_name(F.col("p"))).collect()] == ["a.b", "a", None]
+    assert [r[0] for r in df.select(scalars.posix_path(F.col("p"))).collect()] == ["a/b/d", "a/b", None]
+    names = spark.createDataFrame([("a/b.py",), ("a/__init__.py",), ("a-b.py",), ("a/__init__",), ("a//b.py",), ("__init__.py",)], "p string")
+    assert [r[0] for r in names.select(scalars.module_name(F.col("p"))).collect()] == ["a.b", "a", None, "a.__init__", "a.b", None]
+    assert scalars.base40_decode(40 * 40 * 3 + 2) == "1"
+    words = spark.createDataFrame([("x" * 121, "JS ", "return", "018f0000-0000-7000-8000-000000000000"), ("y" * 120, "go", "?", "018f0000-0000-4000-8000-000000000000")], "a string, b string, c string, d string")
+    got = words.select(scalars.shortened(F.col("a")), scalars.language(F.col("b")), scalars.value_kind_number(F.col("c")), scalars.is_uuid7(F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [("x" * 120 + "…", "javascript", 3, True), ("y" * 120, None, None, False)]
+    scalars.register(spark)
+    words.createOrReplaceTempView("words")
+    got = spark.sql("SELECT shortened(a), trace_language(b), uuid7_millis(d), relative_path('/x/src/y') FROM words").collect()
+    assert tuple(got[0]) == ("x" * 120 + "…", "javascript", 0x018F00000000, "<relative-to-this>/src/y")
