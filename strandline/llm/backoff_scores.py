@@ -40,7 +40,7 @@ from strandline.llm.shared import shuffle_partitions, text_of, written
 
 ALPHA, ORDER = 0.4, 3
 #: Bytes of text in a block; entries in a bucket.
-PIECE, BUCKET_ENTRIES = 16 << 20, 2_000_000
+PIECE, BUCKET_ENTRIES = 8 << 20, 4_000_000
 #: Bytes of text that are hashed at once: eight bytes of working memory each, several times over.
 CHUNK = 1 << 21
 U64 = np.uint64
@@ -116,6 +116,11 @@ class Grams:
             self.ends_at.append(at)
         self.hashes = np.concatenate(parts)
 
+    def names(self) -> np.ndarray:
+        """Sorted distinct hashes."""
+        every = np.sort(self.hashes)
+        return every[np.r_[True, every[1:] != every[:-1]]] if len(every) else every
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes and how often the block has each."""
         return np.unique(self.hashes, return_counts=True)
@@ -158,7 +163,7 @@ def log_scores(grams: Grams, counts: Iterator[np.ndarray], words: np.ndarray, al
 
 
 def _packed(texts: list[bytes]) -> bytes:
-    return zstandard.compress(b"".join(texts), 3)
+    return zstandard.compress(b"".join(texts), 9)  # they are written and moved once
 
 
 def _unpacked(held: bytes, lengths: np.ndarray) -> list[bytes]:
@@ -268,15 +273,13 @@ def scores(documents: DataFrame, corpus: DataFrame | None = None, alpha: float =
 
     def score(held: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = []
-        lists = [_from_planes(x, np.int64) for x in found.sort_values("bucket")["totals"]]
-        totals = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
+        totals = np.concatenate([np.empty(0, dtype=np.int64), *(_from_planes(x, np.int64) for x in found.sort_values("bucket")["totals"])])
         for ids, known, lengths, texts in zip(held["ids"], held["known"], held["lengths"], held["texts"], strict=True):
             grams, n = Grams(_unpacked(texts, lengths), order), len(ids)
             size = np.bincount(grams.text, minlength=n)
             sums = np.zeros(n)
             if len(grams.text):
-                names, _ = grams.distinct()
-                each = log_scores(grams, grams.counts(names, totals, own), (total - size if own else np.full(n, total))[grams.text], alpha)
+                each = log_scores(grams, grams.counts(grams.names(), totals, own), (total - size if own else np.full(n, total))[grams.text], alpha)
                 sums = np.bincount(grams.text, each, n)
             score_ = pd.array([x / k if k else None for x, k in zip(sums.tolist(), size.tolist(), strict=True)], dtype="Float64")
             out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.array(ids), ~np.array(known, dtype=bool)), "n_tokens": size, "score": score_}))

@@ -630,7 +630,7 @@ def backoff_brute(docs, corpus, own, order, alpha=0.4):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("which", "order", "block"), [("odd", 3, 16 << 20), ("none", 3, 16 << 20), ("real", 3, 50_000), ("real", 2, 16 << 20), ("odd", 4, 100)])
+@pytest.mark.parametrize(("which", "order", "block"), [("odd", 3, 8 << 20), ("none", 3, 8 << 20), ("real", 3, 50_000), ("real", 2, 8 << 20), ("odd", 4, 100)])
 def test_backoff_scores(which, order, block, request, real, monkeypatch):
     monkeypatch.setattr(backoff_scores, "BUCKET_ENTRIES", 3000)
     monkeypatch.setattr(backoff_scores, "PIECE", block)
