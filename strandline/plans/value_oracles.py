@@ -9,14 +9,14 @@ from strandline.plans.oracles import CALLS, TREE
 _WITH = f"WITH {TRACE_SQL}"
 _NUMBER = {k: i for i, k in enumerate(schema.TYPE_KINDS)}
 #: What is shown of a value with this geid and line, and its kind, straight from both numbers.
-_SHOWN = """CASE geid % 15 WHEN 0 THEN line::VARCHAR WHEN 1 THEN line || '.5' WHEN 2 THEN (line % 2 = 0)::VARCHAR WHEN 3 THEN 's"' || line WHEN 4 THEN '[...]' WHEN 5 THEN '(...)'
+SHOWN = """CASE geid % 15 WHEN 0 THEN line::VARCHAR WHEN 1 THEN line || '.5' WHEN 2 THEN (line % 2 = 0)::VARCHAR WHEN 3 THEN 's"' || line WHEN 4 THEN '[...]' WHEN 5 THEN '(...)'
   WHEN 6 THEN '{...}' WHEN 7 THEN 'Case' || line % 3 WHEN 8 THEN '0x' || lower(to_hex(geid * 4096 + line)) WHEN 9 THEN 'raw ' || line WHEN 10 THEN 'no value' WHEN 11 THEN 'None'
   WHEN 12 THEN 'place_' || line WHEN 13 THEN CASE line % 2 WHEN 1 THEN '-' ELSE '' END || '(bigint)' ELSE chr((97 + line % 26)::INT) END"""
 _TYPE = "CASE geid % 15 WHEN 12 THEN 'Cell' WHEN 6 THEN 'type_6' ELSE 'type_' || geid % 34 END"
 _KINDS = ("Int", "Float", "Bool", "String", "Seq", "Tuple", "Struct", "Variant", "Pointer", "Raw", "Error", "None", "Raw", "Int", "Char")
 _KIND = "[" + ", ".join(str(_NUMBER[k]) for k in _KINDS) + "][geid % 15 + 1]"
 _NAMES = "['Int', 'Float', 'Bool', 'String', 'Sequence', 'Tuple', 'Struct', 'Variant', 'Reference', 'Raw', 'Error', 'None', 'Cell', 'BigInt', 'Char'][geid % 15 + 1]"
-_VALUES = f"{_WITH}, v AS (SELECT geid, line, thread_id, function_id, {_SHOWN} AS shown FROM trace WHERE kind = 'Value')"
+_VALUES = f"{_WITH}, v AS (SELECT geid, line, thread_id, function_id, {SHOWN} AS shown FROM trace WHERE kind = 'Value')"
 _NODES = f"""{_VALUES}, c AS (
   SELECT geid, '' AS node, NULL AS parent, 0 AS pos, {_NAMES} AS kind, shown FROM v
   UNION ALL SELECT geid, i::VARCHAR, '', i::INT, 'Int', (line + i)::VARCHAR FROM v, range(2) t(i) WHERE geid % 15 = 4
@@ -27,14 +27,14 @@ _NODES = f"""{_VALUES}, c AS (
   UNION ALL SELECT geid, '0.0', '0', 0, 'Int', (line + 2)::VARCHAR FROM v WHERE geid % 15 = 7
   UNION ALL SELECT geid, '0', '', 0, 'Int', (line + 3)::VARCHAR FROM v WHERE geid % 15 = 8)"""
 _QUOTED = "replace(shown, '\"', '\\\"')"
-_STEPPED = f"""{_WITH}, st AS (SELECT *, {_SHOWN} AS shown, max(CASE WHEN kind = 'Step' THEN geid END) OVER (PARTITION BY thread_id ORDER BY geid) AS step_geid FROM trace)"""
+_STEPPED = f"""{_WITH}, st AS (SELECT *, {SHOWN} AS shown, max(CASE WHEN kind = 'Step' THEN geid END) OVER (PARTITION BY thread_id ORDER BY geid) AS step_geid FROM trace)"""
 _KEYS = f"""{TREE}, sid AS (SELECT geid, row_number() OVER (ORDER BY geid) - 1 AS step_id FROM trace WHERE kind = 'Step'),
   near_ AS (SELECT t.geid, max(step_id) OVER (PARTITION BY thread_id ORDER BY t.geid) AS latest FROM trace t LEFT JOIN sid ON sid.geid = t.geid),
   keyed AS (SELECT *, row_number() OVER (ORDER BY call_geid) - 1 AS call_key FROM tree),
   called AS (SELECT k.call_key, k.call_geid, coalesce(p.call_key, -1)::BIGINT AS parent_key, k.function_id, k.depth, a.latest AS entry_step, z.latest AS exit_step, k.children_count
     FROM keyed k LEFT JOIN keyed p ON p.call_geid = k.parent_geid JOIN near_ a ON a.geid = k.call_geid LEFT JOIN near_ z ON z.geid = k.exit_geid)"""
 _ARGS = f"""ends AS (SELECT geid, kind, thread_id FROM trace WHERE kind IN ('Call', 'Step', 'Return')),
-  ar AS (SELECT v.geid, e.geid AS call_geid, v.function_id AS variable_id, v.shown FROM (SELECT *, {_SHOWN} AS shown FROM trace WHERE kind = 'Value') v
+  ar AS (SELECT v.geid, e.geid AS call_geid, v.function_id AS variable_id, v.shown FROM (SELECT *, {SHOWN} AS shown FROM trace WHERE kind = 'Value') v
     ASOF JOIN ends e ON v.thread_id = e.thread_id AND v.geid < e.geid WHERE e.kind = 'Call'),
   args AS (SELECT call_geid, row_number() OVER (PARTITION BY call_geid ORDER BY geid) - 1 AS i, variable_id, shown FROM ar)"""
 _EXEC = f"""{_WITH}, sp AS (SELECT *, lag(thread_id) OVER (ORDER BY geid) AS running FROM trace WHERE kind = 'Step'),

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` as checkpointed rows. The folder is `spark.checkpoint.dir`; one of our own only where that is unset and everything runs in one JVM."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; a folder of our own only where that is unset and everything runs in one JVM."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="strandline-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="strandline-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as checkpointed rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -22,16 +23,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def render_value(payload, root: str = "$") -> F.Column:
-    """A value record as short text: scalars as such, [...] (...) {...} for containers."""
-    get = lambda name: F.get_json_object(payload, f"{root}.{name}")
-    kind = get("kind")
-    return (
-        F.when(kind == "Int", get("i")).when(kind == "Float", get("f")).when(kind == "Bool", get("b")).when(kind == "String", get("text"))
-        .when(kind == "Raw", get("r")).when(kind == "Error", get("msg")).when(kind == "Char", get("c")).when(kind == "None", "nil")
-        .when(kind == "Sequence", "[...]").when(kind == "Tuple", "(...)").when(kind == "Struct", "{...}")
-        .when(kind == "Cell", F.concat(F.lit("place_"), get("place"))).when(kind == "Reference", F.concat(F.lit("0x"), F.lower(F.hex(get("address").cast("long")))))
-    )
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """position, kind, payload and common scalars of a folder of JSON objects, a line each, as `write` leaves it.
+
+    Lines are split over tasks wherever Spark splits files; part files and the places in them give the order.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("part", F.regexp_extract("file", r"part-([0-9]+)", 1).cast("long"))
+    item = F.col("value")
+    kind = F.coalesce(F.element_at(F.json_object_keys(item), 1), F.regexp_replace(item, '"', ""))
+    field = lambda name: F.get_json_object("payload", f"$.{name}").cast("long").alias(name)
+    rows = lines.select("part", "at", kind.alias("kind"), F.map_values(F.from_json(item, "map<string,string>"))[0].alias("payload"))
+    # a part file comes from one task and is read in one or more: its splits keep their order within it
+    order = Window.partitionBy("part").orderBy("at")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("r", F.row_number().over(order) - 1).join(sizes.select("part", before.alias("before")), "part")
+    return placed.select((F.col("before") + F.col("r")).cast("long").alias("position"), "kind", "payload", *map(field, ("path_id", "line", "function_id", "variable_id")))
 
 
 def write(events: DataFrame, path: str) -> None:

@@ -4,10 +4,12 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.operators import records
 from strandline.plans.adapter import trace
 from strandline.schema import EVENT_KINDS, EVENT_SCHEMA
-from strandline.sources import cbor, container, json_trace, split_binary
+from strandline.sources import cbor, chunked, container, json_trace, split_binary
 from strandline.streaming import tail
 
 SAMPLES = {"Q": 7, "q": -3, "B": 11, "text": "é text", "cbor": '{"kind":"Int","i":42,"type_id":1}', "texts": ["mov", ""], "numbers": [1, 2**60]}
@@ -80,13 +82,55 @@ def test_json_trace(spark, tmp_path):
     rows = df.orderBy("geid").collect()
     assert [r["kind"] for r in rows] == ["Path", "Function", "Step", "Call", "Return", "DropLastStep", "ThreadSwitch"]
     assert rows[0]["payload"] == "foo.rs" and rows[1]["name"] == "main" and rows[2]["line"] == 1 and rows[5]["payload"] is None and rows[6]["thread_id"] == 3
-    shown = df.where("kind = 'Return'").select(json_trace.render_value("payload", "$.return_value").alias("v")).first()
+    shown = df.where("kind = 'Return'").select(records.rendered(F.get_json_object("payload", "$.return_value")).alias("v")).first()
     assert shown["v"] == "inf"
     json_trace.write(df, str(tmp_path / "out"))
     back = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert back == items
 
 
+def test_json_lines_come_back_in_order(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 5).selectExpr("id * 3 AS geid", "'Step' AS kind", """concat('{"path_id":', id % 7, ',"line":', id, '}') AS payload""")
+    json_trace.write(rows, str(tmp_path / "lines"))
+    got = json_trace.read_lines(spark, str(tmp_path / "lines")).orderBy("position").collect()
+    assert [(r["position"], r["line"]) for r in got] == [(i, i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("codec", chunked.CODECS)
+def test_chunks_of_every_kind(spark, codec):
+    kinds = [e for e in ONE_OF_EACH if e["kind"] in chunked.known_kinds()]
+    assert len(kinds) >= 9
+    names = [f.split()[0] for f in chunked.FIELDS.split(", ")]
+    rows = [(7 * i, *(e.get(n) for n in names)) for i, e in enumerate(kinds * 3)]
+    df = spark.createDataFrame(rows, f"geid long, {chunked.FIELDS}").repartition(4)
+    held = chunked.encode(df, codec, size=5)
+    assert sorted(tuple(r) for r in chunked.decode(held).collect()) == sorted(rows, key=lambda r: r[0])
+    part = chunked.decode(held, 35, 50).collect()
+    assert sorted(r["geid"] for r in part) == [g for g in range(0, 7 * len(rows), 7) if 35 <= g < 85]
+    broken = held.withColumn("event_count", F.col("event_count") + 1)
+    with pytest.raises(Exception, match="holds"):
+        chunked.decode(broken).collect()
+    assert chunked.decode(chunked.encode(df.limit(0), codec)).collect() == []
+
+
+def test_rates_close_with_the_watermark(spark, tmp_path):
+    """A late event is left out once its window is closed."""
+    source = str(tmp_path / "in")
+    batches = [["2024-01-01 00:10:00", "2024-01-01 00:50:00"], ["2024-01-01 03:00:00"], ["2024-01-01 03:30:00"], ["2024-01-01 00:20:00", "2024-01-01 05:00:00"], ["2024-01-01 09:00:00"]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame([(t, "Step") for t in part], "t string, kind string").selectExpr("CAST(t AS TIMESTAMP) AS ts", "kind").coalesce(1).write.mode("append").parquet(source)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    import os
+
+    for i, p in enumerate(files):
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = tail.event_rate(tail.follow(spark, source, "ts timestamp, kind string", 1))
+    query = stream.writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {str(r["window"]["start"]): r["n"] for r in spark.table("rates").collect()}
+    assert got["2024-01-01 00:00:00"] == 2 and got["2024-01-01 03:00:00"] == 2 and got["2024-01-01 05:00:00"] == 1
+
+
 def test_stream_keeps_stacks(spark, tmp_path):
     from tests.test_trace import stack_run
 

@@ -8,10 +8,10 @@ import pytest
 
 from strandline.functions import scalars
 from strandline.operators import brackets, filters, positions, storage
-from strandline.plans import oracles, queries, storage_oracles, storage_rules, value_oracles, values
+from strandline.plans import oracles, queries, source_oracles, source_queries, storage_oracles, storage_rules, value_oracles, values
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries.QUERIES | values.QUERIES | storage_rules.QUERIES, oracles.ORACLES | value_oracles.ORACLES | storage_oracles.ORACLES
+QUERIES, ORACLES = queries.QUERIES | values.QUERIES | storage_rules.QUERIES | source_queries.QUERIES, oracles.ORACLES | value_oracles.ORACLES | storage_oracles.ORACLES | source_oracles.ORACLES
 
 
 def stack_run(kinds):
