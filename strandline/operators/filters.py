@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import glob_to_regex, module_name
 
+#: A dotted module name.
+MODULE = r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*\z"
 SCOPE_KINDS, VALUE_KINDS = ("pkg", "file", "obj"), ("local", "global", "arg", "ret", "attr")
 MATCH_TYPES = ("glob", "regex", "literal")
 EXEC, ACTIONS = ("trace", "skip"), ("allow", "redact", "drop", "deny")
@@ -188,6 +190,26 @@ def with_root(files: DataFrame, path: str, roots: list[str]) -> DataFrame:
     return files.withColumn("root", root).withColumn("relative", F.expr(f"substring({path}, length(root) + 2)"))
 
 
+def with_table_root(files: DataFrame, path: str, roots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """As `with_root` for any number of roots, (root, source) rows: each file's folders meet the roots by equality.
+
+    Of equally deep roots, which are the same folder, the earliest source counts. `keys` name a file.
+    """
+    parts = F.split(F.col(path), "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    known = roots.select(F.regexp_replace("root", "/+$", "").alias("__folder"), "root", "source").groupBy("__folder").agg(F.min(F.struct("source", "root")).alias("__r"))
+    above = files.select(*keys, F.explode(folders).alias("__folder")).join(known, "__folder")
+    deepest = above.groupBy(*keys).agg(F.max_by("__r", F.length("__folder")).alias("__r"))
+    found = files.join(deepest, list(keys), "left").select("*", F.col("__r.root").alias("root"), F.col("__r.source").alias("source")).drop("__r")
+    return found.withColumn("relative", F.expr(f"substring({path}, length(regexp_replace(root, '/+$', '')) + 2)"))
+
+
+def with_hint(scopes: DataFrame, hint: str, name: str) -> DataFrame:
+    """`scopes` with their module replaced by a valid dotted hint, and `object` (module and qualified name, as far as known) anew."""
+    module = F.when(F.col(hint).rlike(MODULE), F.col(hint)).otherwise(F.col("module"))
+    return scopes.withColumn("module", module).withColumn("object", F.nullif(F.concat_ws(".", "module", name), F.lit("")))
+
+
 def demo_scopes(trace: DataFrame) -> DataFrame:
     """The distinct (path, function) scopes of a trace with names for rules to match."""
     scopes = trace.select("path_id", "function_id").distinct()
@@ -222,3 +244,41 @@ selector = "obj:regex:f[78]$"
 value_default = "drop"
 """
 )
+
+
+#: A second source on top of the first: its default prunes the older patterns where it drops.
+INLINE = """
+[meta]
+name = "inline"
+version = 1
+[scope]
+default_exec = "trace"
+default_value_action = "allow"
+[[scope.rules]]
+selector = "pkg:glob:app.*"
+value_default = "redact"
+[[scope.rules.value_patterns]]
+selector = "local:literal:v3"
+action = "allow"
+[[scope.rules.value_patterns]]
+selector = "arg:glob:v?"
+action = "allow"
+"""
+PROJECT = """
+[meta]
+name = "project"
+version = 1
+[scope]
+default_exec = "inherit"
+default_value_action = "inherit"
+[[scope.rules]]
+selector = "file:glob:app/m[0-2].py"
+value_default = "drop"
+[[scope.rules.value_patterns]]
+selector = "local:regex:[1-3]$"
+action = "allow"
+[[scope.rules]]
+selector = "obj:glob:app.m1.f*"
+exec = "skip"
+"""
+CHAINED = Filter.from_texts(INLINE, PROJECT)

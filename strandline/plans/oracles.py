@@ -94,6 +94,23 @@ ORACLES = {
     "filter_values": f"{_SCOPES}, nm AS (SELECT *, 'v' || (function_id * 7 % 10) AS value_name FROM cl) SELECT path_id, function_id, value_name, {_ACTION} AS action FROM nm",
     "redacted_values": f"""{_SCOPES}, nm AS (SELECT *, 'secret_key' AS value_name FROM cl), ac AS (SELECT path_id, function_id, exec, {_ACTION} AS action FROM nm)
         SELECT geid, CASE WHEN action = 'redact' THEN NULL ELSE line END AS shown FROM trace JOIN ac USING (path_id, function_id) WHERE kind = 'Value' AND exec = 'trace' AND action <> 'drop'""",
+    "chained_filter": f"""{_WITH}, sc AS (SELECT DISTINCT path_id, function_id, 'app/m' || path_id || '.py' AS file, 'app.m' || path_id AS pkg, 'app.m' || path_id || '.f' || function_id AS obj,
+          'v' || function_id % 5 AS value_name FROM trace),
+        rule(i, kind, pattern, exec, value_default, source) AS (VALUES (0, 'pkg', 'app\\.[^/]*', NULL, 'redact', 0), (1, 'file', 'app/m[0-2]\\.py', NULL, 'drop', 1), (2, 'obj', 'app\\.m1\\.f[^/]*', 'skip', NULL, 1)),
+        pat(rule, j, kind, pattern, action, source) AS (VALUES (0, 0, 'local', '^v3$', 'allow', 0), (0, 1, 'arg', '^v[^/]$', 'allow', 0), (1, 0, 'local', '[1-3]$', 'allow', 1)),
+        hit AS (SELECT sc.*, rule.* FROM sc JOIN rule ON regexp_full_match(CASE kind WHEN 'pkg' THEN pkg WHEN 'file' THEN file ELSE obj END, pattern)),
+        won AS (SELECT path_id, function_id, any_value(value_name) AS value_name, coalesce(arg_max(exec, i) FILTER (exec IS NOT NULL), 'trace') AS exec,
+          coalesce(arg_max(value_default, i) FILTER (value_default IS NOT NULL), 'allow') AS value_default, coalesce(arg_max(source, i) FILTER (value_default IS NOT NULL), 0) AS since, max(i) AS matched_rule FROM hit GROUP BY 1, 2),
+        asked AS (SELECT won.*, k.value_kind FROM won, (VALUES ('local'), ('arg')) k(value_kind)),
+        first AS (SELECT path_id, function_id, value_kind, arg_min(action, j) AS action FROM asked JOIN pat ON pat.rule = matched_rule AND pat.kind = value_kind AND regexp_matches(value_name, pattern)
+          WHERE NOT (value_default = 'drop' AND pat.source < since) GROUP BY ALL)
+        SELECT path_id, function_id, value_kind, value_name, exec, value_default, matched_rule, coalesce(first.action, value_default) AS action FROM asked LEFT JOIN first USING (path_id, function_id, value_kind)""",
+    "hinted_modules": f"""{_WITH}, sc AS (SELECT DISTINCT path_id, function_id FROM trace), m AS (SELECT *, CASE function_id % 3 WHEN 0 THEN 'pkg.f' || function_id ELSE 'app.m' || path_id END AS module FROM sc)
+        SELECT path_id, function_id, module, module || CASE WHEN path_id <> 3 THEN '.run' || function_id ELSE '' END AS object FROM m""",
+    "project_roots": """WITH f AS (SELECT p_partkey, '/w/p' || p_partkey % 40 || '/q' || p_partkey % 7 || '/f' || p_partkey || '.py' AS path FROM part),
+        r AS (SELECT '/w/p' || s_suppkey % 60 || CASE WHEN s_suppkey % 2 = 0 THEN '/q' || s_suppkey % 9 || '/' ELSE '' END AS root, s_suppkey AS source FROM supplier),
+        h AS (SELECT f.*, root, source, row_number() OVER (PARTITION BY p_partkey ORDER BY length(rtrim(root, '/')) DESC, source) AS k FROM f JOIN r ON starts_with(path, rtrim(root, '/') || '/'))
+        SELECT f.p_partkey, root, source, substr(f.path, length(rtrim(root, '/')) + 2) AS relative FROM f LEFT JOIN h ON h.p_partkey = f.p_partkey AND k = 1""",
     "longest_project_root": """WITH f AS (SELECT p_partkey, '/w/p' || p_partkey % 4 || '/q' || p_partkey % 3 || '/f.py' AS path FROM part),
         r AS (SELECT f.*, root, row_number() OVER (PARTITION BY p_partkey ORDER BY length(root) DESC) AS k FROM f JOIN (VALUES ('/w'), ('/w/p1'), ('/w/p1/q2'), ('/w/p2')) t(root) ON starts_with(path, root || '/'))
         SELECT p_partkey, root, substr(path, length(root) + 2) AS relative FROM r WHERE k = 1""",

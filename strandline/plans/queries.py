@@ -308,6 +308,33 @@ def longest_project_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.with_root(files, "path", ["/w", "/w/p1", "/w/p1/q2", "/w/p2"]).select("p_partkey", "root", "relative")
 
 
+@query
+def chained_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inline source and a project's on top of it: decisions for locals and arguments of every scope."""
+    scopes = filters.CHAINED.classify(filters.demo_scopes(trace(spark, sf_dir))).withColumn("value_name", F.concat(F.lit("v"), (F.col("function_id") % 5).cast("string")))
+    kinds = [filters.CHAINED.decide(scopes, kind, F.col("value_name")).withColumn("value_kind", F.lit(kind)) for kind in ("local", "arg")]
+    return kinds[0].unionByName(kinds[1]).select("path_id", "function_id", "value_kind", "value_name", "exec", "value_default", "matched_rule", "action")
+
+
+@query
+def hinted_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorder's hint of the module overrides the derived one if it is a dotted name."""
+    hint = F.when(F.col("function_id") % 3 == 0, F.concat(F.lit("pkg.f"), F.col("function_id").cast("string"))).when(F.col("function_id") % 3 == 1, "not-a module")
+    scopes = filters.demo_scopes(trace(spark, sf_dir)).withColumn("hint", hint).withColumn("qualname", F.when(F.col("path_id") != 3, F.concat(F.lit("run"), F.col("function_id").cast("string"))))
+    return filters.with_hint(scopes, "hint", "qualname").select("path_id", "function_id", "module", "object")
+
+
+@query
+def project_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest of many roots above each file, and the earliest source where two name one folder."""
+    k = F.col("p_partkey").cast("string")
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/w/p"), (F.col("p_partkey") % 40).cast("string"), F.lit("/q"), (F.col("p_partkey") % 7).cast("string"), F.lit("/f"), k, F.lit(".py")).alias("path"))
+    s = F.col("s_suppkey")
+    root = F.concat(F.lit("/w/p"), (s % 60).cast("string"), F.when(s % 2 == 0, F.concat(F.lit("/q"), (s % 9).cast("string"), F.lit("/"))).otherwise(""))
+    roots = table(spark, sf_dir, "supplier").select(root.alias("root"), s.alias("source"))
+    return filters.with_table_root(files, "path", roots, ("p_partkey",)).select("p_partkey", "root", "source", "relative")
+
+
 # --- storage (configurations and manifests are in storage_rules.py)
 
 
