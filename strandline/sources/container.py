@@ -1,4 +1,4 @@
-"""Trace containers: a block file system in one file, and chunked event streams in its members."""
+"""Reading trace containers: a block file system in one file, and event streams in its members."""
 
 from __future__ import annotations
 
@@ -12,32 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import importable_on_workers
-from strandline.functions.scalars import base40_decode, base40_encode
-from strandline.schema import EVENT_SCHEMA, EVENTS_A_CHUNK
-from strandline.sources import split_binary
+from strandline.functions.scalars import base40_decode
+from strandline.schema import EVENT_KINDS, EVENT_SCHEMA
+from strandline.sources import cbor, split_binary
 
 MAGIC = bytes.fromhex("C0DE72ACE2")  # fixed value, as are versions and block sizes
 VERSIONS, BLOCK_SIZES = (2, 3, 4), (1024, 2048, 4096)
 STREAM_HEADER = MAGIC + bytes([1, 0, 0])
-LEVEL = 3
 
 
-def pack_chunks(events: list[dict], first_geid: int = 0, size: int = EVENTS_A_CHUNK) -> bytes:
-    """Chunks of `size` events, each behind (compressed size, events, first geid)."""
-    out = []
-    for i in range(0, len(events), size):
-        some = events[i : i + size]
-        body = zstandard.compress(b"".join(map(split_binary.encode, some)), LEVEL)
-        out.append(struct.pack("<IIQ", len(body), len(some), first_geid + i) + body)
-    return b"".join(out)
-
-
-def chunk_headers(stream: bytes) -> list[tuple[int, int, int, int]]:
-    """(first geid, events, start of the body, its size); a cut-off last chunk is left out."""
+def chunk_headers(stream: bytes, whole: bool = True) -> list[tuple[int, int, int, int]]:
+    """(first geid, events, start of the body, its size); a cut-off last chunk raises, or is left out unless `whole`."""
     out, at = [], 0
-    while at + 16 <= len(stream):
-        size, count, geid = struct.unpack_from("<IIQ", stream, at)
+    while at < len(stream):
+        size, count, geid = struct.unpack_from("<IIQ", stream, at) if at + 16 <= len(stream) else (0, 0, 0)
         if at + 16 + size > len(stream):
+            if whole:
+                raise ValueError(f"the chunk at byte {at} is cut off")
             break
         out.append((geid, count, at + 16, size))
         at += 16 + size
@@ -81,97 +72,94 @@ class Container:
             root = self._pointer(root, step)
         return root
 
+    def codec(self) -> str:
+        """What events are stored as; containers that do not say so hold CBOR."""
+        stated = self.read("events.fmt").decode("utf-8", "replace").strip() if "events.fmt" in self.members else ""
+        return "split-binary" if stated == "split-binary" else "cbor"
+
+    def read_at(self, name: str, offset: int, size: int) -> bytes:
+        """Part of a member: only the blocks that it touches are read; less than `size` at the end, nothing beyond."""
+        whole, root = self.members[name]
+        end = min(whole, offset + size)
+        if offset >= end:
+            return b""
+        first = offset // self.block
+        parts = [self.data[at : at + self.block] for at in (self.place(root, i) * self.block for i in range(first, (end - 1) // self.block + 1))]
+        return b"".join(parts)[offset - first * self.block : end - first * self.block]
+
     def read(self, name: str) -> bytes:
         size, root = self.members[name]
         blocks = (self.place(root, i) * self.block for i in range(-(-size // self.block)))
         return b"".join(self.data[at : at + self.block] for at in blocks)[:size]
 
 
-def build(members: dict[str, bytes], block: int = 4096, slots: int = 31) -> bytes:
-    """A container's bytes."""
-    if len(members) > slots:
-        raise ValueError(f"a container has at most {slots} members")
-    u, blocks = block // 8 - 1, [bytearray(block)]
-
-    def new(data: bytes = b"") -> int:
-        blocks.append(bytearray(data.ljust(block, b"\0")))
-        return len(blocks) - 1
-
-    def put(at: int, slot: int, value: int) -> None:
-        struct.pack_into("<Q", blocks[at], 8 * slot, value)
-
-    def tree(level: int, left: list[int]) -> int:
-        """A mapping block of this level over as many of the data blocks as fit; they are taken from the list."""
-        at = new()
-        for slot in range(u):
-            if left:
-                put(at, slot, left.pop(0) if level == 1 else tree(level - 1, left))
-        return at
-
-    root_block = blocks[0]
-    root_block[:16] = MAGIC + bytes([3, 1, 0]) + struct.pack("<II", block, slots)
-    for i, (name, data) in enumerate(members.items()):
-        left = [new(data[x : x + block]) for x in range(0, len(data), block)]
-        first = at = tree(1, left)
-        level = 1
-        while left:
-            level += 1
-            upper = tree(level, left)
-            put(at, u, upper)
-            at = upper
-        struct.pack_into("<QQQ", root_block, 16 + 24 * i, len(data), first, base40_encode(name))
-    return b"".join(blocks)
-
-
-def trace_container(events: list[dict], paths: list[str] = (), meta: dict | None = None) -> bytes:
-    return build({
-        "events.log": STREAM_HEADER + pack_chunks(events), "events.fmt": b"split-binary", "meta.json": json.dumps(meta or {}).encode(),
-        "paths.json": json.dumps(list(paths)).encode(),
-    })
-
-
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, size, map_block of every member of the containers at `path`."""
+    """Every member of the containers at `path`, with what the container's header says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for p, data in zip(rows["path"], rows["content"], strict=True):
-                yield pd.DataFrame([(p, n, s, r) for n, (s, r) in Container(bytes(data)).members.items()], columns=["path", "name", "size", "map_block"])
+                c = Container(bytes(data))
+                rows_ = [(p, n, s, r, c.block, c.version, c.compression, c.encryption) for n, (s, r) in c.members.items()]
+                yield pd.DataFrame(rows_, columns=["path", "name", "size", "map_block", "block_size", "version", "compression", "encryption"])
 
     importable_on_workers(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, size long, map_block long")
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.mapInPandas(run, "path string, name string, size long, map_block long, block_size int, version int, compression int, encryption int")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """path, first_geid, event_count, compressed_size and body of every chunk: the seek index with its data."""
+    """path, codec, first_geid, event_count, compressed_size and body of every chunk: the seek index with its data.
+
+    A container of CBOR events has one chunk, its frames one after another, whose number of events is not known.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for p, data in zip(rows["path"], rows["content"], strict=True):
-                stream = Container(bytes(data)).read("events.log")
+                held = Container(bytes(data))
+                stream, codec = held.read("events.log"), held.codec()
                 if stream[:8] != STREAM_HEADER:
                     raise ValueError(f"{p}: unknown event stream")
                 stream = stream[8:]
-                yield pd.DataFrame([(p, g, n, s, stream[at : at + s]) for g, n, at, s in chunk_headers(stream)],
-                                   columns=["path", "first_geid", "event_count", "compressed_size", "body"])
+                found = chunk_headers(stream) if codec == "split-binary" else [(0, None, 0, len(stream))]
+                yield pd.DataFrame([(p, codec, g, n, s, stream[at : at + s]) for g, n, at, s in found],
+                                   columns=["path", "codec", "first_geid", "event_count", "compressed_size", "body"]).astype({"event_count": "Int64"})
 
     importable_on_workers(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(
-        run, "path string, first_geid long, event_count long, compressed_size long, body binary"
+        run, "path string, codec string, first_geid long, event_count long, compressed_size long, body binary"
     )
 
 
+def frames(data: bytes) -> bytes:
+    """The content of zstd frames that follow each other."""
+    return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+
+
+def from_cbor(items: list) -> Iterator[dict]:
+    """Events of a CBOR sequence: a map from the kind to its fields, its only field or text, or the kind alone."""
+    for item in items:
+        (kind, value), = item.items() if isinstance(item, dict) else ((item, {}),)
+        names = [name for name, _ in split_binary.LAYOUT[kind]]
+        fields = value if isinstance(value, dict) and set(value) <= set(names) else {names[0]: value}
+        yield {"tag": EVENT_KINDS.index(kind), "kind": kind} | {k: json.dumps(v, separators=(",", ":")) if k == "payload" else v for k, v in fields.items()}
+
+
 def events(spark: SparkSession, path: str, first: int | None = None, count: int | None = None) -> DataFrame:
-    """Decoded events, one task a group of chunks; with `first` and `count` only chunks that hold such geids are decompressed."""
+    """Decoded events of either codec, one task a group of chunks; with `first` and `count` only chunks that can hold such geids
+    are decompressed."""
     held = chunks(spark, path)
     if first is not None:
-        held = held.where((F.col("first_geid") + F.col("event_count") > first) & (F.col("first_geid") < first + count))
+        last = F.col("first_geid") + F.col("event_count")
+        held = held.where((last.isNull() | (last > first)) & (F.col("first_geid") < first + count))
     names = [c.strip().split()[0].strip("`") for c in EVENT_SCHEMA.replace("array<", "array").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for geid, body in zip(rows["first_geid"], rows["body"], strict=True):
-                found = split_binary.decode_all(zstandard.decompress(bytes(body), max_output_size=1 << 31))
+            for codec, geid, body in zip(rows["codec"], rows["first_geid"], rows["body"], strict=True):
+                raw = frames(bytes(body))
+                found = split_binary.decode_all(raw) if codec == "split-binary" else from_cbor(cbor.sequence(raw))
                 frame = pd.DataFrame([[geid + i, *(e.get(n) for n in names[1:])] for i, e in enumerate(found)], columns=names)
                 yield frame.astype({n: "Int64" for n in names if n in _WHOLE})
 

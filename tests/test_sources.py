@@ -11,6 +11,7 @@ from strandline.plans.adapter import trace
 from strandline.schema import EVENT_KINDS, EVENT_SCHEMA
 from strandline.sources import cbor, chunked, container, json_trace, split_binary
 from strandline.streaming import tail
+from tests import containers
 
 SAMPLES = {"Q": 7, "q": -3, "B": 11, "text": "é text", "cbor": '{"kind":"Int","i":42,"type_id":1}', "texts": ["mov", ""], "numbers": [1, 2**60]}
 ONE_OF_EACH = [{"kind": k, **{name: SAMPLES[form] for name, form in split_binary.LAYOUT[k]}} for k in EVENT_KINDS]
@@ -47,17 +48,17 @@ def test_cbor(value):
 def test_container_levels():
     r = random.Random(0)
     members = {"empty": b"", "one": b"x", "deep": r.randbytes(1024 * (127 + 127**2 // 40)), "edge": b"y" * 1024 * 127}
-    held = container.Container(container.build(members, block=1024))
+    held = container.Container(containers.build(members, block=1024))
     assert {n: held.read(n) for n in members} == members
     with pytest.raises(ValueError):
-        container.build({f"m{i}": b"" for i in range(32)})
+        containers.build({f"m{i}": b"" for i in range(32)})
     with pytest.raises(ValueError):
         container.Container(b"nonsense" * 4)
 
 
 def test_container_scan_and_seek(spark, tmp_path):
     steps = [{"kind": "Step", "path_id": 0, "line": i + 1} for i in range(10000)]
-    (tmp_path / "a.ct").write_bytes(container.trace_container(steps, ["main.py"], {"program": "p"}))
+    (tmp_path / "a.ct").write_bytes(containers.trace_container(steps, ["main.py"], {"program": "p"}))
     path = str(tmp_path / "*.ct")
     assert {r["name"] for r in container.files(spark, path).collect()} == {"events.log", "events.fmt", "meta.json", "paths.json"}
     assert [(r[0], r[1]) for r in container.chunks(spark, path).select("first_geid", "event_count").orderBy("first_geid").collect()] == [(0, 4096), (4096, 4096), (8192, 1808)]
@@ -68,12 +69,39 @@ def test_container_scan_and_seek(spark, tmp_path):
 
 
 def test_container_of_every_kind(spark, tmp_path):
-    (tmp_path / "b.ct").write_bytes(container.trace_container(ONE_OF_EACH))
+    (tmp_path / "b.ct").write_bytes(containers.trace_container(ONE_OF_EACH))
     rows = container.events(spark, str(tmp_path / "b.ct")).orderBy("geid").collect()
     assert [r["kind"] for r in rows] == list(EVENT_KINDS)
     assert rows[13]["variable_ids"] == [1, 2**60] and rows[10]["asm"] == ["mov", ""] and json.loads(rows[5]["payload"])["i"] == 42
 
 
+@pytest.mark.parametrize("stated", [True, False])
+def test_containers_of_cbor(spark, tmp_path, stated):
+    (tmp_path / "c.ct").write_bytes(containers.cbor_container(ONE_OF_EACH, stated))
+    rows = container.events(spark, str(tmp_path / "c.ct")).orderBy("geid").collect()
+    assert [r["kind"] for r in rows] == list(EVENT_KINDS)
+    assert rows[13]["variable_ids"] == [1, 2**60] and rows[10]["asm"] == ["mov", ""] and json.loads(rows[5]["payload"])["i"] == 42
+    assert [r["geid"] for r in container.events(spark, str(tmp_path / "c.ct"), 3, 4).collect()] == [3, 4, 5, 6]
+    one = container.files(spark, str(tmp_path / "c.ct")).where("name = 'events.log'").first()
+    assert (one["block_size"], one["version"], one["compression"], one["encryption"]) == (4096, 3, 1, 0)
+
+
+def test_parts_of_members():
+    data = bytes(range(256)) * 200
+    held = container.Container(containers.build({"a": data, "b": b"x"}, block=1024))
+    for at, n in ((0, 10), (1020, 10), (5000, 30000), (51190, 100), (51200, 5), (10**9, 1)):
+        assert held.read_at("a", at, n) == data[at : at + n]
+
+
+def test_cut_off_chunks_raise():
+    stream = containers.pack_chunks([{"kind": "DropLastStep"}] * 9, size=3)
+    assert len(container.chunk_headers(stream)) == 3
+    for cut in (1, 10, len(stream) // 2):
+        with pytest.raises(ValueError, match="cut off"):
+            container.chunk_headers(stream[:-cut])
+        assert len(container.chunk_headers(stream[:-cut], whole=False)) < 3
+
+
 def test_json_trace(spark, tmp_path):
     items = [{"Path": "foo.rs"}, {"Function": {"path_id": 0, "line": 1, "name": "main"}}, {"Step": {"path_id": 0, "line": 1}}, {"Call": {"function_id": 0, "args": []}},
              {"Return": {"return_value": {"kind": "Float", "f": "inf", "type_id": 0}}}, "DropLastStep", {"ThreadSwitch": 3}]
