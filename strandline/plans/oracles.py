@@ -29,7 +29,7 @@ _STEPPED = f"{_WITH}, st AS (SELECT *, max(CASE WHEN kind = 'Step' THEN geid END
 _IDS = f"{_WITH}, ids AS (SELECT geid, path_id, line, row_number() OVER (ORDER BY geid) - 1 AS step_id FROM trace WHERE kind = 'Step')"
 _VALUE_AT = f"""{_STEPPED}, va AS (SELECT step_geid, row_number() OVER (PARTITION BY step_geid ORDER BY geid) - 1 AS i, function_id AS variable_id, value
   FROM st WHERE kind = 'Value' AND step_geid IS NOT NULL)"""
-_CHUNKS = f"""{_WITH}, ch AS (SELECT (row_number() OVER (ORDER BY geid) - 1) // {schema.EVENTS_A_CHUNK} AS chunk_id, geid, length(content) + 17 AS size FROM trace),
+_CHUNKS = f"""{_WITH}, ch AS (SELECT (row_number() OVER (ORDER BY geid) - 1) // {schema.EVENTS_A_CHUNK} AS chunk_id, geid, strlen(content) + 17 AS size FROM trace),
 chunks AS (SELECT chunk_id, min(geid) AS first_geid, count(*) AS event_count, sum(size)::BIGINT AS bytes FROM ch GROUP BY chunk_id)"""
 _COVER = f"{_WITH}, cov AS (SELECT path_id, line, count(*) AS hits FROM trace WHERE kind = 'Step' GROUP BY ALL)"
 _LABELS = ", ".join(f"({i}, '{k}')" for i, k in enumerate(schema.TYPE_KINDS))
@@ -74,7 +74,7 @@ ORACLES = {
     "chunk_index": f"{_CHUNKS} SELECT * FROM chunks",
     "chunk_for_geid": f"""{_CHUNKS}, q AS (SELECT o_orderkey, o_orderkey * 7 % 12000 AS g FROM orders), a AS (SELECT q.*, chunk_id, first_geid, event_count FROM q ASOF JOIN chunks ON q.g >= first_geid)
         SELECT o_orderkey, g, chunk_id, first_geid FROM a WHERE g < first_geid + event_count""",
-    "event_offsets": f"""{_WITH} SELECT geid, (length(content) + 17)::BIGINT AS size, coalesce(sum(length(content) + 17) OVER (ORDER BY geid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM trace""",
+    "event_offsets": f"""{_WITH} SELECT geid, (strlen(content) + 17)::BIGINT AS size, coalesce(sum(strlen(content) + 17) OVER (ORDER BY geid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM trace""",
     "container_stats": """WITH d AS (SELECT source, strlen(coalesce(text, ''))::BIGINT AS size FROM documents), b AS (SELECT *, (size + 4095) // 4096 AS blocks FROM d)
         SELECT source, count(*) AS files, sum(size)::BIGINT AS bytes, sum(blocks)::BIGINT AS data_blocks, sum((blocks + 510) // 511)::BIGINT AS mapping_blocks,
                greatest(0, sum(blocks) * 4096 - sum(size))::BIGINT AS waste FROM b GROUP BY source""",

@@ -194,7 +194,7 @@ def assignment_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.length("content") + 17
+    size = F.octet_length("content") + 17
     rows = positions.ordinals(trace(spark, sf_dir).select("geid", "content"), "i")
     return rows.groupBy(F.floor(F.col("i") / schema.EVENTS_A_CHUNK).alias("chunk_id")).agg(
         F.min("geid").alias("first_geid"), F.count(F.lit(1)).alias("event_count"), F.sum(size).alias("bytes")
@@ -214,7 +214,7 @@ def chunk_for_geid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = trace(spark, sf_dir).select("geid", (F.length("content") + 17).cast("long").alias("size"))
+    sized = trace(spark, sf_dir).select("geid", (F.octet_length("content") + 17).cast("long").alias("size"))
     return positions.running(sized, F.col("size"), "byte_offset")
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
-from strandline.operators import records
+from strandline.operators import positions, records
 from strandline.plans.adapter import table, trace
 from strandline.plans.values import with_payload
 from strandline.scratch import shared_folder
-from strandline.sources import chunked, json_trace
+from strandline import importable_on_workers
+from strandline.sources import chunked, json_trace, side_tables
 
 QUERIES: dict = {}
 
@@ -95,3 +97,63 @@ def labels_and_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % n + 1).cast("int"))
     label, name = pick((*scalars.VALUE_KINDS, "other"), 6), pick(("Python", "JS", " ruby ", "javascript", "go"), 5)
     return table(spark, sf_dir, "part").select("p_partkey", scalars.value_kind_number(label).alias("kind"), scalars.language(name).alias("language"))
+
+
+def _region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of mapped regions for each nation: one region a supplier, in its own 128 KiB."""
+    importable_on_workers(spark)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s_suppkey")
+        held = [(k << 17, 4096 * (1 + k % 30), scalars.base40_encode(f"bin{k % 5}"), 512 * k, k % 8) for k in rows["s_suppkey"].tolist()]
+        return pd.DataFrame({"recording": rows["s_nationkey"].iloc[:1], "content": [side_tables.encode_regions(held)]})
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").groupBy("s_nationkey").applyInPandas(pack, "recording long, content binary")
+
+
+@query
+def mapped_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return side_tables.regions(_region_tables(spark, sf_dir), "recording")
+
+
+@query
+def address_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which region, and so which binary, an address falls into."""
+    suppliers = F.col("o_orderkey") % 120
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("long").alias("recording"), (suppliers * (1 << 17) + F.col("o_orderkey") * 37 % 131072).cast("long").alias("address"))
+    return side_tables.located(asked, side_tables.regions(_region_tables(spark, sf_dir), "recording"), "recording").select("o_orderkey", "recording", "address", "region", "binary", "offset")
+
+
+@query
+def recorded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binaries, debug symbols and sources of each recording; symbols with the path of the binary that they belong to."""
+    importable_on_workers(spark)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        entries = []
+        for k in sorted(rows["p_partkey"].tolist()):
+            one = {"name": scalars.base40_encode(f"f{k}"), "flags": k % 4, "build_id": bytes([k % 251]) * (k % 3), "path": f"/usr/é/{k}"}
+            entries.append(one | {"kind": "binary"} if k % 3 == 0 else one | {"kind": "debug_symbol", "binary": scalars.base40_encode(f"f{k - k % 3}")} if k % 3 == 1
+                           else one | {"kind": "source_file", "folder": f"/src/{k}" * (k % 40)})
+        return pd.DataFrame({"recording": rows["recording"].iloc[:1], "content": [side_tables.encode_files(entries)]})
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 300).alias("recording"))
+    held = side_tables.files(parts.groupBy("recording").applyInPandas(pack, "recording long, content binary"))
+    binaries = held.where("kind = 'binary'").select("recording", F.col("name").alias("binary"), F.col("path").alias("binary_path"))
+    return held.join(binaries, ["recording", "binary"], "left").select("recording", "name", "kind", "flags", "build_id", "path", "binary", "binary_path", F.length("folder").alias("folder_length"))
+
+
+@query
+def events_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose bytes begin in a range of the stream."""
+    sized = trace(spark, sf_dir).select("geid", "kind", (F.octet_length("content") + 17).cast("long").alias("size"))
+    return positions.running(sized, F.col("size"), "byte_offset").where("byte_offset >= 5000 AND byte_offset < 9000").select("geid", "kind", "byte_offset")
+
+
+@query
+def appended_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace after another one: a bag union, with the second one's geids moved behind the first one's."""
+    rows = trace(spark, sf_dir).select("geid", "kind", "line")
+    last = rows.agg((F.max("geid") + 1).alias("shift")).withColumn("second", F.lit(1))
+    both = rows.withColumn("second", F.lit(0)).unionByName(rows.where("kind = 'Step'").withColumn("second", F.lit(1)))
+    return both.join(F.broadcast(last), "second", "left").select((F.col("geid") + F.coalesce("shift", F.lit(0))).alias("geid"), "kind", "line")  # one row is sent

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.operators import records
 from strandline.plans.adapter import trace
 from strandline.schema import EVENT_KINDS, EVENT_SCHEMA
-from strandline.sources import cbor, chunked, container, json_trace, split_binary
+from strandline.sources import cbor, chunked, container, json_trace, side_tables, split_binary
 from strandline.streaming import tail
 from tests import containers
 
@@ -102,6 +102,20 @@ def test_cut_off_chunks_raise():
         assert len(container.chunk_headers(stream[:-cut], whole=False)) < 3
 
 
+def test_side_tables_raise_where_cut_off(spark):
+    whole = side_tables.encode_files([{"name": 7, "kind": k, "flags": 0, "build_id": b"ab", "path": "p", "binary": 9, "folder": "é"} for k in side_tables.FILE_KINDS])
+    assert [e["kind"] for e in side_tables.decode_files(whole)] == list(side_tables.FILE_KINDS)
+    for cut in range(len(whole)):
+        with pytest.raises(ValueError):
+            side_tables.decode_files(whole[:cut])
+    held = side_tables.encode_regions([(2**62, 1, 40**11, 0, 7)])
+    read = lambda raw: side_tables.regions(spark.createDataFrame([(bytearray(raw),)], "content binary")).collect()
+    assert [tuple(r) for r in read(held)] == [(0, 2**62, 1, "", 0, 7)] and read(side_tables.encode_regions([])) == []
+    for bad in (held[:-1], b"XXXX" + held[4:], b""):
+        with pytest.raises(Exception, match="mapped regions"):
+            read(bad)
+
+
 def test_json_trace(spark, tmp_path):
     items = [{"Path": "foo.rs"}, {"Function": {"path_id": 0, "line": 1, "name": "main"}}, {"Step": {"path_id": 0, "line": 1}}, {"Call": {"function_id": 0, "args": []}},
              {"Return": {"return_value": {"kind": "Float", "f": "inf", "type_id": 0}}}, "DropLastStep", {"ThreadSwitch": 3}]
