@@ -54,7 +54,8 @@ class Container:
                 self.members[base40_decode(name)] = (size, root)
 
     def _pointer(self, block: int, i: int) -> int:
-        found = struct.unpack_from("<Q", self.data, block * self.block + 8 * i)[0]
+        at = block * self.block + 8 * i
+        found = struct.unpack("<Q", self.data[at : at + 8])[0]
         if not found:
             raise ValueError(f"null pointer {i} in block {block}")
         return found

@@ -66,6 +66,11 @@ def cbor_container(events: list[dict], stated: bool = True, a_frame: int = 5) ->
     return build({"events.log": STREAM_HEADER + b"".join(frames)} | ({"events.fmt": b"cbor"} if stated else {}))
 
 
+def cbor_file(events: list[dict]) -> bytes:
+    one = lambda e: cbor.dumps({e["kind"]: {k: json.loads(v) if k == "payload" else v for k, v in e.items() if k != "kind"}})
+    return STREAM_HEADER + zstandard.compress(b"".join(map(one, events)), LEVEL)
+
+
 def trace_container(events: list[dict], paths: list[str] = (), meta: dict | None = None) -> bytes:
     return build({
         "events.log": STREAM_HEADER + pack_chunks(events), "events.fmt": b"split-binary", "meta.json": json.dumps(meta or {}).encode(),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.operators import records
 from strandline.plans.adapter import trace
 from strandline.schema import EVENT_KINDS, EVENT_SCHEMA
-from strandline.sources import cbor, chunked, container, json_trace, side_tables, split_binary
+from strandline.sources import cbor, chunked, container, datasource, json_trace, side_tables, split_binary
 from strandline.streaming import tail
 from tests import containers
 
@@ -86,6 +86,25 @@ def test_containers_of_cbor(spark, tmp_path, stated):
     assert (one["block_size"], one["version"], one["compression"], one["encryption"]) == (4096, 3, 1, 0)
 
 
+def test_data_source(spark, tmp_path):
+    datasource.register(spark)
+    steps = [{"kind": "Step", "path_id": i % 3, "line": i} for i in range(10000)]
+    folder = tmp_path / "traces"
+    folder.mkdir()
+    (folder / "a.ct").write_bytes(containers.trace_container(steps))
+    df = spark.read.format("strandline").option("chunks", 1).load(str(folder))
+    assert df.rdd.getNumPartitions() == 3 and sorted(r[0] for r in df.select("line").collect()) == list(range(10000))
+    seek = spark.read.format("strandline").option("chunks", 1).option("first", 4090).option("count", 3).load(str(folder))
+    assert seek.rdd.getNumPartitions() == 1 and sorted(r[0] for r in seek.select("geid").collect()) == [4090, 4091, 4092]
+    (folder / "b.ct").write_bytes(containers.cbor_container(ONE_OF_EACH))
+    (folder / "c.bin").write_bytes(containers.cbor_file(ONE_OF_EACH))
+    kinds = [r[0] for r in spark.read.format("strandline").load(str(folder)).where("line IS NULL OR kind <> 'Step'").select("kind").collect()]
+    assert sorted(kinds) == sorted(2 * [k for k in EVENT_KINDS if k != "Step"])
+    (folder / "d.txt").write_bytes(b"something else")
+    with pytest.raises(Exception, match="not a trace"):
+        spark.read.format("strandline").load(str(folder)).collect()
+
+
 def test_parts_of_members():
     data = bytes(range(256)) * 200
     held = container.Container(containers.build({"a": data, "b": b"x"}, block=1024))
