@@ -20,7 +20,8 @@ ORACLES = {
     "json_lines": f"""{_EVENTS} SELECT row_number() OVER (ORDER BY geid) - 1 AS position, kind, path_id, line, variable_id, shown FROM ev WHERE kind IN ('Step', 'Value')""",
     "detected_formats": "SELECT p_partkey, ['cbor-zstd', 'binary-v0', 'container', 'json', NULL][p_partkey % 5 + 1] AS format FROM part",
     "shortened_texts": "SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '…' ELSE text END AS shown FROM documents",
-    "labels_and_languages": """SELECT p_partkey, [0, 1, 2, 3, 4, NULL][p_partkey % 6 + 1] AS kind, ['python', 'javascript', 'ruby', 'javascript', NULL][p_partkey % 5 + 1] AS language FROM part""",
+    "labels_and_languages": """SELECT p_partkey, [0, 1, 2, 3, 4, NULL][p_partkey % 6 + 1] AS kind, ['python', 'javascript', 'ruby', 'javascript', NULL][p_partkey % 5 + 1] AS language,
+        CASE WHEN p_partkey % 4 IN (1, 2) THEN 'application/json' ELSE 'application/octet-stream' END AS content_type FROM part""",
     "mapped_regions": f"{_REGIONS} SELECT * FROM r",
     "address_regions": f"""{_REGIONS}, a AS (SELECT o_orderkey, (o_custkey % 25)::BIGINT AS recording, o_orderkey % 120 * 131072 + o_orderkey * 37 % 131072 AS address FROM orders)
         SELECT a.o_orderkey, a.recording, a.address, r.region, r.binary, a.address - r.address AS "offset" FROM a LEFT JOIN r ON r.recording = a.recording AND a.address >= r.address AND a.address < r.address + r.size""",

@@ -96,7 +96,8 @@ def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels_and_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % n + 1).cast("int"))
     label, name = pick((*scalars.VALUE_KINDS, "other"), 6), pick(("Python", "JS", " ruby ", "javascript", "go"), 5)
-    return table(spark, sf_dir, "part").select("p_partkey", scalars.value_kind_number(label).alias("kind"), scalars.language(name).alias("language"))
+    kind = scalars.content_type(pick(("ctfs", "manifest", "json", "other"), 4))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.value_kind_number(label).alias("kind"), scalars.language(name).alias("language"), kind.alias("content_type"))
 
 
 def _region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,10 @@ ORACLES = {
         UNION ALL SELECT l.recording, l.pos::INT, unnest({_OBJECT}) FROM l JOIN m USING (recording) WHERE l.kind = 2
         UNION ALL SELECT sh.recording, sh.pos::INT, unnest({_OBJECT}) FROM sh, range(2) WHERE p % 41 <> 0)
         SELECT recording, segment, rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY ALL""",
+    "next_uploads": """WITH t AS (SELECT l_partkey * 1000 + l_suppkey AS object, l_returnflag <> 'N' AS ends, row_number() OVER (PARTITION BY l_partkey * 1000 + l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS i FROM lineitem)
+        SELECT lpad(object::VARCHAR, 12, '0') AS key, count(*) AS attempts FROM t GROUP BY object HAVING NOT bool_or(ends) ORDER BY key LIMIT 20""",
+    "first_recordings": """WITH c AS (SELECT c_custkey, 1700000000000 + c_custkey * 7919 % 100003 AS millis FROM customer), h AS (SELECT *, lpad(lower(to_hex(millis)), 12, '0') AS x FROM c)
+        SELECT c_custkey, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-7000-8000-' || lpad(lower(to_hex(c_custkey)), 12, '0') AS recording, millis, true AS valid FROM h ORDER BY recording LIMIT 10""",
     "segment_counts": f"WITH {_LINES} SELECT recording, ['materialized_artifact', 'single_ctfs', 'split_ctfs', 'sharded_split_ctfs'][kind + 1] AS kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE n END::INT AS segments FROM m",
     "geid_ranges": f"""WITH {_LINES} SELECT l.recording, min(100 * pos + 1) AS geid_start, max(100 * pos + 90 + l_linenumber) AS geid_end, sum(89 + l_linenumber)::BIGINT AS stated, sum(90 + l_linenumber)::BIGINT AS events
         FROM l JOIN m USING (recording) WHERE l.kind > 1 GROUP BY 1""",
@@ -53,10 +57,12 @@ ORACLES = {
     "manifest_blocks": f"{_SHARDED}, {_FIRST} SELECT recording, segment, block, x.i AS shard_index, CASE WHEN x.p % 41 = 0 THEN NULL WHEN x.nameless THEN ' ' ELSE x.name || '-a' END AS object_id FROM hit",
     "replica_failover": f"""{_SHARDED}, {_FIRST} SELECT recording, segment, CASE WHEN x.p % 41 = 0 THEN NULL WHEN x.nameless THEN ' ' WHEN (length(x.name) + 2) % 3 = 0 THEN x.name || '-b' ELSE x.name || '-a' END AS object_id FROM hit""",
     "finalize_attempts": "SELECT l_suppkey || '/' || l_linenumber AS key, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_partkey)) AS recording, count(*) AS attempts FROM lineitem GROUP BY 1",
-    "upload_states": """WITH t AS (SELECT l_partkey AS object, CASE l_returnflag WHEN 'A' THEN 'uploaded' WHEN 'N' THEN 'retryable_failure' ELSE 'fatal_failure' END AS state,
-          row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS i FROM lineitem),
+    "upload_states": """WITH t AS (SELECT l_partkey * 1000 + l_suppkey AS object, CASE l_returnflag WHEN 'A' THEN 'uploaded' WHEN 'N' THEN 'retryable_failure' ELSE 'fatal_failure' END AS state,
+          row_number() OVER (PARTITION BY l_partkey * 1000 + l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS i FROM lineitem),
         e AS (SELECT object, min(i) FILTER (state <> 'retryable_failure') AS ended FROM t GROUP BY 1)
         SELECT object, arg_max(state, i) AS state, count(*) AS attempts FROM t JOIN e USING (object) WHERE ended IS NULL OR i <= ended GROUP BY 1""",
     "content_mismatches": """SELECT doc_id, 'digest' AS rule FROM documents WHERE doc_id % 50 = 7 UNION ALL SELECT doc_id, 'empty' FROM documents WHERE coalesce(text, '') = ''""",
     "object_uris": "SELECT p_partkey, 'https://h.example/' || url_encode('rec ' || p_partkey || '/é&' || p_partkey % 7) AS uri, 'rec ' || p_partkey || '/é&' || p_partkey % 7 AS key FROM part",
 }
+#: The same breaches, whatever segment they are in.
+ORACLES["manifest_texts"] = f"SELECT recording, rule, sum(n)::BIGINT AS n FROM ({ORACLES['finalize_violations']}) GROUP BY 1, 2"

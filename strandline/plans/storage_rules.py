@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions import scalars
 from strandline.operators import rules, storage
 from strandline.plans.adapter import table
+from strandline.scratch import checkpointed
 
 QUERIES: dict = {}
 
@@ -154,7 +156,7 @@ def finalize_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upload's state after its attempts: uploaded and fatal ones end it, later attempts change nothing."""
     state = F.when(F.col("l_returnflag") == "A", "uploaded").when(F.col("l_returnflag") == "N", "retryable_failure").otherwise("fatal_failure")
-    tries = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("object"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("at"), state.alias("state"))
+    tries = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("object"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("at"), state.alias("state"))
     order = Window.partitionBy("object").orderBy("at")
     ended = F.max(F.when(F.col("state") != "retryable_failure", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
     real = tries.withColumn("over", F.coalesce(ended, F.lit(0))).where("over = 0")
@@ -175,3 +177,29 @@ def object_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _text("rec ", F.col("p_partkey"), "/é&", F.col("p_partkey") % 7)
     encoded = F.regexp_replace(F.url_encode(key), r"\+", "%20")
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://h.example/"), encoded).alias("uri"), F.url_decode(encoded).alias("key"))
+
+
+@query
+def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests as JSON text and back by their schema: nothing that decides about a recording is lost."""
+    rows = manifests(spark, sf_dir)
+    texts = checkpointed(rows.select(F.to_json(F.struct(*rows.columns)).alias("json")))  # written once, not once for each rule
+    back = checkpointed(texts.select(F.from_json("json", rules.MANIFEST).alias("m"))).select("m.*")
+    return rules.finalize_violations(back).groupBy("recording", "rule").agg(_count())
+
+
+@query
+def next_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty objects to send again, in the order of their keys."""
+    key = F.lpad(F.col("object").cast("string"), 12, "0")
+    return upload_states(spark, sf_dir).where("state = 'retryable_failure'").select(key.alias("key"), "attempts").orderBy("key").limit(20)
+
+
+@query
+def first_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of version 7 sort by their time of creation: the ten first of them, and that time."""
+    millis = 1700000000000 + F.col("c_custkey") * 7919 % 100003
+    digits = F.lpad(F.lower(F.hex(millis)), 12, "0")
+    uuid = F.concat(F.substring(digits, 1, 8), F.lit("-"), F.substring(digits, 9, 4), F.lit("-7000-8000-"), F.lpad(F.lower(F.hex("c_custkey")), 12, "0"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", uuid.alias("recording")).orderBy("recording").limit(10)
+    return rows.select("c_custkey", "recording", scalars.uuid7_millis(F.col("recording")).alias("millis"), scalars.is_uuid7(F.col("recording")).alias("valid"))
