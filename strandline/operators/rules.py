@@ -17,10 +17,14 @@ SCHEMA_NAME = "v1"
 PURPOSES = ("ctfs", "materialized_artifact", "manifest")  # fixed values
 
 
+def names(rules: Rules) -> Column:
+    """The names of the rules whose condition holds; a null condition does not."""
+    return F.array_compact(F.array(*(F.when(condition, name) for name, condition in rules.items())))
+
+
 def broken(rows: DataFrame, rules: Rules, *keep: str) -> DataFrame:
-    """(keep, rule) for every rule whose condition holds; a null condition does not."""
-    names = F.array_compact(F.array(*(F.when(condition, name) for name, condition in rules.items())))
-    return rows.select(*keep, F.explode(names).alias("rule"))
+    """(keep, rule) for every rule whose condition holds."""
+    return rows.select(*keep, F.explode(names(rules)).alias("rule"))
 
 
 def blank(c: str | Column) -> Column:
@@ -76,24 +80,31 @@ def segment_count() -> Column:
 
 
 def finalize_violations(manifests: DataFrame) -> DataFrame:
-    """(recording, segment, rule) for what keeps a recording from being complete; segment is null for the recording itself."""
+    """(recording, segment, rule) for what keeps a recording from being complete; segment is null for the recording itself.
+
+    One pass: all breaches of a manifest are listed in its row, then exploded.
+    """
     kind, n = F.col("kind"), F.size("segments")
-    split = kind.isin("split_ctfs", "sharded_split_ctfs")
-    none = manifests.withColumn("segment", F.lit(None).cast("int"))
-    whole = broken(none, {
-        "no_artifacts": (kind == "materialized_artifact") & (F.size("artifacts") == 0), "one_slice": (kind == "single_ctfs") & (F.col("total_slices") != 1),
+    split, sharded, artifacts = kind.isin("split_ctfs", "sharded_split_ctfs"), kind == "sharded_split_ctfs", kind == "materialized_artifact"
+    nothing = F.array().cast("array<string>")
+    only = lambda condition, listed: F.when(condition, F.coalesce(listed, nothing)).otherwise(nothing)
+    at = lambda segment, listed: F.transform(listed, lambda r: F.struct(segment.cast("int").alias("segment"), r.alias("rule")))
+    of_objects = lambda listed: F.flatten(F.transform(listed, lambda o: names(object_rules(o))))
+
+    def of_shard(h: Column) -> Column:
+        own = names({"block_range": h["block_end"] < h["block_start"], "no_replicas": F.size(h["replicas"]) == 0})
+        return F.concat(own, of_objects(h["replicas"]))
+
+    def of_segment(s: Column, i: Column) -> Column:
+        own = names({"index": s["index"] != i, "no_shards": sharded & (F.size(s["shards"]) == 0)})
+        shards = only(sharded, F.flatten(F.transform(s["shards"], of_shard)))
+        return at(i, F.concat(own, shards, only(~sharded, names(object_rules(s["file"])))))
+
+    whole = names({
+        "no_artifacts": artifacts & (F.size("artifacts") == 0), "one_slice": (kind == "single_ctfs") & (F.col("total_slices") != 1),
         "no_segments": split & ((F.col("total_slices") == 0) | (n == 0)), "slices": split & (F.col("total_slices") > 0) & (n > 0) & (n != F.col("total_slices")),
-    }, "recording", "segment")
-    segments = manifests.where(split).select("recording", "kind", F.posexplode("segments").alias("segment", "s"))
-    sharded = F.col("kind") == "sharded_split_ctfs"
-    each = broken(segments, {"index": F.col("s.index") != F.col("segment"), "no_shards": sharded & (F.size("s.shards") == 0)}, "recording", "segment")
-    shards = segments.where(sharded).select("recording", "segment", F.explode("s.shards").alias("h"))
-    ranges = broken(shards, {"block_range": F.col("h.block_end") < F.col("h.block_start"), "no_replicas": F.size("h.replicas") == 0}, "recording", "segment")
-    objects = (
-        none.where(kind.isin("single_ctfs", "materialized_artifact")).select("recording", "segment", F.col("file").alias("o"))
-        .unionByName(none.where(kind == "materialized_artifact").select("recording", "segment", F.explode("artifacts").alias("o")))
-        .unionByName(segments.where(~sharded).select("recording", "segment", F.col("s.file").alias("o")))
-        .unionByName(shards.select("recording", "segment", F.explode("h.replicas").alias("o")))
-    )
-    held = broken(objects, object_rules(F.col("o")), "recording", "segment")
-    return whole.unionByName(each).unionByName(ranges).unionByName(held)
+    })
+    files = only(~split, F.concat(names(object_rules(F.col("file"))), only(artifacts, of_objects(F.col("artifacts")))))
+    each = F.when(split, F.flatten(F.transform("segments", of_segment)))
+    every = F.concat(at(F.lit(None), F.concat(whole, files)), F.coalesce(each, at(F.lit(None), nothing)))
+    return manifests.select("recording", F.explode(every).alias("x")).select("recording", "x.segment", "x.rule")
