@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline import importable_on_workers
 from strandline.llm.shared import written
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 1024, 128
@@ -125,6 +126,7 @@ class VantageTree:
 
 
 def usable(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    importable_on_workers(embeddings.sparkSession)
     v = F.col(vector).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return (
